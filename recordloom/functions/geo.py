@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from recordloom.functions.scalars import ColumnLike, _col
+from recordloom.functions.scalars import ColumnLike, _col, let
 
 # Reference system names accepted beside EPSG codes.
 SYSTEM_NAMES = {"SWEREF99": 3006, "RT90": 3021, "WGS84": 4326}
@@ -134,42 +134,55 @@ def centroid(numbers: ColumnLike, kind: ColumnLike) -> tuple[Column, Column]:
 
     A ring without area falls back to its outline, a line without length to its points.
     """
-    flat = _col(numbers)
-    xs = F.filter(flat, lambda value, place: place % 2 == 0)
-    ys = F.filter(flat, lambda value, place: place % 2 == 1)
-    n = F.least(F.size(xs), F.size(ys))
-
     def total(values: Column) -> Column:
         return F.aggregate(values, F.lit(0.0), lambda acc, value: acc + value)
 
-    segments = F.when(
-        n > 1,
-        F.transform(
-            F.sequence(F.lit(1), n - 1),
-            lambda i: F.struct(
-                F.get(xs, i - 1).alias("x1"), F.get(ys, i - 1).alias("y1"),
-                F.get(xs, i).alias("x2"), F.get(ys, i).alias("y2"),
-            ),
-        ),
-    ).otherwise(F.array().cast("array<struct<x1:double,y1:double,x2:double,y2:double>>"))
-
     def cross(s: Column) -> Column:
         return s["x1"] * s["y2"] - s["x2"] * s["y1"]
 
     def length(s: Column) -> Column:
         return F.sqrt(F.pow(s["x2"] - s["x1"], 2) + F.pow(s["y2"] - s["y1"], 2))
 
-    area = total(F.transform(segments, cross)) / 2
-    outline = total(F.transform(segments, length))
-
-    def pick(first: str, second: str, plain: Column) -> Column:
-        ring = total(F.transform(segments, lambda s: (s[first] + s[second]) * cross(s))) / (6 * area)
-        line = total(F.transform(segments, lambda s: (s[first] + s[second]) / 2 * length(s))) / outline
-        mean = total(plain) / n
-        return (
-            F.when((_col(kind) == "polygon") & (area != 0), ring)
-            .when(_col(kind).isin("polygon", "line") & (outline != 0), line)
-            .when(n > 0, mean)
+    def split(flat: Column) -> Column:
+        return F.struct(
+            F.filter(flat, lambda value, place: place % 2 == 0).alias("xs"),
+            F.filter(flat, lambda value, place: place % 2 == 1).alias("ys"),
         )
 
-    return pick("x1", "x2", xs), pick("y1", "y2", ys)
+    def with_segments(axes: Column) -> Column:
+        n = F.least(F.size(axes["xs"]), F.size(axes["ys"]))
+        segments = F.when(
+            n > 1,
+            F.transform(
+                F.sequence(F.lit(1), n - 1),
+                lambda i: F.struct(
+                    F.get(axes["xs"], i - 1).alias("x1"), F.get(axes["ys"], i - 1).alias("y1"),
+                    F.get(axes["xs"], i).alias("x2"), F.get(axes["ys"], i).alias("y2"),
+                ),
+            ),
+        ).otherwise(F.array().cast("array<struct<x1:double,y1:double,x2:double,y2:double>>"))
+        return F.struct(axes["xs"].alias("xs"), axes["ys"].alias("ys"), n.alias("n"), segments.alias("segments"))
+
+    def with_sizes(shape: Column) -> Column:
+        return F.struct(
+            *[shape[name].alias(name) for name in ("xs", "ys", "n", "segments")],
+            (total(F.transform(shape["segments"], cross)) / 2).alias("area"),
+            total(F.transform(shape["segments"], length)).alias("outline"),
+        )
+
+    def centre(shape: Column) -> Column:
+        area, outline, segments, n = shape["area"], shape["outline"], shape["segments"], shape["n"]
+
+        def pick(first: str, second: str, plain: Column) -> Column:
+            ring = total(F.transform(segments, lambda s: (s[first] + s[second]) * cross(s))) / (6 * area)
+            line = total(F.transform(segments, lambda s: (s[first] + s[second]) / 2 * length(s))) / outline
+            return (
+                F.when((_col(kind) == "polygon") & (area != 0), ring)
+                .when(_col(kind).isin("polygon", "line") & (outline != 0), line)
+                .when(n > 0, total(plain) / n)
+            )
+
+        return F.struct(pick("x1", "x2", shape["xs"]).alias("x"), pick("y1", "y2", shape["ys"]).alias("y"))
+
+    point = let(let(let(let(_col(numbers), split), with_segments), with_sizes), centre)
+    return point["x"], point["y"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +28,11 @@ def _col(value: ColumnLike) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def blank_to_null(value: ColumnLike) -> Column:
     """Value without surrounding white space and control characters; null when nothing is left."""
     trimmed = F.btrim(_col(value), F.lit(_WHITE))
@@ -109,30 +116,40 @@ def decades_between(from_time: ColumnLike, to_time: ColumnLike) -> Column:
     A clamped interval has at most 401 steps, so the array stays small whatever the input is.
     """
     start, stop = interval_bounds(from_time, to_time)
-    steps = F.when(start <= stop, F.sequence(start, stop, F.lit(10))).otherwise(
-        F.array().cast("array<int>")
-    )
-    hundreds = F.filter(steps, lambda year, place: place % 10 == 0)
-    last_decade = decade(F.when(F.size(steps) > 0, F.element_at(steps, -1)).otherwise(start))
-    last_century = century(F.when(F.size(hundreds) > 0, F.element_at(hundreds, -1)).otherwise(start))
 
     def entry(index: str, year: Column) -> Column:
         return F.struct(F.lit(index).alias("index"), year.alias("value"))
 
-    def closing(index: str, value: Column, seen: Column) -> Column:
-        return F.when((value != seen) & (stop > FIRST_YEAR), F.array(entry(index, value))).otherwise(
+    def closing(index: str, value: Column, seen: Column, last: Column) -> Column:
+        return F.when((value != seen) & (last > FIRST_YEAR), F.array(entry(index, value))).otherwise(
             F.array().cast("array<struct<index:string,value:int>>")
         )
 
-    return F.when(
-        start.isNotNull(),
-        F.concat(
+    def last_or(years: Column, first: Column) -> Column:
+        return F.coalesce(F.try_element_at(years, F.lit(-1)), first)
+
+    def entries(span: Column) -> Column:
+        first, last, steps, hundreds = span["first"], span["last"], span["steps"], span["hundreds"]
+        return F.concat(
             F.transform(steps, lambda year: entry("decade", decade(year))),
             F.transform(hundreds, lambda year: entry("century", century(year))),
-            closing("decade", decade(stop), last_decade),
-            closing("century", century(stop), last_century),
-        ),
-    )
+            closing("decade", decade(last), decade(last_or(steps, first)), last),
+            closing("century", century(last), century(last_or(hundreds, first)), last),
+        )
+
+    def with_steps(span: Column) -> Column:
+        def years(size: int) -> Column:
+            return F.when(span["first"] <= span["last"], F.sequence(span["first"], span["last"], F.lit(size))).otherwise(
+                F.array().cast("array<int>")
+            )
+
+        return F.struct(
+            span["first"].alias("first"), span["last"].alias("last"),
+            years(10).alias("steps"), years(100).alias("hundreds"),
+        )
+
+    bounds = F.struct(start.alias("first"), stop.alias("last"))
+    return F.when(start.isNotNull(), let(let(bounds, with_steps), entries))
 
 
 # ---- dates -------------------------------------------------------------------------------

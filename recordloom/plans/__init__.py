@@ -6,7 +6,7 @@ from recordloom.plans.registry import ORACLES, QUERIES, Query
 
 
 def _load() -> None:
-    from recordloom.plans import graph_queries, scalar_queries, search_queries, store_queries  # noqa: F401
+    from recordloom.plans import extract_queries, graph_queries, scalar_queries, search_queries, store_queries  # noqa: F401
 
 
 def all_queries() -> dict[str, Query]:
