@@ -41,6 +41,7 @@ def blank_to_null(value: ColumnLike) -> Column:
 
 # ---- years -------------------------------------------------------------------------------
 
+_ERA = r"^\s*([+-]?\d+)\s*(.)\.kr"
 _ISO = (
     r"^([+-]?\d{1,9})(?:-(\d{1,2})(?:-(\d{1,2}))?|-(\d{3}))?"
     r"(?:t(?:\d{1,2}(?::\d{1,2}(?::\d{1,2}(?:[.,]\d+)?)?)?)?(?:z|[+-]\d{2}(?::?\d{2})?)?)?$"
@@ -49,28 +50,35 @@ _ISO = (
 
 def year_of(value: ColumnLike) -> Column:
     """Year of an ISO date, or of ``N f.kr`` (before Christ, N>0) or ``N e.kr``; else null."""
-    text = F.lower(_col(value))
-    era = F.regexp_extract(text, r"^\s*([+-]?\d+)\s*(.)\.kr", 2)
-    number = F.regexp_extract(text, r"^\s*([+-]?\d+)\s*.\.kr", 1).try_cast("int")
-    by_era = (
-        F.when((era == "f") & (number > 0), F.lit(1) - number)
-        .when((era == "e") & (number >= 0), number)
-    )
-    year = F.regexp_extract(text, _ISO, 1).try_cast("int")
-    month = F.regexp_extract(text, _ISO, 2).try_cast("int")
-    day = F.regexp_extract(text, _ISO, 3).try_cast("int")
-    day_of_year = F.regexp_extract(text, _ISO, 4).try_cast("int")
-    leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
-    month_days = (
-        F.when(month.isin(4, 6, 9, 11), 30).when(month == 2, F.when(leap, 29).otherwise(28)).otherwise(31)
-    )
-    valid = (
-        text.rlike(_ISO)
-        & (month.isNull() | month.between(1, 12))
-        & (day.isNull() | ((day >= 1) & (day <= month_days)))
-        & (day_of_year.isNull() | ((day_of_year >= 1) & (day_of_year <= F.when(leap, 366).otherwise(365))))
-    )
-    return F.when(F.instr(text, ".kr") > 1, by_era).when(valid, year)
+    def groups(text: Column) -> Column:
+        parts = {
+            "era": F.regexp_extract(text, _ERA, 2), "number": F.regexp_extract(text, _ERA, 1).try_cast("int"),
+            **{
+                name: F.regexp_extract(text, _ISO, place).try_cast("int")
+                for place, name in enumerate(("year", "month", "day", "day_of_year"), start=1)
+            },
+        }
+        return F.struct(text.alias("text"), *[part.alias(name) for name, part in parts.items()])
+
+    def read(part: Column) -> Column:
+        year, month, day, day_of_year = part["year"], part["month"], part["day"], part["day_of_year"]
+        number = part["number"]
+        by_era = (
+            F.when((part["era"] == "f") & (number > 0), F.lit(1) - number)
+            .when((part["era"] == "e") & (number >= 0), number)
+        )
+        leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
+        month_days = (
+            F.when(month.isin(4, 6, 9, 11), 30).when(month == 2, F.when(leap, 29).otherwise(28)).otherwise(31)
+        )
+        valid = (
+            (month.isNull() | month.between(1, 12))
+            & (day.isNull() | ((day >= 1) & (day <= month_days)))
+            & (day_of_year.isNull() | day_of_year.between(F.lit(1), F.when(leap, 366).otherwise(365)))
+        )
+        return F.when(F.instr(part["text"], ".kr") > 1, by_era).when(valid, year)
+
+    return let(let(F.lower(_col(value)), groups), read)
 
 
 def tidy_year(value: ColumnLike) -> Column:
@@ -347,10 +355,10 @@ def duration(millis: ColumnLike) -> Column:
 def version_numbers(version: ColumnLike) -> Column:
     """Numeric segments of a version without trailing zeros; null when it is not a version."""
     text = _col(version)
-    numbers = F.transform(F.split(F.rtrim(text, F.lit(".")), r"\."), lambda part: part.try_cast("int"))
-    trimmed = F.when(text.rlike(r"^\d+(\.\d+)*\.*$") & F.contains(text, F.lit(".")), numbers)
-    kept = F.array_max(F.transform(trimmed, lambda number, place: F.when(number > 0, place + 1).otherwise(0)))
-    return F.slice(trimmed, F.lit(1), kept)
+    stated = F.when(text.rlike(r"^\d+(\.\d+)*\.*$") & F.contains(text, F.lit(".")), F.rtrim(text, F.lit(".")))
+    # zeros at the end say nothing: 1.2.0 is 1.2
+    short = F.regexp_replace(stated, r"(\.0+)+$", "")
+    return F.transform(F.split(short, r"\."), lambda part: part.try_cast("int"))
 
 
 def rule_set(version: ColumnLike) -> Column:
@@ -358,15 +366,16 @@ def rule_set(version: ColumnLike) -> Column:
 
     1.11 came out before 1.2.0, so above 1.0 only equality counts.
     """
-    numbers = version_numbers(version)
-
-    def equals(*parts: int) -> Column:
-        return numbers == F.array(*[F.lit(part) for part in parts])
+    def choose(numbers: Column) -> Column:
+        def equals(*parts: int) -> Column:
+            return numbers == F.array(*[F.lit(part) for part in parts])
+
+        return (
+            F.when(equals(1, 3), "1.3.0")
+            .when(equals(1, 2), "1.2.0")
+            .when(equals(1, 11), "1.11")
+            .when(equals(1, 1), "1.1")
+            .when(numbers <= F.array(F.lit(1)), "1.0")
+        )
 
-    return (
-        F.when(equals(1, 3), "1.3.0")
-        .when(equals(1, 2), "1.2.0")
-        .when(equals(1, 11), "1.11")
-        .when(equals(1, 1), "1.1")
-        .when(numbers <= F.array(F.lit(1)), "1.0")
-    )
+    return let(version_numbers(version), choose)

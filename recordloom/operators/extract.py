@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from recordloom.catalog import INDEXES, REPLACES, SAME_AS, YEAR, index_type
 from recordloom.functions import geo, scalars
 from recordloom.functions.scalars import blank_to_null
+from recordloom.operators.shuffle import broadcast_if_small
+from recordloom.session import durable
 from recordloom.vocabulary import (
     CONTEXT_FIELDS, NAMESPACE_STARTS, PUBLIC_NAMESPACES, RESOURCE_FIXES, RULE_SETS, Names, field_rules,
     freetext_groups, relation_rules,
@@ -30,10 +32,10 @@ OLD_TAGS = ("periodAuth", "toPeriodId", "fromPeriodId", "nameAuth", "nameId")
 def versioned(triples: DataFrame, names: Names) -> DataFrame:
     """Triples with ``rules``, the place of the record's rule set; null when it has none."""
     stated = (F.col("via") == "") & (F.col("predicate") == names.full(names.version_property))
-    version = F.max(F.when(stated, blank_to_null("object"))).over(Window.partitionBy("item_id"))
-    places = F.array_position(F.array(*[F.lit(name) for name in RULE_SETS]), scalars.rule_set(version))
-    rules = F.when(places > 0, (places - 1).cast("int"))
-    return triples.withColumn("version", version).withColumn("rules", rules)
+    places = F.array_position(F.array(*[F.lit(name) for name in RULE_SETS]), scalars.rule_set(blank_to_null("object")))
+    # only the row that states the version is examined; the others take its place over
+    rules = F.max(F.when(stated & (places > 0), (places - 1).cast("int"))).over(Window.partitionBy("item_id"))
+    return triples.withColumn("rules", rules)
 
 
 def indexable(triples: DataFrame, names: Names) -> DataFrame:
@@ -47,22 +49,31 @@ def indexable(triples: DataFrame, names: Names) -> DataFrame:
 
 # ---- values ------------------------------------------------------------------------------
 
-def lookup_uri(values: DataFrame, vocab: DataFrame, names: Names) -> DataFrame:
-    """Replace URIs by their label or area code; ``problem`` tells of a URI without either.
+def _labelled(rows: DataFrame, asks: Column, key: Column, vocab: DataFrame) -> DataFrame:
+    """Rows with the vocabulary label of ``key`` as ``_label`` where ``asks`` holds.
 
-    ``values`` has value, object_kind, lookup and rules; ``vocab`` has version, uri and label.
-    Spark broadcasts the vocabulary when it is measured to be small.
+    A vocabulary that is counted to be small is broadcast.  For a large one, rows that do not ask
+    get a key of their own that matches nothing, so they spread out instead of meeting at null.
     """
-    old = F.when(F.col("rules") == 0, "1.0").otherwise("1.1")
+    own = F.concat(F.lit("no uri "), F.xxhash64(*rows.columns).cast("string"))
     labels = vocab.select(
         F.col("version").alias("_version"), F.col("uri").alias("_uri"), F.col("label").alias("_label")
     )
+    keyed = rows.withColumns({
+        "_uri": F.coalesce(F.when(asks, key), own),
+        "_version": F.when(F.col("rules") == 0, "1.0").otherwise("1.1"),
+    })
+    return keyed.join(broadcast_if_small(labels), ["_uri", "_version"], "left").drop("_uri", "_version")
+
+
+def lookup_uri(values: DataFrame, vocab: DataFrame, names: Names) -> DataFrame:
+    """Replace URIs by their label or area code; ``problem`` tells of a URI without either.
+
+    ``values`` has value, object_kind, lookup and rules; ``vocab`` has version, uri and label.
+    """
     asks = (F.col("object_kind") == "uri") & F.col("lookup")
-    keyed = values.withColumn("_key", F.when(asks, F.col("value"))).withColumn("_set", old)
-    joined = keyed.join(
-        labels, (F.col("_key") == F.col("_uri")) & (F.col("_set") == F.col("_version")), "left"
-    )
-    key = F.col("_key")
+    joined = _labelled(values, asks, F.col("value"), vocab)
+    key = F.when(asks, F.col("value"))
     code = F.coalesce(
         scalars.suffix_after(key, names.area("county"), number=True),
         scalars.suffix_after(key, names.area("municipality"), number=True),
@@ -72,9 +83,7 @@ def lookup_uri(values: DataFrame, vocab: DataFrame, names: Names) -> DataFrame:
     )
     found = F.coalesce("_label", code)
     problem = F.when(asks & found.isNull(), F.concat(F.lit("No value for "), key))
-    return joined.withColumns({"value": F.coalesce(found, F.col("value")), "problem": problem}).drop(
-        "_key", "_set", "_version", "_uri", "_label"
-    )
+    return joined.withColumns({"value": F.coalesce(found, F.col("value")), "problem": problem}).drop("_label")
 
 
 def field_values(triples: DataFrame, names: Names, vocab: DataFrame) -> DataFrame:
@@ -142,13 +151,9 @@ def context_types(nodes: DataFrame, vocab: DataFrame, names: Names) -> DataFrame
     Oldest rules: an unknown address with # is ignored, the vocabulary label comes first.  Later
     rules: super type and known type are required, the stated label comes first.
     """
-    labels = vocab.select(
-        F.col("version").alias("_version"), F.col("uri").alias("contextType"), F.col("label").alias("_label")
-    ).filter(F.col("contextType").startswith(names.context_type))
     old = F.col("rules") == 0
-    joined = nodes.withColumn("_version", F.when(old, "1.0").otherwise("1.1")).join(
-        labels, ["_version", "contextType"], "left"
-    )
+    typed = F.col("contextType").startswith(names.context_type)
+    joined = _labelled(nodes, F.coalesce(typed, F.lit(False)), F.col("contextType"), vocab)
     kind = F.nullif(scalars.suffix_after("contextType", names.context_type), F.lit(""))
     above = F.nullif(scalars.suffix_after("contextSuperType", names.context_supertype), F.lit(""))
     kind_old = F.when(~F.contains(kind, F.lit("#")), kind)
@@ -167,7 +172,7 @@ def context_types(nodes: DataFrame, vocab: DataFrame, names: Names) -> DataFrame
         "super": F.when(~old, above),
         "label": label,
         "reason": reason,
-    }).drop("_version", "_label")
+    }).drop("_label")
 
 
 def context_fanout(values: DataFrame) -> DataFrame:
@@ -438,13 +443,14 @@ def extract(
     triples: DataFrame, names: Names, vocab: DataFrame, now: Column, strict: bool = True
 ) -> dict[str, DataFrame]:
     """Tables of one corpus: postings, relations, rejects (item_id, reason), problems (item_id, message)."""
-    known = versioned(indexable(triples, names), names)
+    # read by every step below; the checkpoint keeps the partitioning by item, so no step shuffles again
+    known = durable(versioned(indexable(triples, names), names))
     unknown = known.filter(F.col("rules").isNull()).select(
         "item_id", F.lit("unsupported version").alias("reason")
     ).distinct()
     usable = known.filter(F.col("rules").isNotNull())
 
-    nodes = context_types(context_nodes(usable, names), vocab, names)
+    nodes = durable(context_types(context_nodes(usable, names), vocab, names))
     values = field_values(usable, names, vocab)
     relations, bad_relations = extract_relations(usable, names)
     no_supertype = (

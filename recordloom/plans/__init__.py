@@ -6,7 +6,9 @@ from recordloom.plans.registry import ORACLES, QUERIES, Query
 
 
 def _load() -> None:
-    from recordloom.plans import extract_queries, graph_queries, scalar_queries, search_queries, store_queries  # noqa: F401
+    from recordloom.plans import (  # noqa: F401
+        extract_queries, graph_queries, scalar_queries, search_queries, store_queries, stream_queries,
+    )
 
 
 def all_queries() -> dict[str, Query]:

@@ -102,10 +102,9 @@ SPLIT = "2024-01-16 00:00:00"
 RUN_TS = "2024-02-01 00:00:00"
 
 
-def _event_rows(spark: SparkSession, folder: str) -> DataFrame:
+def event_rows(events: DataFrame) -> DataFrame:
     """Events as harvest rows: the uri repeats, the type error is a delete header."""
     k = F.regexp_extract("props", r"\d+", 0).cast("bigint")
-    events = table(spark, folder, "events")
     key = F.concat(text("user_id"), F.lit("/"), text(k))
     source = F.pmod(F.col("user_id") + F.when(F.col("event_id") % 50 == 0, 1).otherwise(0), F.lit(5))
     return events.select(
@@ -122,7 +121,7 @@ def _event_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 def old_content(spark: SparkSession, folder: str) -> DataFrame:
     """Content before the run: the last event per uri of the first half, tombstones included."""
-    rows = _event_rows(spark, folder).filter(F.col("datestamp") < moment(SPLIT))
+    rows = event_rows(table(spark, folder, "events")).filter(F.col("datestamp") < moment(SPLIT))
     last = rows.groupBy("uri").agg(
         F.max(F.struct("file_pos", "oaiuri", "serviceid", "xmldata", "datestamp", "nativeurl", "event_type")).alias("r"),
         F.min("datestamp").alias("added"),
@@ -140,12 +139,12 @@ def old_content(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def run_records(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _event_rows(spark, folder)
+    rows = event_rows(table(spark, folder, "events"))
     return rows.filter((F.col("datestamp") >= moment(SPLIT)) & (F.col("event_type") != "error")).drop("event_type")
 
 
 def run_headers(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _event_rows(spark, folder)
+    rows = event_rows(table(spark, folder, "events"))
     return rows.filter((F.col("datestamp") >= moment(SPLIT)) & (F.col("event_type") == "error")).select(
         "oaiuri", "serviceid", "datestamp", "file_pos"
     )
@@ -218,9 +217,13 @@ SHOW = (
 
 
 def run_log(spark: SparkSession, folder: str) -> DataFrame:
+    return run_log_rows(table(spark, folder, "events"))
+
+
+def run_log_rows(events: DataFrame) -> DataFrame:
     """Run log: errors and purchases stand for errors and warnings."""
     kind = F.when(F.col("event_type") == "error", 1).when(F.col("event_type") == "purchase", 2).otherwise(0)
-    return table(spark, folder, "events").select(
+    return events.select(
         F.concat(F.lit("svc"), text(F.col("user_id") % 20)).alias("serviceid"),
         kind.cast("bigint").alias("eventtype"),
         F.element_at(F.array(*[F.lit(s) for s in ("FETCH", "STORE", "INDEX", "EMPTYINDEX", "IDLE")]),

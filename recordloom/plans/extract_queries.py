@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from recordloom.operators import extract
 from recordloom.plans.bindings import BASE, NAMES, item_postings, moment, table, text, with_ctes, POSTINGS
 from recordloom.plans.registry import query
-from recordloom.session import durable
 from recordloom.sources import harvest
 from recordloom.vocabulary import PUBLIC_NAMESPACES
 
@@ -439,7 +438,7 @@ def _record_flow(spark, folder):
     # lines without an order make no record
     known = table(spark, folder, "orders").select(_uri(BASE + "item/", "o_orderkey").alias("item_id"))
     triples = all_triples(spark, folder).join(known, "item_id", "left_semi")
-    return extract.extract(durable(triples), NAMES, vocab(spark), moment("2005-01-01 00:00:00"))
+    return extract.extract(triples, NAMES, vocab(spark), moment("2005-01-01 00:00:00"))
 
 
 @query("p00_record_rejects", with_ctes("SELECT item_id, reason FROM bad", _FLOW, _BAD))
