@@ -78,7 +78,9 @@ def year_of(value: ColumnLike) -> Column:
         )
         return F.when(F.instr(part["text"], ".kr") > 1, by_era).when(valid, year)
 
-    return let(let(F.lower(_col(value)), groups), read)
+    # a bare year is the usual case and needs no pattern
+    bare = _col(value).try_cast("int")
+    return F.coalesce(F.when(F.abs(bare) <= 999_999_999, bare), let(let(F.lower(_col(value)), groups), read))
 
 
 def tidy_year(value: ColumnLike) -> Column:

@@ -1,7 +1,7 @@
 """From triples to postings, relations and rejects.
 
-All record-level steps use windows and groups whose keys start with the item, so one repartitioning
-by item serves them all; mapping tables are fixed and broadcast.
+Values and relations are found row by row with fixed, broadcast mapping tables, without a shuffle.
+Only checks of a whole node or record group rows, by keys that start with the item.
 """
 
 from __future__ import annotations
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from recordloom.catalog import INDEXES, REPLACES, SAME_AS, YEAR, index_type
 from recordloom.functions import geo, scalars
-from recordloom.functions.scalars import blank_to_null
-from recordloom.operators.shuffle import broadcast_if_small
+from recordloom.functions.scalars import blank_to_null, let
+from recordloom.operators.shuffle import is_small
 from recordloom.session import durable
 from recordloom.vocabulary import (
     CONTEXT_FIELDS, NAMESPACE_STARTS, PUBLIC_NAMESPACES, RESOURCE_FIXES, RULE_SETS, Names, field_rules,
@@ -29,17 +29,33 @@ OLD_TAGS = ("periodAuth", "toPeriodId", "fromPeriodId", "nameAuth", "nameId")
 
 # ---- versions ----------------------------------------------------------------------------
 
+def _rule_place(version: Column) -> Column:
+    """Place of a version's rule set; the usual spellings need no parsing."""
+    parsed = F.array_position(F.array(*[F.lit(name) for name in RULE_SETS]), scalars.rule_set(version))
+    place = F.when(parsed > 0, (parsed - 1).cast("int"))
+    usual = F.when(version == RULE_SETS[0], 0)
+    for number, name in enumerate(RULE_SETS[1:], start=1):
+        usual = usual.when(version == name, number)
+    return usual.otherwise(place)
+
+
 def versioned(triples: DataFrame, names: Names) -> DataFrame:
-    """Triples with ``rules``, the place of the record's rule set; null when it has none."""
+    """Triples with ``rules``, the place of the record's rule set; null when it has none.
+
+    Parsed records carry their version in every triple.  Triples from elsewhere get it from the row
+    that states it, which gathers each item once.
+    """
+    if "version" in triples.columns:
+        return triples.withColumn("rules", _rule_place(F.col("version")))
     stated = (F.col("via") == "") & (F.col("predicate") == names.full(names.version_property))
-    places = F.array_position(F.array(*[F.lit(name) for name in RULE_SETS]), scalars.rule_set(blank_to_null("object")))
-    # only the row that states the version is examined; the others take its place over
-    rules = F.max(F.when(stated & (places > 0), (places - 1).cast("int"))).over(Window.partitionBy("item_id"))
+    rules = F.max(F.when(stated, _rule_place(blank_to_null("object")))).over(Window.partitionBy("item_id"))
     return triples.withColumn("rules", rules)
 
 
 def indexable(triples: DataFrame, names: Names) -> DataFrame:
     """Triples of records that do not ask to be left out."""
+    if "barred" in triples.columns:
+        return triples.filter(~F.col("barred"))
     barred = (F.col("via") == "") & (F.col("predicate") == names.full("itemForIndexing")) & (
         F.trim("object") == "n"
     )
@@ -55,15 +71,18 @@ def _labelled(rows: DataFrame, asks: Column, key: Column, vocab: DataFrame) -> D
     A vocabulary that is counted to be small is broadcast.  For a large one, rows that do not ask
     get a key of their own that matches nothing, so they spread out instead of meeting at null.
     """
-    own = F.concat(F.lit("no uri "), F.xxhash64(*rows.columns).cast("string"))
     labels = vocab.select(
         F.col("version").alias("_version"), F.col("uri").alias("_uri"), F.col("label").alias("_label")
     )
+    wanted = F.when(asks, key)
+    if is_small(labels):
+        labels = F.broadcast(labels)
+    else:
+        wanted = F.coalesce(wanted, F.concat(F.lit("no uri "), F.xxhash64(*rows.columns).cast("string")))
     keyed = rows.withColumns({
-        "_uri": F.coalesce(F.when(asks, key), own),
-        "_version": F.when(F.col("rules") == 0, "1.0").otherwise("1.1"),
+        "_uri": wanted, "_version": F.when(F.col("rules") == 0, "1.0").otherwise("1.1"),
     })
-    return keyed.join(broadcast_if_small(labels), ["_uri", "_version"], "left").drop("_uri", "_version")
+    return keyed.join(labels, ["_uri", "_version"], "left").drop("_uri", "_version")
 
 
 def lookup_uri(values: DataFrame, vocab: DataFrame, names: Names) -> DataFrame:
@@ -73,17 +92,29 @@ def lookup_uri(values: DataFrame, vocab: DataFrame, names: Names) -> DataFrame:
     """
     asks = (F.col("object_kind") == "uri") & F.col("lookup")
     joined = _labelled(values, asks, F.col("value"), vocab)
-    key = F.when(asks, F.col("value"))
-    code = F.coalesce(
-        scalars.suffix_after(key, names.area("county"), number=True),
-        scalars.suffix_after(key, names.area("municipality"), number=True),
-        scalars.suffix_after(key, names.area("province")),
-        scalars.suffix_after(key, names.area("parish"), number=True),
-        scalars.suffix_after(key, names.area("country")),
+
+    def code(key: Column) -> Column:
+        return F.coalesce(
+            scalars.suffix_after(key, names.area("county"), number=True),
+            scalars.suffix_after(key, names.area("municipality"), number=True),
+            scalars.suffix_after(key, names.area("province")),
+            scalars.suffix_after(key, names.area("parish"), number=True),
+            scalars.suffix_after(key, names.area("country")),
+        )
+
+    def outcome(key: Column, found: Column) -> Column:
+        return F.struct(
+            F.coalesce(found, key).alias("value"),
+            F.when(found.isNull(), F.concat(F.lit("No value for "), key)).alias("problem"),
+        )
+
+    asked = let(
+        F.struct(F.col("value").alias("key"), F.coalesce("_label", code(F.col("value"))).alias("found")),
+        lambda pair: outcome(pair["key"], pair["found"]),
     )
-    found = F.coalesce("_label", code)
-    problem = F.when(asks & found.isNull(), F.concat(F.lit("No value for "), key))
-    return joined.withColumns({"value": F.coalesce(found, F.col("value")), "problem": problem}).drop("_label")
+    plain = F.struct(F.col("value").alias("value"), F.lit(None).cast("string").alias("problem"))
+    looked = joined.withColumn("_out", F.when(asks, asked).otherwise(plain))
+    return looked.withColumns({"value": F.col("_out.value"), "problem": F.col("_out.problem")}).drop("_label", "_out")
 
 
 def field_values(triples: DataFrame, names: Names, vocab: DataFrame) -> DataFrame:
@@ -101,14 +132,23 @@ def field_values(triples: DataFrame, names: Names, vocab: DataFrame) -> DataFram
     ).filter(F.col("value").isNotNull())
     looked = lookup_uri(values, vocab, names)
     years = [name for name in INDEXES if index_type(name) == YEAR]
-    is_year = F.col("index").isin(years)
-    year = F.when(is_year, scalars.year_of("value").cast("string")).otherwise(F.col("value"))
-    bad_year = F.when(
-        is_year & year.isNull(),
-        F.concat(F.lit("Could not interpret date value according to ISO8601 for field: "), F.col("index"),
-                 F.lit(" ("), F.col("value"), F.lit(")")),
+
+    def outcome(value: Column, year: Column) -> Column:
+        message = F.concat(
+            F.lit("Could not interpret date value according to ISO8601 for field: "), F.col("index"),
+            F.lit(" ("), value, F.lit(")"),
+        )
+        return F.struct(
+            year.cast("string").alias("value"), F.when(year.isNull(), message).alias("problem")
+        )
+
+    read = let(
+        F.struct(F.col("value").alias("value"), scalars.year_of("value").alias("year")),
+        lambda pair: outcome(pair["value"], pair["year"]),
     )
-    return looked.withColumns({"raw": F.col("value"), "value": year, "problem": F.coalesce("problem", bad_year)})
+    plain = F.struct(F.col("value").alias("value"), F.col("problem").alias("problem"))
+    dated = looked.withColumn("_out", F.when(F.col("index").isin(years), read).otherwise(plain))
+    return dated.withColumns({"value": F.col("_out.value"), "problem": F.col("_out.problem")}).drop("_out")
 
 
 def single_value_check(triples: DataFrame, names: Names) -> DataFrame:
@@ -234,19 +274,17 @@ def known_time(value: str) -> Column:
 
 def relation_name(predicate: Column, rules: Column, names: Names) -> Column:
     """Relation name of a predicate under a rule set; null when no vocabulary fits."""
-    def after(text: Column, prefix: str) -> Column:
-        return blank_to_null(F.when(F.contains(text, F.lit(prefix)), F.substr(
-            text, F.instr(text, prefix) + len(prefix))))
-
-    own = after(predicate, names.own)
-    cidoc = after(predicate, PUBLIC_NAMESPACES["cidoc"])
-    later = F.coalesce(own, F.when(cidoc.isNotNull(), after(cidoc, ".")).otherwise(
-        after(predicate, PUBLIC_NAMESPACES["bio"])))
+    def after(prefix: str, skip: str = "") -> Column:
+        return F.nullif(F.trim(F.regexp_extract(predicate, rf"\Q{prefix}\E{skip}(.*)$", 1)), F.lit(""))
+
+    own = after(names.own)
+    cidoc, bio = PUBLIC_NAMESPACES["cidoc"], PUBLIC_NAMESPACES["bio"]
+    foreign = F.when(F.contains(predicate, F.lit(cidoc)), after(cidoc, r"[^.]*\.")).otherwise(after(bio))
     return (
         F.when(predicate == names.full("owl:sameAs"), SAME_AS)
         .when(rules == 0, own)
         .when(predicate == names.full("terms:replaces"), REPLACES)
-        .otherwise(later)
+        .otherwise(F.coalesce(own, foreign))
     )
 
 
@@ -259,17 +297,19 @@ def _is_index(name: Column) -> Column:
 
 def extract_relations(triples: DataFrame, names: Names) -> tuple[DataFrame, DataFrame]:
     """Relations (item_id, rel_type, target_uri) and rejects with an unknown relation name."""
-    rules = F.broadcast(relation_rules(triples.sparkSession, names))
+    each = F.explode(F.sequence(F.col("since"), F.lit(len(RULE_SETS) - 1))).alias("rules")
+    # names are worked out on the rules, a few hundred rows, not on the triples
+    named = relation_rules(triples.sparkSession, names).select("via", "predicate", each).withColumn(
+        "rel_type", relation_name(F.col("predicate"), F.col("rules"), names)
+    ).withColumn("good", F.coalesce(_is_index(F.col("rel_type")), F.lit(False)))
     found = (
-        triples.join(rules, ["via", "predicate"])
-        .filter((F.col("since") <= F.col("rules")) & F.col("object_kind").isin("uri", "literal"))
-        .select("item_id", "pos", relation_name(F.col("predicate"), F.col("rules"), names).alias("rel_type"),
-                blank_to_null("object").alias("target_uri"))
+        triples.join(F.broadcast(named), ["via", "predicate", "rules"])
+        .filter(F.col("object_kind").isin("uri", "literal"))
+        .select("item_id", "pos", "rel_type", "good", blank_to_null("object").alias("target_uri"))
         .filter(F.col("target_uri").isNotNull())
     )
-    good = F.coalesce(_is_index(F.col("rel_type")), F.lit(False))
-    rejects = found.filter(~good).select("item_id", F.lit("unknown relation").alias("reason")).distinct()
-    return found.filter(good), rejects
+    rejects = found.filter(~F.col("good")).select("item_id", F.lit("unknown relation").alias("reason")).distinct()
+    return found.filter("good").drop("good"), rejects
 
 
 def relation_postings(relations: DataFrame) -> DataFrame:
@@ -443,7 +483,7 @@ def extract(
     triples: DataFrame, names: Names, vocab: DataFrame, now: Column, strict: bool = True
 ) -> dict[str, DataFrame]:
     """Tables of one corpus: postings, relations, rejects (item_id, reason), problems (item_id, message)."""
-    # read by every step below; the checkpoint keeps the partitioning by item, so no step shuffles again
+    # every step below reads it, and parsing the records is the dear part
     known = durable(versioned(indexable(triples, names), names))
     unknown = known.filter(F.col("rules").isNull()).select(
         "item_id", F.lit("unsupported version").alias("reason")

@@ -14,12 +14,9 @@ TOP_ROWS = 100_000
 SMALL_ROWS = 100_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Broadcast a table of short rows when counting shows at most ``max_rows``; else leave it to Spark.
-
-    The count stops after one row too many.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def is_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> bool:
+    """Whether a table has at most ``max_rows`` rows; counting stops after one row too many."""
+    return df.limit(max_rows + 1).count() <= max_rows
 
 
 def keep_latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

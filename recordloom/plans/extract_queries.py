@@ -21,8 +21,8 @@ def _uri(prefix: str, key: Column | str) -> Column:
     return F.concat(F.lit(prefix), text(key))
 
 
-def _version() -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in _VERSIONS]), (F.col("o_orderkey") % 7 + 1).cast("int"))
+def _version(key: str) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in _VERSIONS]), (F.col(key) % 7 + 1).cast("int"))
 
 
 def item_triples(spark, folder) -> DataFrame:
@@ -34,7 +34,7 @@ def item_triples(spark, folder) -> DataFrame:
     stated = [
         # predicate, object, kind
         (PUBLIC_NAMESPACES["rdf"] + "type", F.lit(full("Entity")), "uri"),
-        (full(NAMES.version_property), _version(), "literal"),
+        (full(NAMES.version_property), _version("o_orderkey"), "literal"),
         (full("itemTitle"), F.concat(F.lit("  Order "), text(key), F.lit(" ")), "literal"),
         (full("itemLabel"), priority, "literal"),
         (full("itemType"), _uri(_TYPE, status), "uri"),
@@ -56,14 +56,14 @@ def item_triples(spark, folder) -> DataFrame:
         for i, (p, o, k) in enumerate(stated)
     ])
     orders = table(spark, folder, "orders")
-    top = orders.select(item.alias("item_id"), F.explode(rows).alias("e")).select(
+    top = orders.select(item.alias("item_id"), _version("o_orderkey").alias("version"), F.explode(rows).alias("e")).select(
         "item_id", F.col("item_id").alias("subject"), F.lit("").alias("via"),
-        "e.predicate", "e.object", "e.object_kind", "e.pos",
+        "e.predicate", "e.object", "e.object_kind", "e.pos", "version",
     ).filter(F.col("object").isNotNull())
     names = orders.select(
         item.alias("item_id"), F.lit("_:n").alias("subject"), F.lit(full("itemName")).alias("via"),
         F.lit(full("name")).alias("predicate"), F.concat(priority, F.lit(" name")).alias("object"),
-        F.lit("literal").alias("object_kind"), F.lit(90).alias("pos"),
+        F.lit("literal").alias("object_kind"), F.lit(90).alias("pos"), _version("o_orderkey").alias("version"),
     )
     return top.unionByName(names)
 
@@ -108,8 +108,9 @@ def context_triples(spark, folder) -> DataFrame:
         ])
         node = F.concat_ws("-", F.lit(subject), text(number), text(part), text(supp))
         return lines.filter(where).select(
-            _uri(BASE + "item/", "l_orderkey").alias("item_id"), node.alias("subject"), F.explode(entries).alias("e")
-        ).select("item_id", "subject", "e.via", "e.predicate", "e.object", "e.object_kind", "e.pos").filter(
+            _uri(BASE + "item/", "l_orderkey").alias("item_id"), node.alias("subject"),
+            _version("l_orderkey").alias("version"), F.explode(entries).alias("e"),
+        ).select("item_id", "subject", "e.via", "e.predicate", "e.object", "e.object_kind", "e.pos", "version").filter(
             F.col("object").isNotNull())
 
     return rows(stated, "_:c", F.lit(True)).unionByName(rows(media, "_:i", number == 4))
@@ -155,9 +156,7 @@ BASE_ROWS = f"""o AS (
 
 
 def _usable(spark, folder) -> DataFrame:
-    known = extract.versioned(all_triples(spark, folder), NAMES)
-    # lines of orders that do not exist carry no version, so they drop out here as well
-    return known.filter(F.col("rules").isNotNull())
+    return extract.versioned(all_triples(spark, folder), NAMES).filter(F.col("rules").isNotNull())
 
 
 @query("p01_extract_fields", with_ctes(f"""
@@ -214,7 +213,8 @@ def uri_lookup(spark, folder):
 SELECT item_id, CASE WHEN o_orderstatus = 'F' AND rules = 0 THEN 'Fulfilled' WHEN o_orderstatus = 'F' THEN 'Finished'
   WHEN o_orderstatus = 'O' AND rules > 0 THEN 'Open' ELSE '{_TYPE}' || o_orderstatus END AS value FROM o WHERE rules IS NOT NULL""", BASE_ROWS))
 def vocab_enrich(spark, folder):
-    values = extract.versioned(item_triples(spark, folder), NAMES).filter(
+    # without the version column: each item is gathered to learn its version
+    values = extract.versioned(item_triples(spark, folder).drop("version"), NAMES).filter(
         (F.col("predicate") == NAMES.full("itemType")) & F.col("rules").isNotNull()
     ).select("item_id", F.col("object").alias("value"), "object_kind", "rules", F.lit(True).alias("lookup"))
     return extract.lookup_uri(values, vocab(spark), NAMES).select("item_id", "value")
@@ -386,7 +386,10 @@ def record_xml(spark, folder) -> DataFrame:
         F.when(F.col("o_orderpriority") == "5-LOW", F.lit("</v:Thing>")).otherwise(F.lit("</v:Entity>")),
         F.lit('<rdf:Description rdf:nodeID="n1"><v:name>'), F.col("o_orderstatus"), F.lit("</v:name></rdf:Description></rdf:RDF>"),
     )
-    return table(spark, folder, "orders").join(grouped, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
+    # parsing costs far more than reading, so the records are spread over the session's partitions
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    orders = table(spark, folder, "orders").repartition(parts, "o_orderkey")
+    return orders.join(grouped, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
         _uri("oai/", "o_orderkey").alias("oaiuri"), F.lit(False).alias("is_deleted"), payload.alias("payload_xml")
     )
 
@@ -435,9 +438,11 @@ _FLOW = BASE_ROWS.replace(
 
 
 def _record_flow(spark, folder):
+    barred = (F.col("o_orderstatus") == "F") & (F.col("o_orderpriority") == "5-LOW")
     # lines without an order make no record
-    known = table(spark, folder, "orders").select(_uri(BASE + "item/", "o_orderkey").alias("item_id"))
-    triples = all_triples(spark, folder).join(known, "item_id", "left_semi")
+    known = table(spark, folder, "orders").select(
+        _uri(BASE + "item/", "o_orderkey").alias("item_id"), barred.alias("barred"))
+    triples = all_triples(spark, folder).join(known, "item_id")
     return extract.extract(triples, NAMES, vocab(spark), moment("2005-01-01 00:00:00"))
 
 

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from recordloom.vocabulary import PUBLIC_NAMESPACES, Names
 
 TRIPLE = (
-    "item_id string, subject string, via string, predicate string, object string, object_kind string, pos int"
+    "item_id string, subject string, via string, predicate string, object string, object_kind string, pos int, "
+    "version string, barred boolean"
 )
 _RDF = PUBLIC_NAMESPACES["rdf"]
 
@@ -103,7 +104,7 @@ def _statements(root: ET.Element) -> list[tuple[str, str, str, str]]:
     return found
 
 
-def _flatten(payload: str, entity: str) -> tuple[list[tuple], str | None]:
+def _flatten(payload: str, entity: str, version: str, gate: str) -> tuple[list[tuple], str | None]:
     """Triple rows of one record, or the reason why it is rejected."""
     try:
         statements = _statements(ET.fromstring(payload))
@@ -117,10 +118,12 @@ def _flatten(payload: str, entity: str) -> tuple[list[tuple], str | None]:
     for subject, predicate, target, kind in statements:
         if subject == item and kind == "blank":
             links.setdefault(target, []).append(predicate)
+    stated = {p: o.strip() for s, p, o, kind in statements if s == item and kind == "literal" and p in (version, gate)}
+    record = (stated.get(version) or None, stated.get(gate) == "n")
     rows = []
     for place, (subject, predicate, target, kind) in enumerate(statements):
         for via in dict.fromkeys(links.get(subject, [None])):
-            rows.append((item, subject, via, predicate, target, kind, place))
+            rows.append((item, subject, via, predicate, target, kind, place, *record))
     return rows, None
 
 
@@ -128,22 +131,23 @@ def record_triples(harvest: DataFrame, names: Names = Names()) -> tuple[DataFram
     """Triples of record payloads and a table of rejected records (oaiuri, reason).
 
     ``via`` is the predicate by which the entity points at the triple's subject ("" for the entity
-    itself), so later steps need no self join to follow a blank node.  RDF/XML nests freely, which
-    fixed-schema XML functions cannot express; the small parser runs per batch of rows.
+    itself), so later steps need no self join to follow a blank node; ``version`` and ``barred`` repeat
+    what the record states about itself, so no step has to gather a record to know it.  RDF/XML nests
+    freely, which fixed-schema XML functions cannot express; the small parser runs per batch of rows.
     """
     entity = names.full("Entity")
+    version, gate = names.full(names.version_property), names.full("itemForIndexing")
+    columns = ["oaiuri", "reason", *[field.strip().split(" ")[0] for field in TRIPLE.split(",")]]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for oaiuri, payload in zip(batch["oaiuri"], batch["payload_xml"]):
-                triples, reason = _flatten(payload, entity)
+                triples, reason = _flatten(payload, entity, version, gate)
                 if reason:
-                    rows.append((oaiuri, reason, None, None, None, None, None, None, None))
+                    rows.append((oaiuri, reason) + (None,) * (len(columns) - 2))
                 rows += [(oaiuri, None, *triple) for triple in triples]
-            yield pd.DataFrame(rows, columns=[
-                "oaiuri", "reason", "item_id", "subject", "via", "predicate", "object", "object_kind", "pos",
-            ]).astype({"pos": "Int32"})
+            yield pd.DataFrame(rows, columns=columns).astype({"pos": "Int32", "barred": "boolean"})
 
     payloads = harvest.filter(~F.col("is_deleted")).select("oaiuri", "payload_xml")
     parsed = payloads.mapInPandas(parse, f"oaiuri string, reason string, {TRIPLE}")
