@@ -47,8 +47,8 @@ def _equals(index: str, value: str) -> Column:
 def _range(index: str, op: str, value: str) -> Column:
     kind = index_type(index)
     if kind in (YEAR, COORDINATE):
-        number = "int" if kind == YEAR else "double"
-        stored, bound = F.col("value").try_cast(number), F.lit(value).cast(number)
+        number, bound = ("int", int(value)) if kind == YEAR else ("double", float(value))
+        stored, bound = F.col("value").try_cast(number), F.lit(bound)
     else:
         stored = F.lower("value") if kind == ANALYZED else _stored(kind)
         bound = F.lit(normalise(index, value))
