@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from recordloom.functions.scalars import ColumnLike, _col
+from recordloom.functions.scalars import ColumnLike, _col, let
 
 WORD = r"[\p{L}\p{N}]+"
 
@@ -31,22 +31,32 @@ def tokens(value: ColumnLike) -> Column:
 
 def stem(word: ColumnLike) -> Column:
     """Swedish stem of a lower-case word."""
-    text = _col(word)
-    head_size = F.length(F.regexp_extract(text, HEAD_PATTERN, 0))
-    # no region when no vowel-consonant pair exists; at least three letters stay before it
-    split = F.when(head_size == 0, F.length(text)).otherwise(F.greatest(head_size, F.lit(3)))
-    head = F.substr(text, F.lit(1), split)
-    tail = F.substr(text, split + 1)
-
-    plain = F.regexp_replace(tail, MAIN_PATTERN, "")
-    genitive = F.concat(head, tail).rlike(f"[{S_LETTERS}]s$") & tail.endswith("s")
-    first = F.when(plain != tail, plain).when(
-        genitive, F.substr(tail, F.lit(1), F.length(tail) - 1)
-    ).otherwise(tail)
-    second = F.when(first.rlike(DOUBLE_PATTERN), F.substr(first, F.lit(1), F.length(first) - 1)).otherwise(first)
-    third = (
-        F.when(second.endswith("fullt"), F.regexp_replace(second, "fullt$", "full"))
-        .when(second.endswith("löst"), F.regexp_replace(second, "löst$", "lös"))
-        .otherwise(F.regexp_replace(second, "(lig|els|ig)$", ""))
-    )
-    return F.concat(head, third)
+    def region(text: Column) -> Column:
+        head_size = F.length(F.regexp_extract(text, HEAD_PATTERN, 0))
+        # no region without a vowel-consonant pair; at least three letters stay before it
+        split = F.when(head_size == 0, F.length(text)).otherwise(F.greatest(head_size, F.lit(3)))
+        return F.struct(F.substr(text, F.lit(1), split).alias("head"), F.substr(text, split + 1).alias("tail"))
+
+    def shorter(text: Column) -> Column:
+        return F.substr(text, F.lit(1), F.length(text) - 1)
+
+    def main_ending(part: Column) -> Column:
+        tail, plain = part["tail"], F.regexp_replace(part["tail"], MAIN_PATTERN, "")
+        genitive = F.concat(part["head"], tail).rlike(f"[{S_LETTERS}]s$") & tail.endswith("s")
+        rest = let(plain, lambda p: F.when(p != tail, p).when(genitive, shorter(tail)).otherwise(tail))
+        return F.struct(part["head"].alias("head"), rest.alias("tail"))
+
+    def double_ending(part: Column) -> Column:
+        tail = part["tail"]
+        rest = F.when(tail.rlike(DOUBLE_PATTERN), shorter(tail)).otherwise(tail)
+        return F.struct(part["head"].alias("head"), rest.alias("tail"))
+
+    def last_ending(part: Column) -> Column:
+        tail = part["tail"]
+        rest = (
+            F.when(tail.endswith("fullt") | tail.endswith("löst"), shorter(tail))
+            .otherwise(F.regexp_replace(tail, "(lig|els|ig)$", ""))
+        )
+        return F.concat(part["head"], rest)
+
+    return let(let(let(let(_col(word), region), main_ending), double_ending), last_ending)

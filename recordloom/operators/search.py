@@ -63,12 +63,13 @@ def bm25(postings: DataFrame, words: Sequence[str], k: int, index: str = "text")
         F.count(F.lit(1)).alias("n"), F.avg("_len").alias("mean"),
         *[F.count_if(F.col(f"_tf{place}") > 0).alias(f"df{place}") for place in range(len(wanted))],
     )
-    n, mean = corpus.select("n").scalar(), corpus.select("mean").scalar()
+    # one subquery for all figures: Spark runs it once
+    figures = corpus.select(F.struct("*")).scalar()
     score = F.lit(0.0)
     for place in range(len(wanted)):
-        df, tf = corpus.select(f"df{place}").scalar(), F.col(f"_tf{place}")
-        idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_len") / mean))
+        df, tf = figures[f"df{place}"], F.col(f"_tf{place}")
+        idf = F.log(1 + (figures["n"] - df + 0.5) / (df + 0.5))
+        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_len") / figures["mean"]))
     found = F.greatest(*[F.col(f"_tf{place}") for place in range(len(wanted))], F.lit(0)) > 0
     return (
         rows.filter(found)
