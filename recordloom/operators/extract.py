@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from recordloom.catalog import INDEXES, REPLACES, SAME_AS, YEAR, index_type
 from recordloom.functions import geo, scalars
-from recordloom.functions.scalars import blank_to_null, let
+from recordloom.functions.scalars import blank_to_null
 from recordloom.operators.shuffle import is_small
 from recordloom.session import durable
 from recordloom.vocabulary import (
@@ -93,28 +93,26 @@ def lookup_uri(values: DataFrame, vocab: DataFrame, names: Names) -> DataFrame:
     asks = (F.col("object_kind") == "uri") & F.col("lookup")
     joined = _labelled(values, asks, F.col("value"), vocab)
 
-    def code(key: Column) -> Column:
-        return F.coalesce(
-            scalars.suffix_after(key, names.area("county"), number=True),
-            scalars.suffix_after(key, names.area("municipality"), number=True),
-            scalars.suffix_after(key, names.area("province")),
-            scalars.suffix_after(key, names.area("parish"), number=True),
-            scalars.suffix_after(key, names.area("country")),
-        )
+    key = F.when(asks, F.col("value"))
+    code = F.coalesce(
+        scalars.suffix_after(key, names.area("county"), number=True),
+        scalars.suffix_after(key, names.area("municipality"), number=True),
+        scalars.suffix_after(key, names.area("province")),
+        scalars.suffix_after(key, names.area("parish"), number=True),
+        scalars.suffix_after(key, names.area("country")),
+    )
+    looked = _with_computed(joined, _found=F.coalesce("_label", code))
+    problem = F.when(asks & F.col("_found").isNull(), F.concat(F.lit("No value for "), F.col("value")))
+    return looked.withColumns({"value": F.coalesce("_found", "value"), "problem": problem}).drop("_label", "_found")
 
-    def outcome(key: Column, found: Column) -> Column:
-        return F.struct(
-            F.coalesce(found, key).alias("value"),
-            F.when(found.isNull(), F.concat(F.lit("No value for "), key)).alias("problem"),
-        )
 
-    asked = let(
-        F.struct(F.col("value").alias("key"), F.coalesce("_label", code(F.col("value"))).alias("found")),
-        lambda pair: outcome(pair["key"], pair["found"]),
-    )
-    plain = F.struct(F.col("value").alias("value"), F.lit(None).cast("string").alias("problem"))
-    looked = joined.withColumn("_out", F.when(asks, asked).otherwise(plain))
-    return looked.withColumns({"value": F.col("_out.value"), "problem": F.col("_out.problem")}).drop("_label", "_out")
+def _with_computed(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are worked out once per row.
+
+    A plain column is copied into every filter and expression that mentions it; a generated one is not.
+    """
+    made = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return rows.select("*", F.inline(F.array(made)))
 
 
 def field_values(triples: DataFrame, names: Names, vocab: DataFrame) -> DataFrame:
@@ -133,22 +131,16 @@ def field_values(triples: DataFrame, names: Names, vocab: DataFrame) -> DataFram
     looked = lookup_uri(values, vocab, names)
     years = [name for name in INDEXES if index_type(name) == YEAR]
 
-    def outcome(value: Column, year: Column) -> Column:
-        message = F.concat(
-            F.lit("Could not interpret date value according to ISO8601 for field: "), F.col("index"),
-            F.lit(" ("), value, F.lit(")"),
-        )
-        return F.struct(
-            year.cast("string").alias("value"), F.when(year.isNull(), message).alias("problem")
-        )
-
-    read = let(
-        F.struct(F.col("value").alias("value"), scalars.year_of("value").alias("year")),
-        lambda pair: outcome(pair["value"], pair["year"]),
+    is_year = F.col("index").isin(years)
+    dated = _with_computed(looked, _year=F.when(is_year, scalars.year_of("value")))
+    bad = F.concat(
+        F.lit("Could not interpret date value according to ISO8601 for field: "), F.col("index"),
+        F.lit(" ("), F.col("value"), F.lit(")"),
     )
-    plain = F.struct(F.col("value").alias("value"), F.col("problem").alias("problem"))
-    dated = looked.withColumn("_out", F.when(F.col("index").isin(years), read).otherwise(plain))
-    return dated.withColumns({"value": F.col("_out.value"), "problem": F.col("_out.problem")}).drop("_out")
+    return dated.withColumns({
+        "value": F.when(is_year, F.col("_year").cast("string")).otherwise(F.col("value")),
+        "problem": F.when(is_year & F.col("_year").isNull(), bad).otherwise(F.col("problem")),
+    }).drop("_year")
 
 
 def single_value_check(triples: DataFrame, names: Names) -> DataFrame:
