@@ -188,3 +188,27 @@ def read_vocab_files(spark: SparkSession, paths: dict[str, list[str]], row_tag:
     for part in parts[1:]:
         entries = entries.unionByName(part)
     return entries
+
+
+# ---- validation --------------------------------------------------------------------------
+
+def validation_messages(spark: SparkSession, path: str, row_tag: str, xsd: str, fields: str) -> DataFrame:
+    """(message, row, col) of records that are malformed or do not match a schema file.
+
+    The XML reader checks each record against ``xsd`` (a path that every executor can read);
+    ``fields`` is the expected shape.  ``aggregate.message_report`` sums the messages up.
+    """
+    rows = (
+        spark.read.format("xml").option("rowTag", row_tag).option("rowValidationXSDPath", xsd)
+        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
+        .schema(f"{fields}, _bad string").load(path)
+    )
+    names = [name for name in rows.columns if name != "_bad"]
+    # the reader refuses a query for the record text alone, so the filter reads the fields as well
+    text = F.concat_ws("", "_bad", *names)
+    bad = F.col("_bad").isNotNull() & (F.length(text) >= F.length("_bad"))
+    placed = rows.withColumn("row", F.monotonically_increasing_id())
+    return placed.filter(bad).select(
+        F.lit("record does not match the schema").alias("message"), (F.col("row") + 1).alias("row"),
+        F.lit(1).cast("bigint").alias("col"),
+    )

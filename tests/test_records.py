@@ -253,3 +253,16 @@ def test_vocabulary_files(spark, tmp_path):
             f'<rdf:RDF xmlns:rdf="urn:r" xmlns="urn:v"><Term rdf:ID="t"><name>{label}</name></Term></rdf:RDF>', encoding="utf-8")
     entries = harvest.read_vocab_files(spark, {"1.1": [str(tmp_path / "1.rdf"), str(tmp_path / "2.rdf")]}, "Term", "name", "http://b")
     assert [tuple(r) for r in harvest.load_vocab(entries).collect()] == [("1.1", "http://b#t", "second")]
+
+
+def test_validation(spark, tmp_path):
+    (tmp_path / "r.xsd").write_text("""<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="record"><xs:complexType>
+      <xs:sequence><xs:element name="year" type="xs:integer"/></xs:sequence></xs:complexType></xs:element></xs:schema>""")
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "a.xml").write_text(
+        "<l><record><year>1900</year></record><record><year>old</year></record><record><age>3</age></record></l>")
+    from recordloom.operators.aggregate import message_report
+
+    messages = harvest.validation_messages(spark, str(source), "record", str(tmp_path / "r.xsd"), "year string")
+    assert [tuple(r) for r in message_report(messages).collect()] == [("record does not match the schema", 2, 2, 1)]
