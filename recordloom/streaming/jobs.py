@@ -26,12 +26,14 @@ def write_version(changes: DataFrame, path: str, version: int) -> None:
     changes.select(*store.COLUMNS).write.mode("overwrite").parquet(f"{path}/version={version}")
 
 
+def _versions(spark: SparkSession, path: str, below: int | None) -> DataFrame:
+    rows = spark.read.schema(store.CONTENT + ", version bigint").parquet(path)
+    return rows if below is None else rows.filter(F.col("version") < below)
+
+
 def read_store(spark: SparkSession, path: str, below: int | None = None) -> DataFrame:
     """Newest row per uri over all versions, or over those below one."""
-    rows = spark.read.schema(store.CONTENT + ", version bigint").parquet(path)
-    if below is not None:
-        rows = rows.filter(F.col("version") < below)
-    return keep_latest(rows, ["uri"], ["version"]).select(*store.COLUMNS)
+    return keep_latest(_versions(spark, path, below), ["uri"], ["version"]).select(*store.COLUMNS)
 
 
 def compact(spark: SparkSession, path: str, target: str) -> None:
@@ -39,15 +41,17 @@ def compact(spark: SparkSession, path: str, target: str) -> None:
     write_version(read_store(spark, path), target, 0)
 
 
-def changed_rows(content: DataFrame, records: DataFrame, headers: DataFrame, run_ts: Column) -> DataFrame:
-    """Rows that a run inserts, updates or deletes; only matching store rows are read into it."""
-    by_uri = content.join(records.select("uri").distinct(), "uri", "left_semi")
-    by_header = content.join(
-        headers.select("serviceid", "oaiuri").distinct(), ["serviceid", "oaiuri"], "left_semi"
-    )
-    touched = by_uri.unionByName(by_header).dropDuplicates(["uri"])
-    changes = store.apply_run(touched, records, headers, run_ts)
-    return changes.filter(F.col("action").isNotNull())
+def changed_rows(versions: DataFrame, records: DataFrame, headers: DataFrame, run_ts: Column) -> DataFrame:
+    """Rows that a run inserts, updates or deletes.
+
+    Delete headers are matched on three narrow columns first; payloads are read, and the newest row
+    picked, only for uris that the run may touch.
+    """
+    keys = ["serviceid", "oaiuri"]
+    by_header = versions.select("uri", *keys).join(headers.select(*keys).distinct(), keys, "left_semi")
+    uris = records.select("uri").unionByName(by_header.select("uri")).distinct()
+    touched = keep_latest(versions.join(uris, "uri", "left_semi"), ["uri"], ["version"]).select(*store.COLUMNS)
+    return store.apply_run(touched, records, headers, run_ts).filter(F.col("action").isNotNull())
 
 
 def upsert_batch(
@@ -69,7 +73,7 @@ def upsert_batch(
         records, headers = split(batch)
         if order_by == "datestamp":
             records = keep_latest(records, ["uri"], ["datestamp", "file_pos"]).drop("hits")
-        before = read_store(spark, path, below=version)
+        before = _versions(spark, path, below=version)
         write_version(changed_rows(before, records, headers, run_ts()), path, version)
 
     return handle
