@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm import forest_join
+from recordloom.llm import forest_join, language_backoff, quality_trees
 from recordloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,8 +16,20 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest_join.ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_backoff.identify(docs, language_backoff.fit(docs))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_trees.score(docs, quality_trees.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_language_id": op2_language_id,
+    "op4_quality_classifier": op4_quality_classifier,
 }
 
 ORACLES: dict[str, str] = {}
