@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm import forest_join, language_backoff, quality_trees
+from recordloom.llm import forest_join, language_backoff, pfor_files, quality_trees, separator_scan
 from recordloom.llm.common import table
 
+# Where the public tokenizers lie is a parameter of the operators; the queries take the installed files.
+TOKENIZER = "word_bpe_49k.json"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -26,10 +29,26 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_trees.score(docs, quality_trees.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfor_files.token_files(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return separator_scan.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_language_id": op2_language_id,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_token_output": op5_token_output,
+    "op7_token_counts": op7_token_counts,
 }
 
 ORACLES: dict[str, str] = {}
