@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm import forest_join, language_backoff, pfor_files, quality_trees, separator_scan
+from recordloom.llm import (
+    forest_join, language_backoff, pfor_files, quality_trees, separator_scan, temperature_mix, template_leaks,
+)
 from recordloom.llm.common import table
 
 # Where the public tokenizers lie is a parameter of the operators; the queries take the installed files.
@@ -43,12 +45,69 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separator_scan.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return temperature_mix.mix(table(spark, sf_dir, "documents"))
+
+
+# The mixture with its default parameters: bisected exponent, whole epochs, and the rest by the order of the last epoch.
+_MIX_SQL = """
+WITH RECURSIVE counted AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ \\t\\r\\n]+')), 0)::BIGINT AS n FROM documents
+), sources AS (
+  SELECT source, sum(n)::BIGINT AS tokens FROM counted GROUP BY source
+), ends AS (
+  SELECT max(tokens)::DOUBLE / min(tokens) AS ratio FROM sources WHERE tokens > 0
+), bisect(step, low, high) AS (
+  SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+  UNION ALL
+  SELECT step + 1, CASE WHEN pow(ratio, 1 - (low + high) / 2) <= 2.0 THEN low ELSE (low + high) / 2 END,
+         CASE WHEN pow(ratio, 1 - (low + high) / 2) <= 2.0 THEN (low + high) / 2 ELSE high END
+  FROM bisect, ends WHERE step < 60
+), edge AS (
+  SELECT high AS e FROM bisect WHERE step = 60
+), weights AS (
+  SELECT source, tokens, CASE WHEN tokens > 0 THEN pow(tokens::DOUBLE, e) / sum(CASE WHEN tokens > 0 THEN pow(tokens::DOUBLE, e) END) OVER () ELSE 0 END AS w
+  FROM sources, edge
+), targets AS (
+  SELECT source, tokens, round(w * max(CASE WHEN w > 0 THEN tokens / w END) OVER ())::BIGINT AS target FROM weights
+), plan AS (
+  SELECT source, tokens, target, CASE WHEN tokens > 0 THEN target // tokens ELSE 1 END AS epochs,
+         CASE WHEN tokens > 0 THEN target - (target // tokens) * tokens ELSE 0 END AS rest,
+         CASE WHEN tokens > 0 THEN target / tokens ELSE 1.0 END AS reads
+  FROM targets
+), placed AS (
+  SELECT d.doc_id, d.source, d.n, p.epochs, p.rest, p.reads, md5(p.epochs || '|' || coalesce(d.doc_id::VARCHAR, '')) AS digest
+  FROM counted d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source
+), filled AS (
+  SELECT *, coalesce(sum(n) OVER (PARTITION BY source ORDER BY digest, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sofar FROM placed
+), cuts AS (
+  SELECT source, max({'digest': digest, 'n': n}) AS last FROM filled WHERE rest > 0 AND sofar < rest GROUP BY source
+), times AS (
+  SELECT p.*, p.epochs + CASE WHEN c.last IS NOT NULL AND {'digest': p.digest, 'n': p.n} <= c.last THEN 1 ELSE 0 END AS times
+  FROM placed p LEFT JOIN cuts c ON p.source IS NOT DISTINCT FROM c.source
+), read AS (
+  SELECT doc_id, source, n, reads, unnest(range(times)) AS epoch FROM times
+), hexed AS (
+  SELECT *, substr(md5(epoch || '|' || coalesce(doc_id::VARCHAR, '')), 1, 3) AS h FROM read
+), blocks AS (
+  SELECT *, ((strpos('0123456789abcdef', substr(h, 1, 1)) - 1) * 256 + (strpos('0123456789abcdef', substr(h, 2, 1)) - 1) * 16
+             + strpos('0123456789abcdef', substr(h, 3, 1)) - 1)::BIGINT AS block FROM hexed
+)
+SELECT doc_id, source, n AS n_tokens, epoch, block, (epoch + (block + 0.5::DOUBLE) / 4096) / greatest(reads, 1e-9) AS turn FROM blocks
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_language_id": op2_language_id,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_token_output": op5_token_output,
     "op7_token_counts": op7_token_counts,
+    "op9_decontamination": op9_decontamination,
+    "op10_source_mix": op10_source_mix,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_source_mix": _MIX_SQL}
