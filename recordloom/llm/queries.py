@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from recordloom.llm import (
-    forest_join, language_backoff, pfor_files, quality_trees, separator_scan, temperature_mix, template_leaks,
+    forest_join, language_backoff, permutation_index, pfor_files, quality_trees, separator_scan, temperature_mix, template_leaks,
 )
 from recordloom.llm.common import table
 
@@ -26,6 +26,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_backoff.identify(docs, language_backoff.fit(docs))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_trees.score(docs, quality_trees.fit(docs, table(spark, sf_dir, "labels")))
@@ -103,6 +107,7 @@ SELECT doc_id, source, n AS n_tokens, epoch, block, (epoch + (block + 0.5::DOUBL
 QUERIES: dict[str, Query] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_language_id": op2_language_id,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_token_output": op5_token_output,
     "op7_token_counts": op7_token_counts,
