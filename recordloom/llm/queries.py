@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from recordloom.llm import (
-    forest_join, language_backoff, permutation_index, pfor_files, quality_trees, separator_scan, temperature_mix, template_leaks,
+    forest_join, language_backoff, permutation_index, pfor_files, quality_trees, separator_scan, site_templates, temperature_mix, template_leaks,
 )
 from recordloom.llm.common import table
 
@@ -45,6 +45,10 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor_files.token_files(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_templates.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separator_scan.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -110,6 +114,7 @@ QUERIES: dict[str, Query] = {
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_token_output": op5_token_output,
+    "op6_html_text": op6_html_text,
     "op7_token_counts": op7_token_counts,
     "op9_decontamination": op9_decontamination,
     "op10_source_mix": op10_source_mix,
