@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.llm.common import new_folder, stored
-from recordloom.llm.tokens import Encoder, batches_of, read_file, write_file
+from recordloom.llm.tokens import batches_of, encoder, read_file, write_file
 
 MAGIC = b"PFORIDS1"
 BLOCK, FILE_IDS, END = 1024, 4_000_000, 1
@@ -146,7 +146,7 @@ def decode(raw: bytes, offsets: np.ndarray, size: int = BLOCK) -> np.ndarray:
 
 def _writer(folder: str, tokenizer: str, end: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, held, n, place, part = Encoder(tokenizer), [], 0, 0, None
+        coder, held, n, place, part = encoder(tokenizer), [], 0, 0, None
 
         def flush() -> pa.RecordBatch:
             doc_ids, lengths, ids = (np.concatenate([h[k] for h in held]) for k in range(3))
@@ -160,7 +160,7 @@ def _writer(folder: str, tokenizer: str, end: int):
             if part is None and batch.num_rows:
                 part = batch.column("part")[0].as_py()
             for cut in batches_of(texts):
-                ids, sizes = encoder.encode(texts[cut], end)
+                ids, sizes = coder.encode(texts[cut], end)
                 held.append((doc_ids[cut], sizes, ids))
                 n += len(ids)
                 if n >= FILE_IDS:

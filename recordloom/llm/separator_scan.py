@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.llm.common import new_folder, stored
-from recordloom.llm.tokens import Encoder, batches_of, read_file, write_file
+from recordloom.llm.tokens import batches_of, encoder, read_file, write_file
 
 SEPARATOR, BLOCK_BYTES, FILE_IDS = 49407, 1 << 20, 8_000_000
 _ID = np.dtype("<u2")
@@ -33,7 +33,7 @@ _ID = np.dtype("<u2")
 
 def _writer(folder: str, tokenizer: str, separator: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, held, doc_ids, n = Encoder(tokenizer, specials_are_text=True), [], [], 0
+        coder, held, doc_ids, n = encoder(tokenizer, specials_are_text=True), [], [], 0
 
         def flush() -> pa.RecordBatch:
             path = f"{folder}/tokens-{uuid.uuid4().hex}.u16"
@@ -45,7 +45,7 @@ def _writer(folder: str, tokenizer: str, separator: int):
         for batch in batches:
             texts, own = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
             for cut in batches_of(texts):
-                ids, _ = encoder.encode(texts[cut], separator)
+                ids, _ = coder.encode(texts[cut], separator)
                 held.append(ids.astype(_ID))
                 doc_ids.extend(own[cut])
                 n += len(ids)

@@ -5,12 +5,17 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Sequence
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow.fs as pafs
 
 
+MARK = "\ue000"  # a private-use character
+SIGNS = ".,!?;:"
+
+
 class _Places(dict):
     """chunk -> place in the tables; a new chunk gets the next place and waits to be encoded."""
 
@@ -29,11 +34,11 @@ class _Places(dict):
 class Encoder:
     """Ids of whole texts for a tokenizer that splits at white space and drops it.
 
-    Such a tokenizer never looks across a space, so each distinct chunk between spaces is encoded once and remembered, up
+    Such a tokenizer never looks across a space (``__init__`` and ``_encode_new`` check what they rely on), so each distinct chunk between spaces is encoded once and remembered, up
     to a bound; texts are then gathered from the remembered ids.  The ids equal those of the whole text.
     """
 
-    CHUNKS, LETTERS = 200_000, 8_000_000
+    CHUNKS, LETTERS = 700_000, 32_000_000
 
     def __init__(self, path: str, specials_are_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
@@ -41,25 +46,69 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = specials_are_text
+        probe = self.tokenizer.encode("Ab,", add_special_tokens=False).ids  # letters lower case and cut off from signs
+        if probe != [t.id for t in self.tokenizer.model.tokenize("ab")] + self._ids(",").tolist():
+            raise ValueError("made for tokenizers in lower case that split letters from signs")
         self._forget()
 
     def _forget(self) -> None:
         self.places = _Places()
+        self.sign_ids: dict[str, list[int]] = {}
         self.lengths, self.starts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def _learn(self) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch(self.places.new, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        total = int(lengths.sum())
+        found, lengths = self._encode_new(self.places.new)
+        total = len(found)
         while self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used:self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
+        self.ids[self.used:self.used + total] = found
         self.starts = np.concatenate([self.starts, self.used + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.used += total
         self.places.new = []
 
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _encode_new(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks one after the other, and each one's number of ids.
+
+        A chunk of plain letters and a sign or two goes straight to the library's merges.  The others go through the whole
+        of it, as one text with a mark between them that none of them holds.
+        """
+        found: list = [None] * len(chunks)
+        rest = []
+        for i, chunk in enumerate(chunks):
+            stem = chunk.rstrip(SIGNS)
+            if stem.isalpha() and stem.isascii():
+                ids = [t.id for t in self.tokenizer.model.tokenize(stem.lower())]
+                found[i] = ids + self._sign_ids(chunk[len(stem):]) if len(stem) < len(chunk) else ids
+            elif MARK in chunk:
+                found[i] = self._ids(chunk)
+            else:
+                rest.append(i)
+        if rest:
+            mark = self._ids(MARK)
+            ids = np.concatenate([self._ids(f" {MARK} ".join([chunks[i] for i in rest])), mark])
+            at = np.ones(len(ids) - len(mark) + 1, bool)
+            for k, m in enumerate(mark):
+                at &= ids[k:len(ids) - len(mark) + 1 + k] == m
+            ends = np.flatnonzero(at).tolist()
+            if len(ends) != len(rest):
+                raise ValueError("the tokenizer does not keep chunks apart at spaces")
+            start, ids = 0, ids.tolist()
+            for i, end in zip(rest, ends):
+                found[i] = ids[start:end]
+                start = end + len(mark)
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
+
+    def _sign_ids(self, signs: str) -> list[int]:
+        if signs not in self.sign_ids:
+            self.sign_ids[signs] = self._ids(signs).tolist()
+        return self.sign_ids[signs]
+
     def encode(self, texts: Sequence[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, each text followed by ``end``; and each text's number of ids."""
         if len(self.places) > self.CHUNKS or self.places.letters > self.LETTERS:
@@ -81,6 +130,12 @@ class Encoder:
         return out, sizes
 
 
+@lru_cache(2)
+def encoder(path: str, specials_are_text: bool = False) -> Encoder:
+    """One per worker process, kept from task to task."""
+    return Encoder(path, specials_are_text)
+
+
 def batches_of(texts: Sequence[str | None], letters: int = 1_000_000) -> list[slice]:
     """Consecutive slices of about so many letters."""
     cuts, start, size = [], 0, 0
