@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from recordloom.llm import (
-    forest_join, language_backoff, permutation_index, pfor_files, quality_trees, separator_scan, site_templates, temperature_mix, template_leaks,
+    compact_windows, forest_join, language_backoff, permutation_index, pfor_files, quality_trees, separator_scan, site_templates,
+    temperature_mix, template_leaks,
 )
 from recordloom.llm.common import table
 
@@ -53,6 +54,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separator_scan.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return template_leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -116,6 +121,7 @@ QUERIES: dict[str, Query] = {
     "op5_token_output": op5_token_output,
     "op6_html_text": op6_html_text,
     "op7_token_counts": op7_token_counts,
+    "op8_repeated_passages": op8_repeated_passages,
     "op9_decontamination": op9_decontamination,
     "op10_source_mix": op10_source_mix,
 }
