@@ -1,11 +1,21 @@
-"""A training corpus from documents: stages that each call one operator of ``recordloom.llm``."""
+"""A training corpus from documents: stages that each call one operator of ``recordloom.llm``.
+
+Every stage but the last returns the columns of ``documents``; each works on all that its predecessor kept, and its result is
+written and read again by the next one.  Any table may be empty and any column null: the operators say what they do then.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm import forest_join
+from recordloom.llm import forest_join, pfor_files, quality_trees, temperature_mix, template_leaks
 from recordloom.llm.common import stored, table
+from recordloom.llm.queries import tokenizer_path
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality_trees.keep_good(docs, quality_trees.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,16 +23,35 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return forest_join.keep_one(docs)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak a benchmark item go."""
+    return template_leaks.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; those of small sources come up to twice, as the weights ask."""
+    return temperature_mix.mixed_rows(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids in packed files, and what reading them gives."""
+    return pfor_files.token_files(docs, tokenizer_path())
+
+
 STAGES = [
+    ("quality classifier", quality),
     ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontaminate),
+    ("mixing to target weights", mix),
+    ("token-ID output", tokens),
 ]
 
-# The stages are learned models, hashes and files: checked by tests against brute force instead.
+# Trained trees, min-hashes and files of ids have no SQL: the tests hold the rows against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written and read again by the next."""
+    """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for place, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
