@@ -69,7 +69,8 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The mixture with its default parameters: bisected exponent, whole epochs, and the rest by the order of the last epoch.
 _MIX_SQL = """
 WITH RECURSIVE counted AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ \\t\\r\\n]+')), 0)::BIGINT AS n FROM documents
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ \\t\\r\\n]+')), 0)::BIGINT AS n,
+         coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) AS key FROM documents
 ), sources AS (
   SELECT source, sum(n)::BIGINT AS tokens FROM counted GROUP BY source
 ), ends AS (
@@ -93,24 +94,24 @@ WITH RECURSIVE counted AS (
          CASE WHEN tokens > 0 THEN target / tokens ELSE 1.0 END AS reads
   FROM targets
 ), placed AS (
-  SELECT d.doc_id, d.source, d.n, p.epochs, p.rest, p.reads, md5(p.epochs || '|' || coalesce(d.doc_id::VARCHAR, '')) AS digest
+  SELECT d.doc_id, d.source, d.n, d.key, p.epochs, p.rest, p.reads, md5(p.epochs || '|' || d.key) AS digest
   FROM counted d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source
 ), filled AS (
-  SELECT *, coalesce(sum(n) OVER (PARTITION BY source ORDER BY digest, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sofar FROM placed
+  SELECT *, coalesce(sum(n) OVER (PARTITION BY source ORDER BY digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sofar FROM placed
 ), cuts AS (
-  SELECT source, max({'digest': digest, 'n': n}) AS last FROM filled WHERE rest > 0 AND sofar < rest GROUP BY source
+  SELECT source, max(digest) AS last FROM filled WHERE rest > 0 AND sofar < rest GROUP BY source
 ), times AS (
-  SELECT p.*, p.epochs + CASE WHEN c.last IS NOT NULL AND {'digest': p.digest, 'n': p.n} <= c.last THEN 1 ELSE 0 END AS times
+  SELECT p.*, p.epochs + CASE WHEN p.digest <= c.last THEN 1 ELSE 0 END AS times
   FROM placed p LEFT JOIN cuts c ON p.source IS NOT DISTINCT FROM c.source
 ), read AS (
-  SELECT doc_id, source, n, reads, unnest(range(times)) AS epoch FROM times
+  SELECT doc_id, source, n, key, reads, unnest(range(times)) AS epoch FROM times
 ), hexed AS (
-  SELECT *, substr(md5(epoch || '|' || coalesce(doc_id::VARCHAR, '')), 1, 3) AS h FROM read
+  SELECT *, substr(md5(epoch || '|' || key), 1, 3) AS h FROM read
 ), blocks AS (
   SELECT *, ((strpos('0123456789abcdef', substr(h, 1, 1)) - 1) * 256 + (strpos('0123456789abcdef', substr(h, 2, 1)) - 1) * 16
              + strpos('0123456789abcdef', substr(h, 3, 1)) - 1)::BIGINT AS block FROM hexed
 )
-SELECT doc_id, source, n AS n_tokens, epoch, block, (epoch + (block + 0.5::DOUBLE) / 4096) / greatest(reads, 1e-9) AS turn FROM blocks
+SELECT doc_id, source, n AS n_tokens, epoch, block, least((epoch + (block + 0.5::DOUBLE) / 4096) / greatest(reads, 1e-9), 1.0) AS turn FROM blocks
 """
 
 QUERIES: dict[str, Query] = {

@@ -18,8 +18,8 @@ by name); their table is counted before it is broadcast.
 
 Results.  One row per reading of a document: ``doc_id``, ``source``, ``n_tokens`` (runs of characters that are not blank), ``epoch`` (from 0),
 ``block``, ``turn``.  Rows without source are a source of their own (null).  Documents without tokens (null, empty) weigh nothing: they
-are read once per full epoch of their source, in the rest only with their block.  A source without any token is read once.  Repeated
-rows are read each; rows without doc_id have the same place.  An empty table gives no row.
+are read once per full epoch of their source, in the rest by their place.  A source without any token is read once.  Repeated
+rows are read each, from the same place; a row without doc_id has its place from its text.  An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -92,62 +92,67 @@ def mixture(sources: DataFrame, max_repeat: float = MAX_REPEAT, entropy: float |
         "source", "tokens", "exponent", "weight", "target", "epochs", "rest")
 
 
+def _key() -> Column:
+    """What places a row: its doc_id, or its text if it has none."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+
+
 def _digest(epoch: Column) -> Column:
-    return F.md5(F.concat_ws("|", epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    return F.md5(F.concat_ws("|", epoch.cast("string"), F.col("__mix_key")).cast("binary"))
 
 
 def _block(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 3), 16, 10).cast("bigint")
 
 
-def readings(docs: DataFrame, columns: list[str], **options) -> DataFrame:
-    """Every reading of every document with ``columns`` of ``docs``, and source, n_tokens, epoch, block, turn."""
-    counted = docs.withColumn("_source", F.col("source")).withColumn(
-        "_n", F.coalesce(F.regexp_count("text", F.lit(_TOKEN)), F.lit(0)).cast("bigint"))
-    sizes = stored(counted.select("doc_id", "_source", "_n"), "sizes")
-    sources = sizes.groupBy(F.col("_source").alias("source")).agg(F.sum("_n").alias("tokens"))
+def sizes_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, _key, _source, _n) of every row, written: the only pass that counts tokens."""
+    count = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(_TOKEN)), F.lit(0)).cast("bigint")
+    return stored(docs.select("doc_id", _key().alias("__mix_key"), F.col("source").alias("__mix_source"), count.alias("__mix_n")), "sizes")
+
+
+def readings(rows: DataFrame, sizes: DataFrame, columns: list[str], **options) -> DataFrame:
+    """``columns`` of every reading of ``rows`` (with _key, _source), and _source, _epoch, _block, _turn."""
+    sources = sizes.groupBy(F.col("__mix_source").alias("source")).agg(F.sum("__mix_n").alias("tokens"))
     mixed = stored(mixture(stored(sources, "sources"), **options), "mixture")
-    plan = mixed.select(
-        F.col("source").alias("p_source"), "epochs", "rest",
-        F.when(F.col("tokens") > 0, F.col("target") / F.col("tokens")).otherwise(1.0).alias("reads"))
-    plan = side(plan)
-    own = F.col("_source").eqNullSafe(F.col("p_source"))
+    plan = side(mixed.select(
+        F.col("source").alias("__mix_p_source"), F.col("epochs").alias("__mix_epochs"), F.col("rest").alias("__mix_rest"),
+        F.when(F.col("tokens") > 0, F.col("target") / F.col("tokens")).otherwise(1.0).alias("__mix_reads")))
+    own = F.col("__mix_source").eqNullSafe(F.col("__mix_p_source"))
 
     # how far each source gets in the epoch that is not full
-    last = sizes.join(plan, own).filter("rest > 0").withColumn("digest", _digest(F.col("epochs"))).withColumn(
+    last = sizes.join(plan, own).filter("__mix_rest > 0").withColumn("digest", _digest(F.col("__mix_epochs"))).withColumn(
         "block", _block(F.col("digest")))
-    blocks = last.groupBy("_source", "rest", "block").agg(F.sum("_n").alias("tokens"))
-    before = Window.partitionBy("_source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = last.groupBy("__mix_source", "__mix_rest", "block").agg(F.sum("__mix_n").alias("tokens"))
+    before = Window.partitionBy("__mix_source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("before", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
-    reached = blocks.filter("before < rest and before + tokens >= rest").groupBy("_source").agg(
+    reached = blocks.filter("before < __mix_rest and before + tokens >= __mix_rest").groupBy("__mix_source").agg(
         F.max_by("block", "before").alias("edge"), F.max("before").alias("edge_before"))
-    reached = stored(reached.select(F.col("_source").alias("e_source"), "edge", "edge_before"), "edges")
-    inside = last.join(side(reached), F.col("_source").eqNullSafe(F.col("e_source"))).filter("block = edge")
-    order = Window.partitionBy("_source").orderBy("digest", "_n").rowsBetween(Window.unboundedPreceding, -1)
-    cut = inside.withColumn("sofar", F.col("edge_before") + F.coalesce(F.sum("_n").over(order), F.lit(0))).filter(
-        "sofar < rest").groupBy("_source").agg(F.max(F.struct("digest", "_n")).alias("last"))
-    cut = stored(cut.select(F.col("_source").alias("c_source"), F.col("last.digest").alias("c_digest"), F.col("last._n").alias("c_n")), "cuts")
-
-    read = counted.join(plan, own).join(side(cut), F.col("_source").eqNullSafe(F.col("c_source")), "left")
-    digest = _digest(F.col("epochs"))
-    extra = F.coalesce(F.struct(digest.alias("digest"), F.col("_n")) <= F.struct(F.col("c_digest").alias("digest"), F.col("c_n").alias("_n")), F.lit(False))
-    extra = F.coalesce(F.col("c_digest").isNotNull() & extra, F.lit(False))
-    times = F.col("epochs") + extra.cast("bigint")
-    read = read.withColumn("_times", times).filter("_times > 0").withColumn(
-        "_epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_times") - 1)))
-    block = _block(_digest(F.col("_epoch")))
-    return read.withColumn("_block", block).select(
-        *columns, F.col("_source"), F.col("_n"), F.col("_epoch"), F.col("_block"),
-        ((F.col("_epoch") + (F.col("_block") + 0.5) / BLOCKS) / F.greatest("reads", F.lit(1e-9))).alias("_turn"))
+    reached = stored(reached.select(F.col("__mix_source").alias("e_source"), "edge", "edge_before"), "edges")
+    inside = last.join(side(reached), F.col("__mix_source").eqNullSafe(F.col("e_source"))).filter("block = edge")
+    order = Window.partitionBy("__mix_source").orderBy("digest").rowsBetween(Window.unboundedPreceding, -1)
+    cut = inside.withColumn("sofar", F.col("edge_before") + F.coalesce(F.sum("__mix_n").over(order), F.lit(0))).filter(
+        "sofar < __mix_rest").groupBy("__mix_source").agg(F.max("digest").alias("__mix_c_digest"))
+    cut = side(stored(cut.withColumnRenamed("__mix_source", "__mix_c_source"), "cuts"))
+
+    read = rows.join(plan, own).join(cut, F.col("__mix_source").eqNullSafe(F.col("__mix_c_source")), "left")
+    extra = F.coalesce(_digest(F.col("__mix_epochs")) <= F.col("__mix_c_digest"), F.lit(False))
+    read = read.withColumn("__mix_times", F.col("__mix_epochs") + extra.cast("bigint")).filter("__mix_times > 0").withColumn(
+        "__mix_epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__mix_times") - 1)))
+    read = read.withColumn("__mix_block", _block(_digest(F.col("__mix_epoch"))))
+    turn = F.least((F.col("__mix_epoch") + (F.col("__mix_block") + 0.5) / BLOCKS) / F.greatest("__mix_reads", F.lit(1e-9)), F.lit(1.0))
+    return read.select(*columns, "__mix_source", "__mix_epoch", "__mix_block", turn.alias("__mix_turn"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The readings: doc_id, source, n_tokens, epoch, block, turn; see the module."""
-    return readings(docs, ["doc_id"], **options).select(
-        "doc_id", F.col("_source").alias("source"), F.col("_n").alias("n_tokens"), F.col("_epoch").alias("epoch"),
-        F.col("_block").alias("block"), F.col("_turn").alias("turn"))
+    sizes = sizes_of(docs)
+    return readings(sizes, sizes, ["doc_id", "__mix_n"], **options).select(
+        "doc_id", F.col("__mix_source").alias("source"), F.col("__mix_n").alias("n_tokens"), F.col("__mix_epoch").alias("epoch"),
+        F.col("__mix_block").alias("block"), F.col("__mix_turn").alias("turn"))
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, each as often as it is read."""
-    return readings(docs, list(docs.columns), **options).select(*docs.columns)
+    rows = docs.withColumns({"__mix_key": _key(), "__mix_source": F.col("source")})
+    return readings(rows, sizes_of(docs), list(docs.columns), **options).select(*docs.columns)
