@@ -67,12 +67,12 @@ def write_flat(docs: DataFrame, folder: str, tokenizer: str, separator: int = SE
         ids.mapInArrow(_writer(folder, tokenizer, separator), "path string, bytes bigint, doc_ids array<bigint>"), "flat")
 
 
-def _searcher(separator: int):
+def _searcher(separator: int, block_bytes: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                start = row["block"] * BLOCK_BYTES
-                size = min(BLOCK_BYTES, row["bytes"] - start)
+                start = row["block"] * block_bytes
+                size = min(block_bytes, row["bytes"] - start)
                 ids = np.frombuffer(read_file(row["path"], start, size), _ID)
                 found = np.flatnonzero(ids == separator) + start // _ID.itemsize
                 last = start + size == row["bytes"]
@@ -85,16 +85,16 @@ def _searcher(separator: int):
     return search
 
 
-def scan(files: DataFrame, separator: int = SEPARATOR, blocks_per_task: int = 16) -> DataFrame:
-    """Documents of flat files (path, bytes); see the module."""
+def scan(files: DataFrame, separator: int = SEPARATOR, block_bytes: int = BLOCK_BYTES, blocks_per_task: int = 16) -> DataFrame:
+    """Documents of flat files (path, bytes); see the module.  ``block_bytes`` is a multiple of an id's two bytes."""
     blocks = stored(
         files.filter("bytes > 0").select(
-            "path", "bytes", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.ceil(F.col("bytes") / BLOCK_BYTES) - 1).cast("bigint"))).alias("block")),
+            "path", "bytes", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.ceil(F.col("bytes") / block_bytes) - 1).cast("bigint"))).alias("block")),
         "blocks")
     tasks = max(1, -(-blocks.count() // blocks_per_task))
     found = stored(
         blocks.repartition(tasks, "path", "block").mapInArrow(
-            _searcher(separator), "path string, block bigint, ends array<bigint>, open_end boolean"), "ends")
+            _searcher(separator, block_bytes), "path string, block bigint, ends array<bigint>, open_end boolean"), "ends")
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = found.select(
         "path", "ends", "open_end",
