@@ -112,27 +112,52 @@ def kilometres(lon1: ColumnLike, lat1: ColumnLike, lon2: ColumnLike, lat2: Colum
     return 2 * EARTH_RADIUS_KM * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
 
 
+_NUMBER = r"-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?"
+_RING = r"(?s)<(?:\w+:)?(exterior|interior|outerBoundaryIs|innerBoundaryIs)\b[^>]*>(.*?)</(?:\w+:)?\1>"
+_MEMBER = r"(?s)<(?:\w+:)?(LinearRing|LineStringSegment|LineString|Point)\b[^>]*>(.*?)</(?:\w+:)?\1>"
+_COORDINATES = r"(?s)<(?:\w+:)?(?:coordinates|posList|pos)\b[^>]*>([^<]*)<"
+
+
+def _numbers(body: Column) -> Column:
+    """Numbers of all coordinate elements in a piece of markup, in order."""
+    text = F.array_join(F.regexp_extract_all(body, F.lit(_COORDINATES), F.lit(1)), " ")
+    return F.transform(F.regexp_extract_all(text, F.lit(_NUMBER), F.lit(0)), lambda n: n.try_cast("double"))
+
+
 def geometry_parts(markup: ColumnLike) -> dict[str, Column]:
-    """Code, kind and coordinate numbers of a geometry written as markup."""
+    """Code, kind and parts (numbers, hole) of a geometry written as markup.
+
+    A part is a ring, a line or a point with all its coordinate elements; markup without such members is one part.
+    """
     text = _col(markup)
     code = F.regexp_extract(text, r'srsName="[^"]*?(\d+)"', 1).try_cast("int")
-    body = F.regexp_extract(text, r"<(?:\w+:)?(?:coordinates|posList|pos)[^>]*>([^<]*)<", 1)
-    numbers = F.transform(
-        F.regexp_extract_all(body, F.lit(r"-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?"), F.lit(0)),
-        lambda number: number.try_cast("double"),
-    )
     kind = (
-        F.when(text.rlike(r"<(\w+:)?Polygon"), "polygon")
-        .when(text.rlike(r"<(\w+:)?LineString"), "line")
+        F.when(text.rlike(r"<(\w+:)?(Polygon|Surface|MultiSurface)"), "polygon")
+        .when(text.rlike(r"<(\w+:)?(LineString|Curve)"), "line")
         .otherwise("points")
     )
-    return {"epsg": code, "kind": kind, "numbers": numbers}
+
+    def part(body: Column, hole: Column) -> Column:
+        return F.struct(_numbers(body).alias("numbers"), hole.alias("hole"))
+
+    rings = F.transform(
+        F.arrays_zip(
+            F.regexp_extract_all(text, F.lit(_RING), F.lit(1)).alias("role"),
+            F.regexp_extract_all(text, F.lit(_RING), F.lit(2)).alias("body")),
+        lambda r: part(r["body"], r["role"].startswith("i")))
+    members = F.transform(F.regexp_extract_all(text, F.lit(_MEMBER), F.lit(2)), lambda body: part(body, F.lit(False)))
+    whole = F.array(part(text, F.lit(False)))
+    parts = F.when(F.size(rings) > 0, rings).when(F.size(members) > 0, members).otherwise(whole)
+    # three numbers a point are not read
+    flat = F.when(~text.rlike(r'srsDimension="[^2]"'), parts)
+    return {"epsg": code, "kind": kind, "parts": flat}
 
 
-def centroid(numbers: ColumnLike, kind: ColumnLike) -> tuple[Column, Column]:
-    """Centroid of ``x, y, x, y, ...``: mean of points, length-weighted line, area-weighted ring.
+def centroid(parts: ColumnLike, kind: ColumnLike) -> tuple[Column, Column]:
+    """Centroid over all parts: mean of points, length-weighted lines, area-weighted rings less their holes.
 
-    A ring without area falls back to its outline, a line without length to its points.
+    ``parts`` has numbers (``x, y, x, y, ...``) and hole.  Rings without area fall back to their outlines, lines without length to
+    their points.
     """
     def total(values: Column) -> Column:
         return F.aggregate(values, F.lit(0.0), lambda acc, value: acc + value)
@@ -143,10 +168,11 @@ def centroid(numbers: ColumnLike, kind: ColumnLike) -> tuple[Column, Column]:
     def length(s: Column) -> Column:
         return F.sqrt(F.pow(s["x2"] - s["x1"], 2) + F.pow(s["y2"] - s["y1"], 2))
 
-    def split(flat: Column) -> Column:
+    def split(part: Column) -> Column:
         return F.struct(
-            F.filter(flat, lambda value, place: place % 2 == 0).alias("xs"),
-            F.filter(flat, lambda value, place: place % 2 == 1).alias("ys"),
+            F.filter(part["numbers"], lambda value, place: place % 2 == 0).alias("xs"),
+            F.filter(part["numbers"], lambda value, place: place % 2 == 1).alias("ys"),
+            part["hole"].alias("hole"),
         )
 
     def with_segments(axes: Column) -> Column:
@@ -161,28 +187,37 @@ def centroid(numbers: ColumnLike, kind: ColumnLike) -> tuple[Column, Column]:
                 ),
             ),
         ).otherwise(F.array().cast("array<struct<x1:double,y1:double,x2:double,y2:double>>"))
-        return F.struct(axes["xs"].alias("xs"), axes["ys"].alias("ys"), n.alias("n"), segments.alias("segments"))
+        return F.struct(axes["xs"].alias("xs"), axes["ys"].alias("ys"), n.alias("n"), axes["hole"].alias("hole"), segments.alias("segments"))
 
     def with_sizes(shape: Column) -> Column:
+        segments, turned = shape["segments"], total(F.transform(shape["segments"], cross)) / 2
+        sign = F.signum(turned) * F.when(shape["hole"], -1.0).otherwise(1.0)
+
+        def moment(first: str, second: str) -> Column:
+            return sign * total(F.transform(segments, lambda s: (s[first] + s[second]) * cross(s))) / 6
+
+        def along(first: str, second: str) -> Column:
+            return total(F.transform(segments, lambda s: (s[first] + s[second]) / 2 * length(s)))
+
         return F.struct(
-            *[shape[name].alias(name) for name in ("xs", "ys", "n", "segments")],
-            (total(F.transform(shape["segments"], cross)) / 2).alias("area"),
-            total(F.transform(shape["segments"], length)).alias("outline"),
+            (sign * turned).alias("area"), moment("x1", "x2").alias("area_x"), moment("y1", "y2").alias("area_y"),
+            total(F.transform(segments, length)).alias("outline"), along("x1", "x2").alias("line_x"), along("y1", "y2").alias("line_y"),
+            shape["n"].cast("double").alias("n"), total(shape["xs"]).alias("n_x"), total(shape["ys"]).alias("n_y"),
         )
 
-    def centre(shape: Column) -> Column:
-        area, outline, segments, n = shape["area"], shape["outline"], shape["segments"], shape["n"]
+    def centre(shapes: Column) -> Column:
+        def over(name: str) -> Column:
+            return total(F.transform(shapes, lambda s: s[name]))
 
-        def pick(first: str, second: str, plain: Column) -> Column:
-            ring = total(F.transform(segments, lambda s: (s[first] + s[second]) * cross(s))) / (6 * area)
-            line = total(F.transform(segments, lambda s: (s[first] + s[second]) / 2 * length(s))) / outline
+        def pick(axis: str) -> Column:
             return (
-                F.when((_col(kind) == "polygon") & (area != 0), ring)
-                .when(_col(kind).isin("polygon", "line") & (outline != 0), line)
-                .when(n > 0, total(plain) / n)
+                F.when((_col(kind) == "polygon") & (over("area") != 0), over(f"area_{axis}") / over("area"))
+                .when(_col(kind).isin("polygon", "line") & (over("outline") != 0), over(f"line_{axis}") / over("outline"))
+                .when(over("n") > 0, over(f"n_{axis}") / over("n"))
             )
 
-        return F.struct(pick("x1", "x2", shape["xs"]).alias("x"), pick("y1", "y2", shape["ys"]).alias("y"))
+        return F.struct(pick("x").alias("x"), pick("y").alias("y"))
 
-    point = let(let(let(let(_col(numbers), split), with_segments), with_sizes), centre)
+    shapes = F.transform(_col(parts), lambda part: let(let(let(part, split), with_segments), with_sizes))
+    point = let(shapes, centre)
     return point["x"], point["y"]

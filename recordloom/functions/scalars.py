@@ -182,12 +182,11 @@ def iso_problem(index: ColumnLike, identifier: ColumnLike, value: ColumnLike, no
     text, moment = _col(value), iso_timestamp(value)
     return F.when(
         text.isNotNull() & moment.isNull(),
-        F.concat(F.lit("Could not interpret '"), _col(index), F.lit("' as ISO8601: "), text),
+        F.concat(_col(index), F.lit(" is not a date: "), text),
     ).when(
         moment > now.cast("timestamp"),
         F.concat(
-            F.lit("The date in '"), _col(index), F.lit("' for "), _col(identifier),
-            F.lit(" is in the future: "), text,
+            _col(index), F.lit(" of "), _col(identifier), F.lit(" lies in the future: "), text,
         ),
     )
 

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.catalog import ANALYZED, COUNTED_INDEXES, LOWER, index_exists, index_type, normalise
 from recordloom.functions.text import tokens
 from recordloom.operators.shuffle import top_per_group
-from recordloom.session import durable
+from recordloom.session import written
 
-# Largest product of term lists, and term and suggestion counts when not given.
+# Largest product of term lists that is listed whole, and suggestions when no number is given.
 MAX_COMBINATIONS = 20_000
-DEFAULT_TERMS = 1000
 DEFAULT_SUGGESTIONS = 3
 
 
@@ -24,8 +25,8 @@ def _check(indexes: Sequence[str]) -> None:
         raise ValueError(f"unknown index: {', '.join(unknown)}")
 
 
-def terms_of(postings: DataFrame, indexes: Sequence[str]) -> DataFrame:
-    """Distinct (item_id, index, value) with values as the index stores them: lower case or words."""
+def _stored_values(postings: DataFrame, indexes: Sequence[str]) -> DataFrame:
+    """(item_id, index, value) with values as the index stores them: lower case or words."""
     _check(indexes)
     analysed = [name for name in indexes if index_type(name) == ANALYZED]
     lowered = [name for name in indexes if index_type(name) == LOWER]
@@ -37,8 +38,12 @@ def terms_of(postings: DataFrame, indexes: Sequence[str]) -> DataFrame:
     if analysed:
         words = F.explode(F.array_distinct(tokens("value"))).alias("value")
         parts.append(postings.filter(F.col("index").isin(analysed)).select("item_id", "index", words))
-    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return rows.distinct()
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def terms_of(postings: DataFrame, indexes: Sequence[str]) -> DataFrame:
+    """Distinct (item_id, index, value) with values as the index stores them."""
+    return _stored_values(postings, indexes).distinct()
 
 
 def facet(
@@ -72,7 +77,7 @@ def unique_values(
     rows = postings.filter(F.col("index").isin(list(indexes)))
     if items is not None:
         rows = rows.join(items.select("item_id"), "item_id", "left_semi")
-    values = terms_of(rows, indexes)
+    values = _stored_values(rows, indexes).select("index", "value")
     counter = F.approx_count_distinct if approx else F.count_distinct
     return values.groupBy("index").agg(counter("value").alias("n"))
 
@@ -81,22 +86,24 @@ def _prefix(index: str, pattern: str | None) -> str:
     return normalise(index, pattern.replace("*", "")) if pattern and pattern.replace("*", "") else ""
 
 
-def _term_counts(postings: DataFrame, index: str, pattern: str | None, min_count: int) -> DataFrame:
-    found = terms_of(postings, [index])
-    prefix = _prefix(index, pattern)
-    if prefix:
-        found = found.filter(F.col("value").startswith(prefix))
-    return (
-        found.groupBy("index", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_count)
-    )
+def _wanted(specs: Sequence[tuple[str, str | None]]) -> Column:
+    """Rows of the indexes whose value starts as the pattern says."""
+    rules = [(F.col("index") == index) & F.col("value").startswith(_prefix(index, pattern)) for index, pattern in specs]
+    return reduce(lambda a, b: a | b, rules)
+
+
+def _term_counts(postings: DataFrame, specs: Sequence[tuple[str, str | None]], min_count: int) -> DataFrame:
+    """Items per index and value, for all indexes in one pass."""
+    found = terms_of(postings, [index for index, _ in specs]).filter(_wanted(specs))
+    return found.groupBy("index", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_count)
 
 
 def terms(
-    postings: DataFrame, index: str, prefix: str | None = None, min_count: int = 0, n: int = DEFAULT_TERMS
+    postings: DataFrame, index: str, prefix: str | None = None, min_count: int = 0, n: int | None = None
 ) -> DataFrame:
-    """Most frequent values of an index with a prefix; every ``*`` in the prefix is ignored."""
-    counted = _term_counts(postings, index, prefix, min_count)
-    return counted.orderBy(F.desc("n"), F.asc("value")).limit(n)
+    """Values of an index with a prefix, all or the ``n`` most frequent; every ``*`` in the prefix is ignored."""
+    ordered = _term_counts(postings, [(index, prefix)], min_count).orderBy(F.desc("n"), F.asc("value"))
+    return ordered if n is None else ordered.limit(n)
 
 
 def suggest(
@@ -119,16 +126,13 @@ def suggest(
 def _term_lists(
     postings: DataFrame, specs: Mapping[str, str | None], remove_below: int, cap: int
 ) -> tuple[dict[str, DataFrame], int]:
-    """Term list per index, each checked to be small, and the size of their product."""
-    lists, total = {}, 1
-    for index, pattern in specs.items():
-        # the list is kept, so the size check and the later joins do not aggregate twice
-        found = durable(_term_counts(postings, index, pattern, remove_below).select("value").limit(cap + 1))
-        lists[index] = found
-        total *= found.count()
+    """Term list per index, from one pass over the postings, and the size of their product, checked first."""
+    counted = written(_term_counts(postings, list(specs.items()), remove_below).select("index", "value"))
+    sizes = {row["index"]: row["count"] for row in counted.groupBy("index").count().collect()}
+    total = math.prod(sizes.get(index, 0) for index in specs)
     if total > cap:
-        raise ValueError(f"the term lists have {total} or more combinations, the limit is {cap}")
-    return lists, total
+        raise ValueError(f"the term lists have {total} combinations, the limit is {cap}")
+    return {index: counted.filter(F.col("index") == index).select("value") for index in specs}, total
 
 
 def _product(lists: Mapping[str, DataFrame], total: int) -> DataFrame:
@@ -166,25 +170,13 @@ def statistic(
     """Items per combination of values; with ``remove_below`` 0 empty combinations are listed.
 
     One shuffle by item gathers the item's values per index (at most one term list each), and the
-    combinations are exploded from there.  ``items`` restricts the counts, not the term lists.
+    combinations are exploded from there.  ``items`` restricts the counts, not the term lists.  ``cap`` bounds the listing of
+    empty combinations, nothing else.
     """
-    lists, total = _term_lists(postings, specs, remove_below, cap)
     columns = [f"v{place}" for place in range(1, len(specs) + 1)]
-    rows = terms_of(postings, list(specs))
+    rows = terms_of(postings, list(specs)).filter(_wanted(list(specs.items())))
     if items is not None:
         rows = rows.join(items.select("item_id"), "item_id", "left_semi")
-    wanted = None
-    for index, values in lists.items():
-        part = values.select(F.lit(index).alias("index"), "value")
-        wanted = part if wanted is None else wanted.unionByName(part)
-    if remove_below > 0:
-        # each list has at most ``cap`` rows
-        rows = rows.join(F.broadcast(wanted), ["index", "value"], "left_semi")
-    else:
-        for index, pattern in specs.items():
-            prefix = _prefix(index, pattern)
-            if prefix:
-                rows = rows.filter((F.col("index") != index) | F.col("value").startswith(prefix))
     gathered = rows.groupBy("item_id").agg(
         *[
             F.collect_list(F.when(F.col("index") == index, F.col("value"))).alias(column)
@@ -194,8 +186,9 @@ def statistic(
     for column in columns:
         gathered = gathered.withColumn(column, F.explode(column))
     counts = gathered.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
-    if remove_below > 0:
+    if remove_below > 0:  # a combination is never more frequent than its terms: no list is needed
         return counts.filter(F.col("n") >= remove_below)
+    lists, total = _term_lists(postings, specs, remove_below, cap)
     return _product(lists, total).join(counts, columns, "left").na.fill(0, ["n"])
 
 

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from recordloom.catalog import INDEXES, REPLACES, SAME_AS, YEAR, index_type
 from recordloom.functions import geo, scalars
 from recordloom.functions.scalars import blank_to_null
-from recordloom.operators.shuffle import is_small
 from recordloom.session import durable
 from recordloom.vocabulary import (
     CONTEXT_FIELDS, NAMESPACE_STARTS, PUBLIC_NAMESPACES, RESOURCE_FIXES, RULE_SETS, Names, field_rules,
@@ -68,17 +67,13 @@ def indexable(triples: DataFrame, names: Names) -> DataFrame:
 def _labelled(rows: DataFrame, asks: Column, key: Column, vocab: DataFrame) -> DataFrame:
     """Rows with the vocabulary label of ``key`` as ``_label`` where ``asks`` holds.
 
-    A vocabulary that is counted to be small is broadcast.  For a large one, rows that do not ask
-    get a key of their own that matches nothing, so they spread out instead of meeting at null.
+    Rows that do not ask get a key of their own that matches nothing, so they spread out instead of meeting at null; how the
+    join is run is left to adaptive execution.
     """
     labels = vocab.select(
         F.col("version").alias("_version"), F.col("uri").alias("_uri"), F.col("label").alias("_label")
     )
-    wanted = F.when(asks, key)
-    if is_small(labels):
-        labels = F.broadcast(labels)
-    else:
-        wanted = F.coalesce(wanted, F.concat(F.lit("no uri "), F.xxhash64(*rows.columns).cast("string")))
+    wanted = F.coalesce(F.when(asks, key), F.concat(F.lit("no uri "), F.xxhash64(*rows.columns).cast("string")))
     keyed = rows.withColumns({
         "_uri": wanted, "_version": F.when(F.col("rules") == 0, "1.0").otherwise("1.1"),
     })
@@ -102,7 +97,7 @@ def lookup_uri(values: DataFrame, vocab: DataFrame, names: Names) -> DataFrame:
         scalars.suffix_after(key, names.area("country")),
     )
     looked = _with_computed(joined, _found=F.coalesce("_label", code))
-    problem = F.when(asks & F.col("_found").isNull(), F.concat(F.lit("No value for "), F.col("value")))
+    problem = F.when(asks & F.col("_found").isNull(), F.concat(F.lit("vocabulary has no entry for "), F.col("value")))
     return looked.withColumns({"value": F.coalesce("_found", "value"), "problem": problem}).drop("_label", "_found")
 
 
@@ -134,7 +129,7 @@ def field_values(triples: DataFrame, names: Names, vocab: DataFrame) -> DataFram
     is_year = F.col("index").isin(years)
     dated = _with_computed(looked, _year=F.when(is_year, scalars.year_of("value")))
     bad = F.concat(
-        F.lit("Could not interpret date value according to ISO8601 for field: "), F.col("index"),
+        F.lit("not a date: "), F.col("index"),
         F.lit(" ("), F.col("value"), F.lit(")"),
     )
     return dated.withColumns({
@@ -368,7 +363,7 @@ def system_fields(triples: DataFrame, names: Names) -> tuple[DataFrame, DataFram
     back = F.lower("value").startswith(names.base) & F.col("index").isin("_htmlurl", "_museumdaturl")
     label = F.when(F.col("index") == "_htmlurl", "HTML").otherwise("Museumdat")
     problems = stated.filter(back).select(
-        "item_id", F.concat(label, F.lit(" URL starts with "), F.lit(names.base)).alias("message")
+        "item_id", F.concat(label, F.lit(" address points back to "), F.lit(names.base)).alias("message")
     )
     return ids.unionByName(stated), problems
 
@@ -409,8 +404,8 @@ def geo_points(coordinates: DataFrame) -> DataFrame:
     first = coordinates.groupBy("item_id").agg(F.min(F.struct("pos", "markup"))["markup"].alias("markup"))
     parts = geo.geometry_parts("markup")
     shaped = first.select("item_id", parts["epsg"].alias("epsg"), parts["kind"].alias("kind"),
-                          parts["numbers"].alias("numbers"))
-    x, y = geo.centroid("numbers", "kind")
+                          parts["parts"].alias("parts"))
+    x, y = geo.centroid("parts", "kind")
     centred = shaped.select("item_id", "epsg", x.alias("x"), y.alias("y"))
     lon, lat = geo.to_wgs84_any("x", "y", "epsg")
     return centred.select("item_id", lon.alias("lon"), lat.alias("lat"))

@@ -7,10 +7,7 @@ from pyspark.sql import functions as F
 
 from recordloom.catalog import ONE_WAY, RELATED, REPLACES, REPLACES_PUBLIC, SAME_AS, inverse_names
 from recordloom.operators.shuffle import top_per_group
-from recordloom.session import durable
-
-# Fixed value: relations returned when no number is given.
-DEFAULT_EDGES = 10_000
+from recordloom.session import durable, written
 
 MODES = ("no", "yes", "sourceOnly", "targetsOnly")
 
@@ -54,7 +51,7 @@ def _fingerprint(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Hang every larger neighbour of a node on the smallest node around it."""
     around = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = written(around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
     moved = around.filter(F.col("b") > F.col("a")).join(least, "a")
     return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
@@ -62,18 +59,18 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     """Hang a node and its smaller neighbours on the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = written(down.groupBy("a").agg(F.min("b").alias("m")))
     moved = down.join(least, "a").filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     own = least.select("a", F.col("m").alias("b"))
     return moved.unionByName(own).distinct()
 
 
-def components(relations: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(relations: DataFrame) -> DataFrame:
     """Closure over sameAs and replaces in both directions as (uri, component).
 
     Alternating large-star and small-star rounds end in one star per component in about log-squared
-    rounds, also for chains.  The minimum of a hub is taken map-side, so its edges are never listed
-    in one place; each round is checkpointed.  The component is named by its smallest uri.
+    rounds, also for chains; they go on until nothing moves.  Edges and minima are written tables, so both sides of a join
+    are plain scans and adaptive execution splits the edges of a hub.  The component is named by its smallest uri.
     """
     edges = (
         relations.filter(F.col("rel_type").isin(SAME_AS, REPLACES))
@@ -81,16 +78,10 @@ def components(relations: DataFrame, max_rounds: int = 60) -> DataFrame:
         .filter(F.col("a") != F.col("b"))
         .distinct()
     )
-    edges = durable(edges)
-    before = None
-    for _ in range(max_rounds):
-        edges = durable(_small_star(_large_star(edges)))
-        now = _fingerprint(edges)
-        if now == before:
-            break
+    edges, before = written(edges), None
+    while (now := _fingerprint(edges)) != before:
         before = now
-    else:
-        raise RuntimeError("components did not settle")
+        edges = written(_small_star(written(_large_star(edges))))
     roots = edges.select(F.col("b").alias("uri")).distinct().select("uri", F.col("uri").alias("component"))
     return roots.unionByName(edges.select(F.col("a").alias("uri"), F.col("b").alias("component")))
 
@@ -179,13 +170,13 @@ def widen_targets(edges: DataFrame, groups: DataFrame, members: DataFrame) -> Da
     return edges.unionByName(added)
 
 
-def limit_relations(edges: DataFrame, rel: str = "all", max_count: int = DEFAULT_EDGES) -> DataFrame:
-    """Relations of one type, at most ``max_count`` per request; 0 gives none, a negative number all."""
+def limit_relations(edges: DataFrame, rel: str = "all", max_count: int | None = None) -> DataFrame:
+    """Relations of one type, all of them or at most ``max_count`` per request; 0 gives none, a negative number all."""
     if rel != "all":
         if rel != REPLACES_PUBLIC and rel not in inverse_names():
             raise ValueError(f"unknown relation: {rel}")
         edges = edges.filter(F.col("rel_type") == (REPLACES_PUBLIC if rel == REPLACES else rel))
-    if max_count < 0:
+    if max_count is None or max_count < 0:
         return edges
     if max_count == 0:
         return edges.limit(0)
@@ -199,7 +190,7 @@ def get_relations(
     requests: DataFrame,
     infer: str = "no",
     rel: str = "all",
-    max_count: int = DEFAULT_EDGES,
+    max_count: int | None = None,
     groups: DataFrame | None = None,
 ) -> DataFrame:
     """Relations of the requests; ``infer`` also follows equivalents of sources, targets or both.

@@ -21,14 +21,16 @@ STEPS = ("FETCH", "STORE", "INDEX", "EMPTYINDEX", "IDLE")
 
 
 def page_size(wanted: int | None, default: int = SEARCH_PAGE) -> int:
-    """Requested page size when it is within 1..1000, else the default."""
+    """The page size that the web API serves for a request: what is asked within 1..1000, else the default."""
     return wanted if wanted is not None and 1 <= wanted <= MAX_PAGE else default
 
 
 def page(
-    items: DataFrame, postings: DataFrame, sort: str, desc: bool = False, start: int = 1, size: int | None = None
+    items: DataFrame, postings: DataFrame, sort: str, desc: bool = False, start: int = 1, size: int = SEARCH_PAGE
 ) -> DataFrame:
     """One page of items by a sortable index; items without a value come last, ties go by id."""
+    if size < 1:
+        raise ValueError(f"bad page size: {size}, must be > 0")
     if not index_exists(sort):
         raise ValueError(f"unknown sort index: {sort}")
     if sort not in INDEXES or not INDEXES[sort].is_sortable:
@@ -36,7 +38,7 @@ def page(
     keys = postings.filter(F.col("index") == sort).groupBy("item_id").agg(F.min("value").alias("sort_value"))
     rows = items.select("item_id").distinct().join(keys, "item_id", "left")
     key = F.col("sort_value").desc_nulls_last() if desc else F.col("sort_value").asc_nulls_last()
-    return shuffle.page(rows, [key, F.col("item_id")], max(start, 1), page_size(size))
+    return shuffle.page(rows, [key, F.col("item_id")], max(start, 1), size)
 
 
 def bm25(postings: DataFrame, words: Sequence[str], k: int, index: str = "text") -> DataFrame:

@@ -10,13 +10,6 @@ from pyspark.sql import functions as F
 from recordloom.session import durable
 
 _ROW_BITS = 33
-TOP_ROWS = 100_000
-SMALL_ROWS = 100_000
-
-
-def is_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> bool:
-    """Whether a table has at most ``max_rows`` rows; counting stops after one row too many."""
-    return df.limit(max_rows + 1).count() <= max_rows
 
 
 def keep_latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -81,14 +74,5 @@ def top_per_group(
 
 
 def page(df: DataFrame, order: Sequence[Column], start: int, size: int, name: str = "rank") -> DataFrame:
-    """Rows ``start`` .. ``start + size - 1`` of the total order.
-
-    A page near the top is a bounded top-k; a deep one is cut from ``global_rank``.
-    """
-    last = start + size - 1
-    if last <= TOP_ROWS:
-        top = df.orderBy(*order).limit(last)
-        ranked = top.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
-    else:
-        ranked = global_rank(df, order, name)
-    return ranked.filter(F.col(name).between(start, last))
+    """Rows ``start`` .. ``start + size - 1`` of the total order, however deep the page lies."""
+    return global_rank(df, order, name).filter(F.col(name).between(start, start + size - 1))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.operators.shuffle import keep_latest, top_per_group
@@ -167,24 +169,37 @@ def bad_deletes(headers: DataFrame, services: DataFrame) -> DataFrame:
     )
 
 
-def run_counters(changes: DataFrame) -> DataFrame:
-    """Inserted, updated and deleted records per source, and whether anything changed.
+def run_counters(content: DataFrame, records: DataFrame, headers: DataFrame) -> DataFrame:
+    """Inserted, updated and deleted records per source of one run, and whether anything changed.
 
-    Every record of a run counts, so a uri seen twice in one run is an insert and an update.
+    Every event of the run counts: the first record of a new uri inserts, any other one updates, and a delete header deletes
+    each row that has its source and harvest identifier at that moment.  Rows of a uri change hands during the run, so
+    rows open and close in file order, and a running sum tells how many are open where a header stands.
     """
-    def total(value: Column) -> Column:
-        return F.coalesce(F.sum(value), F.lit(0))
-
-    action = F.col("action")
-    return (
-        changes.groupBy("serviceid")
-        .agg(
-            F.count_if(action == "i").alias("inserted"),
-            total(F.when(action == "i", F.col("hits") - 1).when(action == "u", F.col("hits"))).alias("updated"),
-            F.count_if(action == "d").alias("deleted"),
-        )
-        .withColumn("changed", F.col("inserted") + F.col("updated") + F.col("deleted") > 0)
-    )
+    known = content.select("uri").distinct()
+    first = records.groupBy("uri").agg(F.min(F.struct("file_pos", "serviceid")).alias("_first"))
+    inserted = first.join(known, "uri", "left_anti").groupBy(F.col("_first.serviceid").alias("serviceid")).agg(
+        F.count(F.lit(1)).alias("inserted"))
+    stored = records.groupBy("serviceid").agg(F.count(F.lit(1)).alias("_records"))
+
+    state = ["uri", "serviceid", "oaiuri", "file_pos"]
+    old = content.withColumn("file_pos", F.lit(None).cast(records.schema["file_pos"].dataType)).withColumn("_age", F.lit(0))
+    states = old.select(*state, "_age").unionByName(records.select(*state).withColumn("_age", F.lit(1)))
+    following = Window.partitionBy("uri").orderBy("_age", "file_pos")
+    states = states.withColumn("_until", F.lead(F.struct("_age", "file_pos")).over(following))
+    key = ["serviceid", "oaiuri"]
+    opened = states.select(*key, F.struct("_age", "file_pos").alias("_at"), F.lit(1).alias("_step"), F.lit(0).alias("_header"))
+    closed = states.filter(F.col("_until").isNotNull()).select(*key, F.col("_until").alias("_at"), F.lit(-1).alias("_step"), F.lit(0).alias("_header"))
+    asked = headers.select(*key, F.struct(F.lit(1).alias("_age"), "file_pos").alias("_at"), F.lit(0).alias("_step"), F.lit(1).alias("_header"))
+    running = F.sum("_step").over(Window.partitionBy(*key).orderBy("_at", "_header").rowsBetween(Window.unboundedPreceding, 0))
+    deleted = opened.unionByName(closed).unionByName(asked).withColumn("_open", running).filter("_header = 1").groupBy("serviceid").agg(
+        F.sum("_open").alias("deleted"))
+
+    sources = reduce(DataFrame.unionByName, [part.select("serviceid") for part in (content, records, headers)]).distinct()
+    counts = sources.join(inserted, "serviceid", "left").join(stored, "serviceid", "left").join(deleted, "serviceid", "left").na.fill(0)
+    return counts.select(
+        "serviceid", "inserted", (F.col("_records") - F.col("inserted")).alias("updated"), F.col("deleted").cast("bigint").alias("deleted"),
+        (F.col("_records") + F.col("deleted") > 0).alias("changed"))
 
 
 def advance_services(services: DataFrame, summary: DataFrame) -> DataFrame:
@@ -247,17 +262,20 @@ def problem_log(log: DataFrame, n: int, sort: str = "eventts", direction: str =
     return log.filter(F.col("eventtype") > INFO).orderBy(key, F.col("eventid").asc()).limit(n)
 
 
-def problems(events: DataFrame, cap: int = 200) -> DataFrame:
+def problems(events: DataFrame, cap: int | None = None) -> DataFrame:
     """Distinct messages with counts per source and operation, in order of first appearance.
 
-    At most ``cap`` messages are listed; the marker row counts the further ones.  ``events`` has
-    serviceid, operation, message and a ``seq`` that gives the order.
+    All messages are listed; with a ``cap``, the first so many and a marker row that counts the further ones.  ``events``
+    has serviceid, operation, message and a ``seq`` that gives the order.
     """
     counted = events.groupBy("serviceid", "operation", "message").agg(
         F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq")
     )
     group = ["serviceid", "operation"]
     order = [F.col("first_seq"), F.col("message")]
+    if cap is None:
+        place = F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("bigint")
+        return counted.select(*group, "message", "n", place.alias("place"))
     listed = top_per_group(counted, group, order, cap).select(*group, "message", "n", "place")
     distinct = counted.groupBy(*group).agg(F.count(F.lit(1)).alias("_messages"))
     more = distinct.filter(F.col("_messages") > cap).select(

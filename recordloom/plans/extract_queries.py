@@ -183,7 +183,7 @@ def extract_fields(spark, folder):
 
 
 _LOOKUP = with_ctes(f"""
-SELECT value, found, CASE WHEN found = value THEN 'No value for ' || value END AS problem, count(*) AS n FROM (
+SELECT value, found, CASE WHEN found = value THEN 'vocabulary has no entry for ' || value END AS problem, count(*) AS n FROM (
   SELECT value, CASE WHEN kind = 'F' THEN CASE WHEN rules = 0 THEN 'Fulfilled' ELSE 'Finished' END WHEN kind = 'O' AND rules > 0 THEN 'Open'
     WHEN starts_with(value, '{_COUNTY}') THEN CAST(CAST(substr(value, {len(_COUNTY) + 1}) AS BIGINT) AS VARCHAR)
     WHEN starts_with(value, '{_PROVINCE}') THEN substr(value, {len(_PROVINCE) + 1}) ELSE value END AS found FROM (
@@ -333,7 +333,7 @@ UNION ALL SELECT item_id, 'stringProtocolVersion', CASE o_orderkey % 7 WHEN 0 TH
   WHEN 3 THEN '1.11' WHEN 4 THEN '1.2.0' WHEN 5 THEN '1.3.0' ELSE '2.0' END FROM o
 UNION ALL SELECT item_id, '_htmlurl', CASE WHEN o_orderpriority = '1-URGENT' THEN item_id ELSE 'http://www.example.com/' || o_orderkey END FROM o
 UNION ALL SELECT item_id, 'thumbnail', 'http://img.example.com/' || o_orderkey FROM o WHERE o_orderstatus = 'O'
-UNION ALL SELECT item_id, 'problem', 'HTML URL starts with {BASE}' FROM o WHERE o_orderpriority = '1-URGENT'""", BASE_ROWS))
+UNION ALL SELECT item_id, 'problem', 'HTML address points back to {BASE}' FROM o WHERE o_orderpriority = '1-URGENT'""", BASE_ROWS))
 def system_fields(spark, folder):
     fields, problems = extract.system_fields(item_triples(spark, folder), NAMES)
     return fields.select("item_id", "index", "value").unionByName(

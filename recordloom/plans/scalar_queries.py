@@ -104,8 +104,8 @@ read AS (SELECT o_orderkey, s, CASE o_orderpriority WHEN '1-URGENT' THEN o_order
     WHEN '2-HIGH' THEN o_orderdate + INTERVAL '10 hours 20 minutes 30 seconds' WHEN '3-MEDIUM' THEN date_trunc('year', o_orderdate)
     WHEN '5-LOW' THEN NULL ELSE date_trunc('month', o_orderdate) END AS m FROM stated)
 SELECT o_orderkey, CASE WHEN m <= TIMESTAMP '1999-06-15' THEN strftime(m, '%Y-%m-%d') END AS day,
-  CASE WHEN m IS NULL THEN 'Could not interpret ''createdDate'' as ISO8601: ' || s WHEN m > TIMESTAMP '1999-06-15'
-    THEN 'The date in ''createdDate'' for ' || o_orderkey || ' is in the future: ' || s END AS problem FROM read""")
+  CASE WHEN m IS NULL THEN 'createdDate is not a date: ' || s WHEN m > TIMESTAMP '1999-06-15'
+    THEN 'createdDate of ' || o_orderkey || ' lies in the future: ' || s END AS problem FROM read""")
 def iso_date(spark, folder):
     p, day = F.col("o_orderpriority"), F.col("o_orderdate")
     stated = (

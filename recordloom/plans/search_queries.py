@@ -191,7 +191,7 @@ def terms(spark, folder):
     "(SELECT item_id, unnest(words) AS w FROM doc_words) WHERE starts_with(w, 'er') "
     "GROUP BY w ORDER BY n DESC, value LIMIT 1000", DOC_WORDS))
 def text_terms(spark, folder):
-    return aggregate.terms(doc_postings(spark, folder), "text", "ER*")
+    return aggregate.terms(doc_postings(spark, folder), "text", "ER*", n=1000)
 
 
 _COMBOS = """, lists AS (
@@ -324,7 +324,7 @@ def sorted_page(spark, folder):
     "(ORDER BY value, item_id) AS rank FROM postings WHERE index = 'itemType') WHERE rank <= 50", POSTINGS))
 def page_default(spark, folder):
     postings = item_postings(spark, folder)
-    return search.page(postings.select("item_id"), postings.filter("index = 'itemType'"), "itemType", size=5000).filter(
+    return search.page(postings.select("item_id"), postings.filter("index = 'itemType'"), "itemType", size=search.page_size(5000)).filter(
         F.col("sort_value").isNotNull()
     )
 

@@ -19,8 +19,7 @@ from recordloom.sources import harvest
 SELECT event_id AS file_pos, 'oai:' || user_id || ':' || event_type AS oaiuri,
   CASE WHEN value < 5 THEN '2024-02-01 00:00:00' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS datestamp,
   event_type = 'error' AS is_deleted,
-  CASE WHEN value < 5 THEN 'There was a problem parsing datestamp (day ' || event_id
-    || ') for record, using ''now'' instead' END AS problem,
+  CASE WHEN value < 5 THEN 'unreadable datestamp, run time used: day ' || event_id END AS problem,
   CASE WHEN event_type <> 'error' THEN '<v k="' || event_id || '">' || regexp_extract(props, '\\d+') || '</v>' END AS payload_xml
 FROM events""")
 def harvest_scan(spark, folder):
@@ -192,14 +191,23 @@ def drop_source(spark, folder):
     return show_content(after).select("uri", "xmldata", "changed", "deleted")
 
 
-@query("m07_run_counters", with_ctes(
-    "SELECT serviceid, count(*) FILTER (WHERE action = 'i') AS inserted, CAST(coalesce(sum(CASE action WHEN 'i' THEN hits - 1 "
-    "WHEN 'u' THEN hits END), 0) AS BIGINT) AS updated, count(*) FILTER (WHERE action = 'd') AS deleted, "
-    "bool_or(action IS NOT NULL) AS changed FROM applied_rows GROUP BY serviceid", CONTENT_CTES))
+@query("m07_run_counters", with_ctes(f"""
+, states AS (
+  SELECT *, lead(pos) OVER (PARTITION BY uri ORDER BY pos) AS until
+  FROM (SELECT uri, serviceid, oaiuri, CAST(-1 AS BIGINT) AS pos FROM content UNION ALL SELECT uri, serviceid, oaiuri, file_pos FROM records)
+), first_records AS (
+  SELECT uri, arg_min(serviceid, file_pos) AS serviceid FROM records WHERE uri NOT IN (SELECT uri FROM content) GROUP BY uri
+), ins AS (SELECT serviceid, count(*) AS n FROM first_records GROUP BY serviceid
+), rec AS (SELECT serviceid, count(*) AS n FROM records GROUP BY serviceid
+), del AS (
+  SELECT h.serviceid, count(*) AS n FROM headers h JOIN states s ON h.serviceid = s.serviceid AND h.oaiuri = s.oaiuri
+    AND s.pos < h.file_pos AND (s.until IS NULL OR h.file_pos < s.until) GROUP BY h.serviceid
+), svc AS (SELECT serviceid FROM content UNION SELECT serviceid FROM records UNION SELECT serviceid FROM headers)
+SELECT serviceid, coalesce(ins.n, 0) AS inserted, coalesce(rec.n, 0) - coalesce(ins.n, 0) AS updated, coalesce(del.n, 0) AS deleted,
+  coalesce(rec.n, 0) + coalesce(del.n, 0) > 0 AS changed
+FROM svc LEFT JOIN ins USING (serviceid) LEFT JOIN rec USING (serviceid) LEFT JOIN del USING (serviceid)""", CONTENT_CTES))
 def run_counters(spark, folder):
-    return store.run_counters(store.apply_run(
-        old_content(spark, folder), run_records(spark, folder), run_headers(spark, folder), moment(RUN_TS)
-    ))
+    return store.run_counters(old_content(spark, folder), run_records(spark, folder), run_headers(spark, folder))
 
 
 @query("m08_added_date", """
@@ -250,7 +258,7 @@ def problem_messages(spark, folder):
         F.concat_ws(" ", "event_type", F.regexp_extract("props", r"\d+", 0), text(F.col("user_id") % 3)).alias("message"),
         F.col("event_id").alias("seq"),
     )
-    return store.problems(events)
+    return store.problems(events, cap=200)
 
 
 # ---- organisations, areas, corpus --------------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +44,13 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` to a new folder beside the checkpoints and read it back as a plain columnar table."""
+    folder = f"{checkpoint_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the checkpoint folder, so lost executors do not replay its lineage."""
     checkpoint_folder(df.sparkSession)

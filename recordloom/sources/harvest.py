@@ -33,9 +33,7 @@ def parse_envelopes(envelopes: DataFrame, column: str, run_ts: Column) -> DataFr
     header = F.regexp_extract(text, r"(?s)<header[^>]*>.*?</header>|<header[^>]*/>", 0)
     stamp = F.trim(F.regexp_extract(header, r"(?s)<datestamp[^>]*>(.*?)</datestamp>", 1))
     read = F.when(stamp.rlike(r"^\d{4}(-\d\d){0,2}(T.*)?$"), stamp.try_cast("timestamp"))
-    message = F.concat(
-        F.lit("There was a problem parsing datestamp ("), stamp, F.lit(") for record, using 'now' instead")
-    )
+    message = F.concat(F.lit("unreadable datestamp, run time used: "), stamp)
     payload = F.trim(F.regexp_extract(text, r"(?s)<metadata[^>]*>(.*)</metadata>", 1))
     rest = [c for c in envelopes.columns if c != column]
     return envelopes.select(
