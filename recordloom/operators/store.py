@@ -132,7 +132,7 @@ def apply_run(content: DataFrame, records: DataFrame, headers: DataFrame, run_ts
     """
     merged = _merge(content, records, run_ts)
     joined = merged.join(_delete_positions(headers), ["serviceid", "oaiuri"], "left")
-    gone = F.col("delete_pos") > F.coalesce("new_pos", F.lit(-1))
+    gone = F.col("delete_pos").isNotNull() & (F.col("new_pos").isNull() | (F.col("delete_pos") > F.col("new_pos")))
     action = (
         F.when(gone, "d")
         .when((F.col("hits") > 0) & F.col("old_serviceid").isNull(), "i")

@@ -5,11 +5,13 @@ Every binding has a twin in SQL (a CTE) so that the two sides of a check start f
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordloom.session import checkpoint_folder
 from recordloom.vocabulary import Names
 
 NAMES = Names()
@@ -36,6 +38,11 @@ def moment(value: str) -> Column:
     return F.lit(value).cast("timestamp_ntz")
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder next to the cluster's checkpoints, for stream state and written tables."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def with_ctes(body: str, *ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + body
 

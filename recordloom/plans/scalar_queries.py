@@ -240,29 +240,39 @@ def reproject_points(spark, folder):
 
 
 @query("p17_geo_point", """
-SELECT CAST(c_custkey AS VARCHAR) AS item_id, round(CASE c_mktsegment WHEN 'BUILDING' THEN x
-    WHEN 'MACHINERY' THEN x + 1.5 WHEN 'HOUSEHOLD' THEN x + 1 ELSE x + 2 END, 6) AS lon,
-  round(CASE c_mktsegment WHEN 'BUILDING' THEN y WHEN 'MACHINERY' THEN y + 0.5 WHEN 'HOUSEHOLD' THEN y + 1 ELSE y END, 6) AS lat
+SELECT CAST(c_custkey AS VARCHAR) AS item_id,
+  round(x + CASE c_mktsegment WHEN 'BUILDING' THEN 0 WHEN 'MACHINERY' THEN 1.5 WHEN 'HOUSEHOLD' THEN 1 WHEN 'AUTOMOBILE' THEN 2.5 ELSE 2 END, 6) AS lon,
+  round(y + CASE c_mktsegment WHEN 'MACHINERY' THEN 0.5 WHEN 'HOUSEHOLD' THEN 2 WHEN 'AUTOMOBILE' THEN 1.5 ELSE 0 END, 6) AS lat
 FROM (SELECT *, CAST(c_custkey % 20 AS DOUBLE) AS x, CAST(50 + c_custkey % 10 AS DOUBLE) AS y FROM customer)""")
 def geo_point(spark, folder):
+    """Single points, lines of several positions, several lines and points, and a polygon with a hole."""
     x, y = F.col("c_custkey") % 20, 50 + F.col("c_custkey") % 10
 
-    def pairs(*steps):
-        return F.concat_ws(" ", *[F.concat_ws(",", text(x + dx), text(y + dy)) for dx, dy in steps])
+    def pairs(mark, *steps):
+        return F.concat_ws(" ", *[F.concat_ws(mark, text(x + dx), text(y + dy)) for dx, dy in steps])
 
-    def shape(name, body):
-        return F.concat(F.lit(f'<gml:{name} srsName="EPSG:4326"><gml:coordinates>'), body,
-                        F.lit(f"</gml:coordinates></gml:{name}>"))
+    def element(name, *body, code=""):
+        return F.concat(F.lit(f"<gml:{name}{code}>"), *body, F.lit(f"</gml:{name}>"))
 
+    def positions(*steps):
+        return [element("pos", pairs(" ", step)) for step in steps]
+
+    def ring(name, *steps):
+        return element(name, element("LinearRing", element("posList", pairs(" ", *steps))))
+
+    code = ' srsName="EPSG:4326"'
     segment = F.col("c_mktsegment")
     markup = (
-        F.when(segment == "BUILDING", shape("Point", pairs((0, 0))))
+        F.when(segment == "BUILDING", element("Point", element("coordinates", pairs(",", (0, 0))), code=code))
         # two sides of a square, each of length 2
-        .when(segment == "MACHINERY", shape("LineString", pairs((0, 0), (2, 0), (2, 2))))
-        .when(segment == "HOUSEHOLD", shape("Polygon", pairs((0, 0), (2, 0), (2, 2), (0, 2), (0, 0))))
-        .otherwise(shape("MultiPoint", pairs((0, 0), (4, 0))))
+        .when(segment == "MACHINERY", element("LineString", *positions((0, 0), (2, 0), (2, 2)), code=code))
+        .when(segment == "HOUSEHOLD", element(
+            "Polygon", ring("exterior", (0, 0), (4, 0), (4, 4), (0, 4), (0, 0)), ring("interior", (2, 0), (2, 4), (4, 4), (4, 0), (2, 0)), code=code))
+        .when(segment == "AUTOMOBILE", element(
+            "MultiLineString", element("LineString", *positions((0, 0), (2, 0))), element("LineString", *positions((0, 2), (6, 2))), code=code))
+        .otherwise(element("MultiPoint", element("Point", *positions((0, 0))), element("Point", *positions((4, 0))), code=code))
     )
-    later = shape("Point", pairs((7, 7)))
+    later = element("Point", *positions((7, 7)), code=code)
     first = table(spark, folder, "customer").select(
         text("c_custkey").alias("item_id"),
         F.explode(F.array(F.struct(F.lit(1).alias("pos"), markup.alias("markup")),

@@ -8,7 +8,7 @@ from recordloom.functions import scalars
 from recordloom.operators import aggregate, store
 from recordloom.plans.bindings import (
     CONTENT_CTES, DOC_CONTENT, RUN_LOG, RUN_TS, SHOW, doc_content, moment, old_content,
-    run_headers, run_log, run_records, show_content, stamp, table, text, with_ctes,
+    run_headers, run_log, run_records, show_content, stamp, table, text, with_ctes, work_folder,
 )
 from recordloom.plans.registry import query
 from recordloom.sinks import outputs
@@ -16,28 +16,31 @@ from recordloom.sources import harvest
 
 
 @query("s01_harvest_scan", """
-SELECT event_id AS file_pos, 'oai:' || user_id || ':' || event_type AS oaiuri,
+SELECT 'oai:' || event_id AS oaiuri,
   CASE WHEN value < 5 THEN '2024-02-01 00:00:00' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS datestamp,
   event_type = 'error' AS is_deleted,
   CASE WHEN value < 5 THEN 'unreadable datestamp, run time used: day ' || event_id END AS problem,
-  CASE WHEN event_type <> 'error' THEN '<v k="' || event_id || '">' || regexp_extract(props, '\\d+') || '</v>' END AS payload_xml
+  CASE WHEN event_type <> 'error' THEN '<v xmlns:o="urn:o" xmlns:x="urn:x" k="' || event_id || '"><record>' || regexp_extract(props, '\\d+')
+    || '</record></v>' END AS payload_xml
 FROM events""")
 def harvest_scan(spark, folder):
+    """Events are written as harvest files of prefixed records whose payload holds an element named record, too."""
     stated = F.when(F.col("value") < 5, F.concat(F.lit("day "), text("event_id"))).otherwise(
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
     )
     deleted = F.col("event_type") == "error"
     envelope = F.concat(
-        F.lit("<record><header"), F.when(deleted, ' status="deleted"').otherwise(""), F.lit("><identifier>oai:"),
-        text("user_id"), F.lit(":"), F.col("event_type"), F.lit("</identifier><datestamp>"), stated,
-        F.lit("</datestamp></header>"),
+        F.lit('<o:record xmlns:o="urn:o" xmlns:x="urn:x"><o:header'), F.when(deleted, ' status="deleted"').otherwise(""),
+        F.lit("><o:identifier>oai:"), text("event_id"), F.lit("</o:identifier><o:datestamp>"), stated, F.lit("</o:datestamp></o:header>"),
         F.when(deleted, "").otherwise(F.concat(
-            F.lit('<metadata><v k="'), text("event_id"), F.lit('">'), F.regexp_extract("props", r"\d+", 0),
-            F.lit("</v></metadata>"),
+            F.lit('<o:metadata><v k="'), text("event_id"), F.lit('"><record>'), F.regexp_extract("props", r"\d+", 0),
+            F.lit("</record></v></o:metadata>"),
         )),
+        F.lit("</o:record>"),
     )
-    rows = table(spark, folder, "events").select(F.col("event_id").alias("file_pos"), envelope.alias("envelope"))
-    return harvest.parse_envelopes(rows, "envelope", moment(RUN_TS)).withColumn("datestamp", stamp("datestamp"))
+    work = work_folder(spark, "harvest")
+    table(spark, folder, "events").select(envelope.alias("value")).repartition(3).write.text(work)
+    return harvest.harvest_scan(spark, work, moment(RUN_TS)).drop("file", "file_pos").withColumn("datestamp", stamp("datestamp"))
 
 
 @query("s03_full_scan", with_ctes("SELECT uri, serviceid, xmldata FROM content WHERE deleted IS NULL", CONTENT_CTES))

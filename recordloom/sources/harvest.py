@@ -6,9 +6,10 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from recordloom.session import written
 from recordloom.vocabulary import PUBLIC_NAMESPACES, Names
 
 TRIPLE = (
@@ -24,38 +25,109 @@ def _unescape(text: Column) -> Column:
     return text
 
 
-def parse_envelopes(envelopes: DataFrame, column: str, run_ts: Column) -> DataFrame:
+_P = r"(?:[\w.-]+:)?"  # any prefix
+_DECLARED = r"""\bxmlns(?::[\w.-]+)?\s*=\s*(?:"[^"]*"|'[^']*')"""
+
+
+def _declarations(tags: Column) -> Column:
+    """Namespace declarations of some start tags, as they are written."""
+    return F.regexp_extract_all(tags, F.lit(_DECLARED), F.lit(0))
+
+
+def _declared_name(declaration: Column) -> Column:
+    return F.regexp_extract(declaration, r"^(xmlns(?::[\w.-]+)?)", 1)
+
+
+def _with_namespaces(payload: Column, outer: Column) -> Column:
+    """The payload with the declarations that hold outside of it; of several for a prefix the innermost, and its own before all."""
+    root = F.regexp_extract(payload, r"(?s)^(?:<\?.*?\?>|<!--.*?-->|\s)*<[^\s/>]+[^>]*", 0)
+    own = F.transform(_declarations(root), _declared_name)
+    names = F.transform(outer, _declared_name)
+    last = F.filter(outer, lambda d, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), F.get(names, i)) & ~F.array_contains(own, F.get(names, i)))
+    at = F.length(F.regexp_extract(payload, r"(?s)^(?:<\?.*?\?>|<!--.*?-->|\s)*<[^\s/>]+", 0))
+    added = F.concat(F.substr(payload, F.lit(1), at), F.lit(" "), F.array_join(last, " "), F.substr(payload, at + 1))
+    return F.when((F.size(last) > 0) & (at > 0), added).otherwise(payload)
+
+
+def parse_envelopes(envelopes: DataFrame, column: str, run_ts: Column, outer: str | None = None) -> DataFrame:
     """Rows of record envelopes: identifier, datestamp (run time when unreadable), delete flag, payload.
 
-    The payload stays as it is written, so its namespaces and entities survive.
+    The payload stays as it is written; namespaces that are declared around it (in the envelope, and in the array ``outer``) are added to
+    its first element.  Tags may have any prefix.
     """
     text = F.col(column)
-    header = F.regexp_extract(text, r"(?s)<header[^>]*>.*?</header>|<header[^>]*/>", 0)
-    stamp = F.trim(F.regexp_extract(header, r"(?s)<datestamp[^>]*>(.*?)</datestamp>", 1))
+    header = F.regexp_extract(text, rf"(?s)<{_P}header\b[^>]*>.*?</{_P}header\s*>|<{_P}header\b[^>]*/>", 0)
+    stamp = F.trim(F.regexp_extract(header, rf"(?s)<{_P}datestamp\b[^>]*>(.*?)</{_P}datestamp\s*>", 1))
     read = F.when(stamp.rlike(r"^\d{4}(-\d\d){0,2}(T.*)?$"), stamp.try_cast("timestamp"))
     message = F.concat(F.lit("unreadable datestamp, run time used: "), stamp)
-    payload = F.trim(F.regexp_extract(text, r"(?s)<metadata[^>]*>(.*)</metadata>", 1))
-    rest = [c for c in envelopes.columns if c != column]
+    payload = F.trim(F.regexp_extract(text, rf"(?s)<{_P}metadata\b[^>]*>(.*)</{_P}metadata\s*>", 1))
+    around = _declarations(F.concat_ws(
+        " ", F.regexp_extract(text, rf"(?s)^\s*<{_P}record\b[^>]*>", 0), F.regexp_extract(text, rf"(?s)<{_P}metadata\b[^>]*>", 0)))
+    if outer is not None:
+        around = F.concat(F.coalesce(outer, F.array().cast("array<string>")), around)
+    rest = [c for c in envelopes.columns if c not in (column, outer)]
     return envelopes.select(
         *rest,
-        _unescape(F.trim(F.regexp_extract(header, r"(?s)<identifier[^>]*>(.*?)</identifier>", 1))).alias("oaiuri"),
+        _unescape(F.trim(F.regexp_extract(header, rf"(?s)<{_P}identifier\b[^>]*>(.*?)</{_P}identifier\s*>", 1))).alias("oaiuri"),
         F.coalesce(read, run_ts.cast("timestamp")).cast("timestamp_ntz").alias("datestamp"),
-        header.rlike(r'^<header[^>]*\bstatus="deleted"').alias("is_deleted"),
+        header.rlike(rf"""^<{_P}header\b[^>]*\bstatus\s*=\s*["']deleted["']""").alias("is_deleted"),
         F.when(read.isNull(), message).alias("problem"),
-        F.nullif(payload, F.lit("")).alias("payload_xml"),
+        _with_namespaces(F.nullif(payload, F.lit("")), around).alias("payload_xml"),
     )
 
 
-def harvest_scan(spark: SparkSession, path: str, run_ts: Column) -> DataFrame:
-    """Records of harvest files.  ``file_pos`` grows in reading order inside one file.
+# Harvest files are cut after every end of a tag that ends in "record": a fixed text, so large files are split over tasks.
+CUT = "record>"
+
 
-    The end tag is the line separator, so large files are split over many tasks.
+def file_pieces(reader) -> DataFrame:
+    """Pieces of harvest files from a batch or stream reader, with the place of each file and block."""
+    return reader.select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"),
+        F.col("_metadata.file_block_start").alias("block"))
+
+
+def envelopes_of(pieces: DataFrame, run_ts: Column) -> DataFrame:
+    """Records of harvest files cut at ``CUT``: pieces are joined again until a record's tags are balanced.
+
+    A payload may hold elements named record, tags may have prefixes and attributes.  Depths are summed inside a block first and
+    then over the blocks of a file, so no task orders a whole file.  ``file_pos`` orders records by (modification time, file, block,
+    place in the block): later files come after earlier ones, however large they are.
     """
-    records = spark.read.text(path, lineSep="</record>").filter(F.contains("value", F.lit("<record")))
-    placed = records.select(
-        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("file_pos"), "value"
-    )
-    return parse_envelopes(placed, "value", run_ts)
+    piece = F.concat("value", F.lit(CUT))
+    opened = F.regexp_count(piece, F.lit(rf"<{_P}record(?:\s[^<>]*[^<>/]|\s*)?>"))
+    closed = F.regexp_count(piece, F.lit(rf"</{_P}record\s*>"))
+    placed = pieces.select(
+        "file", "modified", "block", F.monotonically_increasing_id().alias("place"), piece.alias("piece"),
+        opened.alias("opened"), closed.alias("closed"))
+    inside = Window.partitionBy("file", "block").orderBy("place")
+    placed = placed.withColumn("depth", F.sum(F.col("opened") - F.col("closed")).over(inside))
+    blocks = placed.groupBy("file", "block").agg(F.max_by("depth", "place").alias("change"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("file", "block", F.coalesce(F.sum("change").over(before), F.lit(0)).alias("base"))
+    placed = placed.join(blocks, ["file", "block"])
+    # a record ends where its tags are balanced; its number counts the ends before it, in the same two steps
+    ends = ((F.col("closed") > 0) & (F.col("depth") + F.col("base") <= 0)).cast("int")
+    placed = placed.withColumn("ends", ends)
+    placed = placed.withColumn("number", F.coalesce(F.sum("ends").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    counts = placed.groupBy("file", "block").agg(F.sum("ends").alias("change"))
+    counts = counts.select("file", "block", F.coalesce(F.sum("change").over(before), F.lit(0)).alias("ends_before"))
+    placed = placed.join(counts, ["file", "block"]).withColumn("number", F.col("number") + F.col("ends_before"))
+    ordered = F.array_sort(F.collect_list(F.struct("block", "place", "piece")))
+    records = placed.groupBy("file", "modified", "number").agg(ordered.alias("pieces")).select(
+        "file", "modified", F.get("pieces", F.lit(0))["block"].alias("block"), F.get("pieces", F.lit(0))["place"].alias("place"), "number",
+        F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("text"))
+    start = rf"(?s)<{_P}record(?:\s[^<>]*)?>"
+    at = F.regexp_instr("text", F.lit(start))
+    heads = records.filter("number = 0").select("file", _declarations(F.when(at > 0, F.substr("text", F.lit(1), at - 1)).otherwise("")).alias("outer"))
+    found = records.filter(at > 0).select(
+        "file", F.struct("modified", "file", "block", "place").alias("file_pos"), F.substr("text", at).alias("text"))
+    return parse_envelopes(found.join(heads, "file", "left"), "text", run_ts, "outer")
+
+
+def harvest_scan(spark: SparkSession, path: str, run_ts: Column) -> DataFrame:
+    """Records of harvest files with their order as ``file_pos``."""
+    return envelopes_of(file_pieces(spark.read.option("lineSep", CUT).format("text").load(path)), run_ts)
 
 
 # ---- record payloads ---------------------------------------------------------------------
@@ -65,13 +137,24 @@ def _name(tag: str) -> str:
     return space + local if brace else tag
 
 
+class UnreadForm(ValueError):
+    """A form of RDF/XML that the reader does not know."""
+
+
 def _statements(root: ET.Element) -> list[tuple[str, str, str, str]]:
     """(subject, predicate, object, kind) of one RDF/XML tree, in document order."""
     found: list[tuple[str, str, str, str]] = []
     blanks = 0
 
+    def only(element: ET.Element, *known: str) -> None:
+        """Forms that are not read must not be misread."""
+        for name in element.attrib:
+            if name not in known and not name.startswith("{http://www.w3.org/XML/1998/namespace}"):
+                raise UnreadForm(name)
+
     def node(element: ET.Element) -> str:
         nonlocal blanks
+        only(element, f"{{{_RDF}}}about", f"{{{_RDF}}}nodeID")
         about, ident = element.get(f"{{{_RDF}}}about"), element.get(f"{{{_RDF}}}nodeID")
         if about is None and ident is None:
             blanks += 1
@@ -81,6 +164,9 @@ def _statements(root: ET.Element) -> list[tuple[str, str, str, str]]:
             found.append((subject, _RDF + "type", _name(element.tag), "uri"))
         for child in element:
             predicate = _name(child.tag)
+            only(child, *[f"{{{_RDF}}}{name}" for name in ("resource", "nodeID", "parseType", "datatype")])
+            if child.get(f"{{{_RDF}}}parseType") not in (None, "Literal"):
+                raise UnreadForm("parseType")
             resource, target = child.get(f"{{{_RDF}}}resource"), child.get(f"{{{_RDF}}}nodeID")
             if resource is not None:
                 found.append((subject, predicate, resource, "uri"))
@@ -106,6 +192,8 @@ def _flatten(payload: str, entity: str, version: str, gate: str) -> tuple[list[t
     """Triple rows of one record, or the reason why it is rejected."""
     try:
         statements = _statements(ET.fromstring(payload))
+    except UnreadForm:
+        return [], "unread form"
     except (ET.ParseError, TypeError, ValueError):
         return [], "unreadable record"
     subjects = list(dict.fromkeys(s for s, p, o, _ in statements if p == _RDF + "type" and o == entity))
@@ -139,16 +227,18 @@ def record_triples(harvest: DataFrame, names: Names = Names()) -> tuple[DataFram
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for oaiuri, payload in zip(batch["oaiuri"], batch["payload_xml"]):
-                triples, reason = _flatten(payload, entity, version, gate)
-                if reason:
-                    rows.append((oaiuri, reason) + (None,) * (len(columns) - 2))
-                rows += [(oaiuri, None, *triple) for triple in triples]
-            yield pd.DataFrame(rows, columns=columns).astype({"pos": "Int32", "barred": "boolean"})
+            for start in range(0, len(batch), 500):
+                part, rows = batch.iloc[start:start + 500], []
+                for oaiuri, payload in zip(part["oaiuri"], part["payload_xml"]):
+                    triples, reason = _flatten(payload, entity, version, gate)
+                    if reason:
+                        rows.append((oaiuri, reason) + (None,) * (len(columns) - 2))
+                    rows += [(oaiuri, None, *triple) for triple in triples]
+                yield pd.DataFrame(rows, columns=columns).astype({"pos": "Int32", "barred": "boolean"})
 
     payloads = harvest.filter(~F.col("is_deleted")).select("oaiuri", "payload_xml")
-    parsed = payloads.mapInPandas(parse, f"oaiuri string, reason string, {TRIPLE}")
+    # parsed once, for both results
+    parsed = written(payloads.mapInPandas(parse, f"oaiuri string, reason string, {TRIPLE}"))
     triples = parsed.filter(F.col("reason").isNull()).drop("oaiuri", "reason")
     return triples, parsed.filter(F.col("reason").isNotNull()).select("oaiuri", "reason")
 

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from recordloom.operators import store
 from recordloom.operators.shuffle import keep_latest
 from recordloom.sinks import outputs
-from recordloom.sources.harvest import parse_envelopes
+from recordloom.sources.harvest import CUT, envelopes_of, file_pieces
 
 BatchHandler = Callable[[DataFrame, int], None]
 
@@ -105,15 +105,10 @@ def ingest_stream(
 
     The checkpoint remembers which files are done: it is the state of the last good harvest.
     """
-    lines = (
-        spark.readStream.option("lineSep", "</record>").option("maxFilesPerTrigger", max_files).text(path)
-        .select("value", F.col("_metadata.file_path").alias("file"))
-        .filter(F.contains("value", F.lit("<record")))
-    )
+    lines = file_pieces(spark.readStream.option("lineSep", CUT).option("maxFilesPerTrigger", max_files).format("text").load(path))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        placed = batch.withColumn("file_pos", F.monotonically_increasing_id())
-        rows = parse_envelopes(placed, "value", run_ts())
+        rows = envelopes_of(batch, run_ts())
         for handler in handlers:
             handler(rows, batch_id)
 

@@ -1,5 +1,8 @@
 """Harvest files to records, postings, relations; streams and written outputs."""
 
+import os
+import xml.etree.ElementTree as ET
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +10,7 @@ from recordloom.operators import extract, store
 from recordloom.sinks import outputs
 from recordloom.sources import harvest
 from recordloom.streaming import jobs
-from recordloom.vocabulary import Names
+from recordloom.vocabulary import PUBLIC_NAMESPACES, Names
 
 N = Names()
 NOW = "2020-01-01 00:00:00"
@@ -179,6 +182,49 @@ def test_harvest_scan(spark, tmp_path):
     assert got[0].problem is None and "some day" in got[1].problem
 
 
+def test_envelopes_of_many_forms(spark, tmp_path):
+    """Nested elements named record, prefixes, attributes, and namespaces declared outside of the payload."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.xml").write_text(
+        '<o:OAI xmlns:o="urn:oai" xmlns:r="urn:outer"><o:ListRecords xmlns:s="urn:s">\n'
+        '<o:record><o:header><o:identifier>1</o:identifier><o:datestamp>2010-01-02</o:datestamp></o:header>'
+        '<o:metadata xmlns:r="urn:inner"><r:v><record>x<record/></record></r:v></o:metadata></o:record>\n'
+        '<o:record id="2" ><o:header status="deleted"><o:identifier>2</o:identifier><o:datestamp>2010-01-02</o:datestamp></o:header></o:record>'
+        '<o:record><o:header><o:identifier>3</o:identifier><o:datestamp>2010-01-02</o:datestamp></o:header><o:metadata>'
+        '<r:v xmlns:r="urn:own" a="1"/></o:metadata></o:record></o:ListRecords></o:OAI>', encoding="utf-8")
+    rows = {r.oaiuri: r for r in harvest.harvest_scan(spark, str(tmp_path / "in"), run_ts()).collect()}
+    assert set(rows) == {"1", "2", "3"} and rows["2"].is_deleted and rows["2"].payload_xml is None
+    assert rows["1"].payload_xml == '<r:v xmlns:o="urn:oai" xmlns:s="urn:s" xmlns:r="urn:inner"><record>x<record/></record></r:v>'
+    assert rows["3"].payload_xml == '<r:v xmlns:o="urn:oai" xmlns:s="urn:s" xmlns:r="urn:own" a="1"/>'
+    for row in rows.values():
+        assert row.payload_xml is None or ET.fromstring(row.payload_xml) is not None
+
+
+def test_later_file_wins_whatever_its_size(spark, tmp_path):
+    work, source = str(tmp_path / "work"), tmp_path / "in"
+    jobs.write_version(spark.createDataFrame([], store.CONTENT), f"{work}/store", 0)
+    write_harvest(source, "b-early.xml", envelope("1", payload="<v>early</v>"), envelope("2", payload="<v>stays</v>"))
+    filler = [envelope(f"x{i}", payload="<v>" + "long " * 200 + "</v>") for i in range(300)]
+    write_harvest(source, "a-late.xml", *filler, envelope("1", payload="<v>late</v>"))
+    for place, name in enumerate(("b-early.xml", "a-late.xml")):
+        os.utime(source / name, (1_700_000_000 + place, 1_700_000_000 + place))
+    handler = jobs.upsert_batch(f"{work}/store", split, run_ts)
+    jobs.ingest_stream(spark, str(source), f"{work}/state", [handler], run_ts).awaitTermination()
+    got = {r.uri: r.xmldata for r in jobs.read_store(spark, f"{work}/store").collect()}
+    assert len(got) == 302 and got["u/1"] == "<v>late</v>" and got["u/2"] == "<v>stays</v>"
+
+
+def test_unread_forms_are_rejected(spark):
+    head = f'<rdf:RDF xmlns:rdf="{PUBLIC_NAMESPACES["rdf"]}" xmlns:v="{N.own}">'
+    payloads = [("attribute", f'{head}<v:Entity rdf:about="u:1" v:itemTitle="T"/></rdf:RDF>'),
+                ("resource", f'{head}<v:Entity rdf:about="u:2"><v:context rdf:parseType="Resource"><v:name>n</v:name></v:context></v:Entity></rdf:RDF>'),
+                ("fine", f'{head}<v:Entity rdf:about="u:3"><v:itemTitle>T</v:itemTitle></v:Entity></rdf:RDF>')]
+    rows = spark.createDataFrame([(i, p, False) for i, p in payloads], "oaiuri string, payload_xml string, is_deleted boolean")
+    triples, rejects = harvest.record_triples(rows, N)
+    assert {(r.oaiuri, r.reason) for r in rejects.collect()} == {("attribute", "unread form"), ("resource", "unread form")}
+    assert {r.item_id for r in triples.collect()} == {"u:3"}
+
+
 def split(batch):
     rows = batch.withColumns({"uri": F.concat(F.lit("u/"), "oaiuri"), "serviceid": F.lit("s"), "nativeurl": F.lit(None).cast("string"),
                               "xmldata": F.col("payload_xml")})
