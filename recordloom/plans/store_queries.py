@@ -93,7 +93,7 @@ def sitemap_sink(spark, folder):
 
 
 @query("s08_sitemap_index", """
-SELECT batch, count(*) AS n_urls, 'http://www.example.com/sitemap?part=' || batch AS loc FROM (
+SELECT batch, count(*) AS n_urls, '2024-02-01' AS lastmod, 'http://www.example.com/sitemap?part=' || batch AS loc FROM (
   SELECT CAST(ceil(row_number() OVER (ORDER BY url) / 100.0) AS BIGINT) AS batch FROM pages) GROUP BY batch""")
 def sitemap_index(spark, folder):
     pages = table(spark, folder, "pages").select(

@@ -82,7 +82,7 @@ def incremental_index(spark, folder):
     work = work_folder(spark, "index")
     outputs.replace_postings(_flatten(store.live_rows(old_content(spark, folder))), f"{work}/postings")
     _run(spark, folder, work, jobs.index_batch(f"{work}/store", f"{work}/postings", _flatten))
-    return spark.read.parquet(f"{work}/postings").select("item_id", "serviceid", "index", "value")
+    return outputs.read_postings(spark, f"{work}/postings").select("item_id", "serviceid", "index", "value")
 
 
 @query("t04_late_and_unparsable", with_ctes(f"""
@@ -120,15 +120,18 @@ def runlog_stream(spark, folder):
 
 
 @query("s07_postings_sink", with_ctes(
-    "SELECT uri AS item_id, serviceid, 'itemTitle' AS index, xmldata AS value FROM content WHERE deleted IS NULL "
-    "UNION ALL SELECT uri, serviceid, '_htmlurl', nativeurl FROM content WHERE deleted IS NULL", CONTENT_CTES))
+    "SELECT uri AS item_id, 'svc:' || serviceid || '#1' AS serviceid, 'itemTitle' AS index, xmldata AS value FROM content WHERE deleted IS NULL "
+    "AND serviceid <> 'svc3' UNION ALL SELECT uri, 'svc:' || serviceid || '#1', '_htmlurl', nativeurl FROM content WHERE deleted IS NULL "
+    "AND serviceid <> 'svc3'", CONTENT_CTES))
 def postings_sink(spark, folder):
-    """Written twice: a full run replaces the partitions of the sources it holds."""
+    """Written twice: a full run replaces the sources it holds; then one source is taken back.  Source names hold special characters."""
     path = work_folder(spark, "postings")
-    rows = _flatten(store.live_rows(old_content(spark, folder)))
-    outputs.replace_postings(rows.withColumn("value", F.upper("value")), path)
-    outputs.replace_postings(rows, path)
-    return spark.read.parquet(path).select("item_id", "serviceid", "index", "value")
+    content = old_content(spark, folder).withColumn("serviceid", F.concat(F.lit("svc:"), F.col("serviceid"), F.lit("#1")))
+    rows = _flatten(store.live_rows(content))
+    outputs.replace_postings(rows.withColumn("value", F.upper("value")), path, 0)
+    outputs.replace_postings(rows, path, 1)
+    outputs.drop_postings(rows.filter("serviceid = 'svc:svc3#1'"), path, 2)
+    return outputs.read_postings(spark, path).select("item_id", "serviceid", "index", "value")
 
 
 @query("s11_archive_sink", "SELECT doc_id, source, lang, md5(text) AS digest FROM documents")

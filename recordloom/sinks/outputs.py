@@ -9,7 +9,6 @@ from recordloom.functions import scalars
 from recordloom.operators.filters import url_allowed
 from recordloom.operators.shuffle import global_rank
 from recordloom.operators.store import live_rows, retain
-from recordloom.session import durable
 
 # URLs per sitemap, and how often a page is said to change.
 SITEMAP_URLS = 40_000
@@ -19,52 +18,65 @@ _SITEMAP_NS = "http://www.sitemaps.org/schemas/sitemap/0.9"
 
 
 # ---- postings ----------------------------------------------------------------------------
+#
+# A postings folder is a list of versions, each written once as one table.  A row is a posting (p), an item whose older postings
+# no longer hold (c), or a source whose older postings no longer hold (s).  A run writes what it changed and nothing else; readers
+# take, per item and source, what no later version took back; ``compact_postings`` folds the versions into one.
 
-def _write_partitions(rows: DataFrame, path: str) -> None:
-    """Replace the partitions of the sources in ``rows``.
+_POSTING_ROW = "kind string, item_id string, index string, pos int, value string, serviceid string, version bigint"
 
-    Range partitioning splits a large source over many files and clusters each file by index and
-    value, so a filter on them skips row groups.
-    """
-    keys = ["serviceid", "index", "value", "item_id"]
-    (
-        rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("serviceid").parquet(path)
-    )
+
+def _write_postings(rows: DataFrame, path: str, version: int) -> None:
+    """One version.  Sorted ranges cluster the files by index and value, so a filter on them skips row groups."""
+    keys = ["kind", "serviceid", "index", "value", "item_id"]
+    rows.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(f"{path}/version={version}")
 
 
-def replace_postings(postings: DataFrame, path: str) -> None:
-    """Full run: the postings (with serviceid) of a source replace its former ones."""
-    _write_partitions(postings, path)
+def _rows(df: DataFrame, kind: str) -> DataFrame:
+    """Postings, uris or sources as rows of a version."""
+    names = [field.split(" ")[0] for field in _POSTING_ROW.split(", ")[1:-1]]
+    kinds = dict(field.split(" ") for field in _POSTING_ROW.split(", "))
+    return df.select(
+        F.lit(kind).alias("kind"),
+        *[(F.col(n) if n in df.columns else F.lit(None)).cast(kinds[n]).alias(n) for n in names])
 
 
-def update_postings(spark: SparkSession, postings: DataFrame, changed: DataFrame, path: str) -> None:
-    """Incremental run: drop the postings of the changed uris, add the fresh ones.
+def replace_postings(postings: DataFrame, path: str, version: int = 0) -> None:
+    """Full run: the postings (with serviceid) of a source replace all its former ones."""
+    _write_postings(_rows(postings, "p").unionByName(_rows(postings.select("serviceid").distinct(), "s")), path, version)
 
-    ``changed`` has uri and serviceid, tombstones included.  Only partitions of sources that lose or
-    gain postings are rewritten; a record that moved is removed from its old source.
+
+def update_postings(postings: DataFrame, changed: DataFrame, path: str, version: int) -> None:
+    """Incremental run: the changed uris (tombstones included) lose their postings and get the fresh ones, if any.
+
+    Only the run's own rows are written, whatever the size of their sources; a record that moved to another source leaves the old one.
     """
-    old = spark.read.parquet(path)
     uris = changed.select(F.col("uri").alias("item_id")).distinct()
-    touched = (
-        old.join(uris, "item_id", "left_semi").select("serviceid")
-        .unionByName(postings.select("serviceid")).distinct()
-    )
-    kept = old.join(touched, "serviceid", "left_semi").join(uris, "item_id", "left_anti")
-    # the partitions that are read are also written, so the result is materialised first
-    fresh = durable(kept.unionByName(postings.select(*kept.columns)))
-    emptied = durable(touched).join(fresh.select("serviceid").distinct(), "serviceid", "left_anti")
-    _write_partitions(fresh, path)
-    drop_postings(spark, emptied, path)
+    _write_postings(_rows(postings, "p").unionByName(_rows(uris, "c")), path, version)
+
+
+def drop_postings(services: DataFrame, path: str, version: int) -> None:
+    """Take back all postings of some sources, whatever characters their names have."""
+    _write_postings(_rows(services.select("serviceid").distinct(), "s"), path, version)
+
+
+def read_postings(spark: SparkSession, path: str) -> DataFrame:
+    """The postings that hold: those that no later version took back by item or by source."""
+    rows = spark.read.schema(_POSTING_ROW).parquet(path)
+
+    def taken_back(kind: str, key: str) -> DataFrame:
+        return rows.filter(F.col("kind") == kind).groupBy(F.col(key).alias(f"_{key}")).agg(F.max("version").alias(f"_{kind}_version"))
+
+    postings = rows.filter("kind = 'p'")
+    for kind, key in (("c", "item_id"), ("s", "serviceid")):
+        postings = postings.join(taken_back(kind, key), F.col(key) == F.col(f"_{key}"), "left").filter(
+            F.col("version") >= F.coalesce(f"_{kind}_version", F.lit(-1))).drop(f"_{key}", f"_{kind}_version")
+    return postings.drop("kind", "version")
 
 
-def drop_postings(spark: SparkSession, services: DataFrame, path: str) -> None:
-    """Remove all postings of some sources (a short list: one row per source)."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for row in services.select("serviceid").distinct().toLocalIterator():
-        folder = jvm.org.apache.hadoop.fs.Path(path, f"serviceid={row.serviceid}")
-        folder.getFileSystem(conf).delete(folder, True)
+def compact_postings(spark: SparkSession, path: str, target: str) -> None:
+    """Copy what holds into a new folder as its version 0."""
+    _write_postings(_rows(read_postings(spark, path), "p"), target, 0)
 
 
 # ---- sitemap -----------------------------------------------------------------------------
@@ -82,8 +94,8 @@ def sitemap(
         F.date_format("changed", "yyyy-MM-dd").alias("lastmod"),
         F.lit(CHANGE_FREQUENCY).alias("changefreq"),
     )
-    index = urls.groupBy("batch").agg(F.count(F.lit(1)).alias("n_urls")).select(
-        "batch", "n_urls", F.concat(F.lit(base + "sitemap?part="), F.col("batch")).alias("loc")
+    index = urls.groupBy("batch").agg(F.count(F.lit(1)).alias("n_urls"), F.max("lastmod").alias("lastmod")).select(
+        "batch", "n_urls", "lastmod", F.concat(F.lit(base + "sitemap?part="), F.col("batch")).alias("loc")
     )
     return urls, index
 

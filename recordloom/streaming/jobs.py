@@ -90,7 +90,7 @@ def index_batch(
         spark = batch.sparkSession
         version = spark.read.schema(store.CONTENT).parquet(f"{path}/version={batch_id + 1}")
         fresh = flatten(store.live_rows(version))
-        outputs.update_postings(spark, fresh, version, postings_path)
+        outputs.update_postings(fresh, version, postings_path, batch_id + 1)
 
     return handle
 

@@ -276,9 +276,21 @@ def test_postings_follow_moves_and_deletes(spark, tmp_path):
         schema), path)
     changed = spark.createDataFrame([("a", "s2"), ("c", "s2"), ("d", "s3")], "uri string, serviceid string")
     fresh = spark.createDataFrame([("a", "itemType", 0, "moved", "s2")], schema)
-    outputs.update_postings(spark, fresh, changed, path)
-    got = {(r.item_id, r.value, r.serviceid) for r in spark.read.parquet(path).collect()}
-    assert got == {("a", "moved", "s2"), ("b", "y", "s1")}
+    outputs.update_postings(fresh, changed, path, 1)
+
+    def held(where):
+        return {(r.item_id, r.value, r.serviceid) for r in outputs.read_postings(spark, where).collect()}
+
+    assert held(path) == {("a", "moved", "s2"), ("b", "y", "s1")}
+    outputs.update_postings(fresh, changed, path, 1)  # a repeated batch replaces its own version
+    assert held(path) == {("a", "moved", "s2"), ("b", "y", "s1")}
+    outputs.replace_postings(spark.createDataFrame([("e", "itemType", 0, "e", "a#b/c:1")], schema), path, 2)
+    outputs.drop_postings(spark.createDataFrame([("s1",)], "serviceid string"), path, 3)
+    assert held(path) == {("a", "moved", "s2"), ("e", "e", "a#b/c:1")}
+    outputs.compact_postings(spark, path, path + "-compact")
+    assert held(path + "-compact") == held(path)
+    outputs.drop_postings(spark.createDataFrame([("a#b/c:1",)], "serviceid string"), path + "-compact", 1)
+    assert held(path + "-compact") == {("a", "moved", "s2")}
 
 
 def test_sitemap_documents(spark):
