@@ -169,6 +169,18 @@ def bad_deletes(headers: DataFrame, services: DataFrame) -> DataFrame:
     )
 
 
+def check_deletes(headers: DataFrame, services: DataFrame) -> None:
+    """Fail a run in which a source sends delete headers although it declares that it sends none."""
+    found = bad_deletes(headers, services).orderBy("serviceid").limit(5).collect()
+    if found:
+        raise ValueError("delete headers from sources that declare none: " + ", ".join(f"{r.serviceid} ({r.n_bad})" for r in found))
+
+
+def tombstones(rows: DataFrame, run_ts: Column) -> DataFrame:
+    """Content rows as they are when a run no longer finds them."""
+    return _tombstone(rows, F.lit(True), run_ts, F.coalesce("deleted", _moment(run_ts))).select(*COLUMNS)
+
+
 def run_counters(content: DataFrame, records: DataFrame, headers: DataFrame) -> DataFrame:
     """Inserted, updated and deleted records per source of one run, and whether anything changed.
 

@@ -65,6 +65,29 @@ def streaming_upsert(spark, folder):
     return show_content(jobs.read_store(spark, f"{work}/store"))
 
 
+_SILENT = ("svc0", "svc1")
+
+
+@query("t01_source_policies", with_ctes(f"""
+SELECT {SHOW} FROM (
+  SELECT uri, oaiuri, serviceid, CASE WHEN NOT lost THEN xmldata END AS xmldata, CASE WHEN lost THEN TIMESTAMP '{RUN_TS}' ELSE changed END AS changed,
+         added, CASE WHEN lost THEN TIMESTAMP '{RUN_TS}' ELSE deleted END AS deleted,
+         CASE WHEN lost THEN TIMESTAMP '{RUN_TS}' ELSE datestamp END AS datestamp, status, nativeurl
+  FROM (SELECT *, action IS NULL AND deleted IS NULL AND serviceid IN (SELECT serviceid FROM records WHERE serviceid IN {_SILENT}) AS lost
+        FROM applied_rows))""", CONTENT_CTES))
+def source_policies(spark, folder):
+    """Two sources send all they have in each run, the others report deletions by headers."""
+    work = work_folder(spark, "policies")
+    services = spark.read.parquet(f"{folder}/supplier.parquet").select(F.concat(F.lit("svc"), text("s_suppkey")).alias("serviceid"))
+    policy = F.when(F.col("serviceid").isin(*_SILENT), "transient").otherwise("persistent")
+    zero = spark.range(1).select(F.lit("svc0").alias("serviceid"))
+    services = services.unionByName(zero).distinct().withColumn("deleted_policy", policy)
+    jobs.write_version(old_content(spark, folder), f"{work}/store", 0)
+    handler = jobs.upsert_batch(f"{work}/store", _split, lambda: moment(RUN_TS), services=services)
+    jobs.table_stream(_events(spark, folder), f"{work}/state", [handler]).awaitTermination()
+    return show_content(jobs.read_store(spark, f"{work}/store"))
+
+
 def _flatten(rows: DataFrame) -> DataFrame:
     entries = F.array(
         F.struct(F.lit("itemTitle").alias("index"), F.col("xmldata").alias("value")),

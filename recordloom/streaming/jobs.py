@@ -41,17 +41,27 @@ def compact(spark: SparkSession, path: str, target: str) -> None:
     write_version(read_store(spark, path), target, 0)
 
 
-def changed_rows(versions: DataFrame, records: DataFrame, headers: DataFrame, run_ts: Column) -> DataFrame:
+def changed_rows(
+    versions: DataFrame, records: DataFrame, headers: DataFrame, run_ts: Column, whole: DataFrame | None = None
+) -> DataFrame:
     """Rows that a run inserts, updates or deletes.
 
     Delete headers are matched on three narrow columns first; payloads are read, and the newest row
-    picked, only for uris that the run may touch.
+    picked, only for uris that the run may touch.  ``whole`` (serviceid) names sources that sent all they have: their
+    live rows that the run does not mention become tombstones.
     """
     keys = ["serviceid", "oaiuri"]
     by_header = versions.select("uri", *keys).join(headers.select(*keys).distinct(), keys, "left_semi")
     uris = records.select("uri").unionByName(by_header.select("uri")).distinct()
     touched = keep_latest(versions.join(uris, "uri", "left_semi"), ["uri"], ["version"]).select(*store.COLUMNS)
-    return store.apply_run(touched, records, headers, run_ts).filter(F.col("action").isNotNull())
+    changes = store.apply_run(touched, records, headers, run_ts).filter(F.col("action").isNotNull())
+    if whole is None:
+        return changes
+    # rows of the run itself are in ``changes``; the newest state of the others decides, without their payloads
+    narrow = versions.drop("xmldata").withColumn("xmldata", F.lit(None).cast("string"))
+    rest = keep_latest(narrow.join(uris, "uri", "left_anti"), ["uri"], ["version"]).filter(F.col("deleted").isNull())
+    missing = store.tombstones(rest.join(whole, "serviceid", "left_semi"), run_ts)
+    return changes.unionByName(missing.withColumn("action", F.lit("d")).withColumn("hits", F.lit(0).cast("bigint")))
 
 
 def upsert_batch(
@@ -59,9 +69,14 @@ def upsert_batch(
     split: Callable[[DataFrame], tuple[DataFrame, DataFrame]],
     run_ts: Callable[[], Column],
     order_by: str = "arrival",
+    services: DataFrame | None = None,
 ) -> BatchHandler:
     """Handler that applies a micro-batch to the store folder.
 
+    ``services`` (serviceid, deleted_policy) tells how a source reports deletions: a "persistent" one by delete headers; any other
+    sends all it has, so what it leaves out is deleted; one that says "no" must not send delete headers, or the run fails and the
+    store stays as it was.
+
     ``split`` turns the batch into records and delete headers.  Arrival order decides by default,
     however old a datestamp is; ``order_by="datestamp"`` lets the newest datestamp of a batch win.
     """
@@ -73,8 +88,12 @@ def upsert_batch(
         records, headers = split(batch)
         if order_by == "datestamp":
             records = keep_latest(records, ["uri"], ["datestamp", "file_pos"]).drop("hits")
-        before = _versions(spark, path, below=version)
-        write_version(changed_rows(before, records, headers, run_ts()), path, version)
+        before, whole = _versions(spark, path, below=version), None
+        if services is not None:
+            store.check_deletes(headers, services)
+            silent = services.filter(F.col("deleted_policy") != "persistent").select("serviceid")
+            whole = silent.join(records.select("serviceid").distinct(), "serviceid", "left_semi")
+        write_version(changed_rows(before, records, headers, run_ts(), whole), path, version)
 
     return handle
 

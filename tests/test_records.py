@@ -214,6 +214,32 @@ def test_later_file_wins_whatever_its_size(spark, tmp_path):
     assert len(got) == 302 and got["u/1"] == "<v>late</v>" and got["u/2"] == "<v>stays</v>"
 
 
+def test_source_policies(spark, tmp_path):
+    work, source = str(tmp_path / "work"), tmp_path / "in"
+    services = spark.createDataFrame([("p", "persistent"), ("t", "transient"), ("n", "no")], "serviceid string, deleted_policy string")
+    jobs.write_version(spark.createDataFrame([], store.CONTENT), f"{work}/store", 0)
+
+    def by_name(batch):
+        rows, headers = split(batch)
+        service = F.substr("oaiuri", F.lit(1), F.lit(1))
+        return rows.withColumn("serviceid", service), headers.withColumn("serviceid", service)
+
+    handler = jobs.upsert_batch(f"{work}/store", by_name, run_ts, services=services)
+
+    def run(name, *records):
+        write_harvest(source, name, *records)
+        jobs.ingest_stream(spark, str(source), f"{work}/state", [handler], run_ts).awaitTermination()
+        return {r.uri[2:]: r.xmldata for r in jobs.read_store(spark, f"{work}/store").collect()}
+
+    every = [envelope(f"{s}{i}", payload="<v>1</v>") for s in "ptn" for i in (1, 2)]
+    assert run("1.xml", *every) == {f"{s}{i}": "<v>1</v>" for s in "ptn" for i in (1, 2)}
+    after = run("2.xml", envelope("p1", gone=True), envelope("t1", payload="<v>2</v>"))
+    assert after == {"p1": None, "p2": "<v>1</v>", "t1": "<v>2</v>", "t2": None, "n1": "<v>1</v>", "n2": "<v>1</v>"}
+    with pytest.raises(Exception, match="delete headers"):
+        run("3.xml", envelope("n1", gone=True), envelope("n2", payload="<v>3</v>"))
+    assert {r.uri[2:]: r.xmldata for r in jobs.read_store(spark, f"{work}/store").collect()} == after
+
+
 def test_unread_forms_are_rejected(spark):
     head = f'<rdf:RDF xmlns:rdf="{PUBLIC_NAMESPACES["rdf"]}" xmlns:v="{N.own}">'
     payloads = [("attribute", f'{head}<v:Entity rdf:about="u:1" v:itemTitle="T"/></rdf:RDF>'),
