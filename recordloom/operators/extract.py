@@ -6,6 +6,7 @@ Only checks of a whole node or record group rows, by keys that start with the it
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from recordloom.catalog import INDEXES, REPLACES, SAME_AS, YEAR, index_type
 from recordloom.functions import geo, scalars
 from recordloom.functions.scalars import blank_to_null
-from recordloom.session import durable
+from recordloom.session import written
+from recordloom.sources.harvest import record_triples
 from recordloom.vocabulary import (
     CONTEXT_FIELDS, NAMESPACE_STARTS, PUBLIC_NAMESPACES, RESOURCE_FIXES, RULE_SETS, Names, field_rules,
     freetext_groups, relation_rules,
@@ -433,6 +435,18 @@ def fix_namespace(uri: Column, names: Names) -> Column:
     return fixed
 
 
+def fix_payload(payload: Column, names: Names) -> Column:
+    """A record's markup with the resource addresses and namespace declarations that ``fix_namespace`` corrects."""
+    for line in RESOURCE_FIXES.strip().splitlines():
+        wrong, right = line.split()
+        payload = F.regexp_replace(payload, re.escape(names.base + wrong) + r"(?=[#/\"'])", names.base + right)
+    for start, short in NAMESPACE_STARTS:
+        prefix = re.escape(start.replace("{own}", names.own.rstrip("#/")))
+        right = PUBLIC_NAMESPACES.get(short, names.own)
+        payload = F.regexp_replace(payload, rf"""(\bxmlns(?::[\w.-]+)?\s*=\s*["']){prefix}[^"']*""", f"$1{right}")
+    return payload
+
+
 def rewrite_legacy(tags: DataFrame, names: Names) -> DataFrame:
     """Replace the old authority and identifier tags of a node by references.
 
@@ -471,13 +485,13 @@ def extract(
 ) -> dict[str, DataFrame]:
     """Tables of one corpus: postings, relations, rejects (item_id, reason), problems (item_id, message)."""
     # every step below reads it, and parsing the records is the dear part
-    known = durable(versioned(indexable(triples, names), names))
+    known = written(versioned(indexable(triples, names), names))
     unknown = known.filter(F.col("rules").isNull()).select(
         "item_id", F.lit("unsupported version").alias("reason")
     ).distinct()
     usable = known.filter(F.col("rules").isNotNull())
 
-    nodes = durable(context_types(context_nodes(usable, names), vocab, names))
+    nodes = written(context_types(context_nodes(usable, names), vocab, names))
     values = field_values(usable, names, vocab)
     relations, bad_relations = extract_relations(usable, names)
     no_supertype = (
@@ -516,3 +530,42 @@ def extract(
         "rejects": rejects,
         "problems": problems,
     }
+
+
+def index_corpus(
+    content: DataFrame, services: DataFrame, names: Names, vocab: DataFrame, now: Column, strict: bool = True
+) -> dict[str, DataFrame]:
+    """From store to index: the tables of ``extract`` for the live rows of ``content``, with all that the store adds.
+
+    Namespaces are corrected before a record is read.  Accepted records also get their source and payload, the presentation markup, the
+    centre of their first geometry, the date they entered the index (``services`` has serviceid and firstindexdate) and the
+    free text buckets over all of it.  Unreadable records are among the rejects under their uri.
+    """
+    live = content.filter(F.col("deleted").isNull() & F.col("xmldata").isNotNull())
+    fixed = live.select(
+        F.col("uri").alias("oaiuri"), F.lit(False).alias("is_deleted"), fix_payload(F.col("xmldata"), names).alias("payload_xml"))
+    triples, unread = record_triples(fixed, names)
+    tables = extract(triples, names, vocab, now, strict)
+    base = written(tables["postings"])
+    accepted = base.filter("index = 'itemId'").select("item_id")
+
+    literal = triples.filter(F.col("object_kind") == "literal")
+    points = geo_points(literal.filter(F.col("predicate") == names.full("coordinates")).select("item_id", "pos", F.col("object").alias("markup")))
+    places = points.select("item_id", F.explode(F.array(
+        F.struct(F.lit("_lon").alias("index"), F.col("lon").alias("v")), F.struct(F.lit("_lat").alias("index"), F.col("lat").alias("v")),
+    )).alias("_e")).filter(F.col("_e.v").isNotNull()).select("item_id", "_e.index", F.lit(0).alias("pos"), F.col("_e.v").cast("string").alias("value"))
+    shown = literal.filter((F.col("predicate") == names.full("presentation")) & (F.col("via") == "")).groupBy("item_id").agg(
+        F.min(F.struct("pos", "object"))["object"].alias("_markup"))
+    shown = shown.select(
+        "item_id", F.lit("_pres").alias("index"), F.lit(0).alias("pos"), F.base64(F.encode("_markup", "UTF-8")).alias("value"))
+    created = base.filter("index = 'createdDate'").groupBy("item_id").agg(F.min("value").cast("timestamp_ntz").alias("_created"))
+    dated = live.select(F.col("uri").alias("item_id"), "serviceid", "added").join(
+        services.select("serviceid", "firstindexdate"), "serviceid", "left").join(created, "item_id", "left")
+    entered = scalars.added_date("added", "firstindexdate", "_created", now)
+    entered = dated.select("item_id", F.lit("addedToIndexDate").alias("index"), F.lit(0).alias("pos"),
+                           F.date_format(entered, "yyyy-MM-dd").alias("value"))
+    added = reduce(DataFrame.unionByName, [payload_fields(content), places, shown, entered]).join(accepted, "item_id", "left_semi")
+    postings = base.unionByName(added.select(*base.columns))
+    tables["postings"] = postings.unionByName(freetext(postings).select(*base.columns))
+    tables["rejects"] = tables["rejects"].unionByName(unread.select(F.col("oaiuri").alias("item_id"), "reason"))
+    return tables

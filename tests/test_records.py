@@ -1,5 +1,6 @@
 """Harvest files to records, postings, relations; streams and written outputs."""
 
+import base64
 import os
 import xml.etree.ElementTree as ET
 
@@ -136,6 +137,30 @@ def test_relations_and_problems(corpus):
     assert "not a date: fromTime (?)" in messages
 
 
+def test_store_to_index(spark):
+    """Faulty namespace, geometry, presentation, dates and free text on the way from the store to the index."""
+    wrong = N.own.rstrip("#/") + "-old#"
+    body = ('<v:itemTitle>Cup of Kil</v:itemTitle><v:createdDate>2006-01-01</v:createdDate>'
+            f'<v:context><v:Context><v:contextType rdf:resource="{N.context_type}produce"/><v:contextSuperType rdf:resource="{N.context_supertype}create"/>'
+            '<v:coordinates rdf:parseType="Literal"><gml:Point xmlns:gml="urn:g" srsName="EPSG:4326"><gml:pos>11 60</gml:pos></gml:Point></v:coordinates>'
+            '</v:Context></v:context><v:presentation rdf:parseType="Literal"><p>shown</p></v:presentation>')
+    good = record(1, "1.1", SUPER + body).replace(f'xmlns:v="{N.own}"', f'xmlns:v="{wrong}"').replace(f'resource="{N.own}Entity"', f'resource="{N.own}Entity"')
+    rows = [(f"{N.base}item/1", "s1", good, None), (f"{N.base}item/2", "s1", "<broken", None), (f"{N.base}item/3", "s1", good, NOW)]
+    content = spark.createDataFrame(rows, "uri string, serviceid string, xmldata string, deleted string").withColumns(
+        {"deleted": F.col("deleted").cast("timestamp_ntz"), "added": F.lit("2010-05-05").cast("timestamp_ntz")})
+    services = spark.createDataFrame([("s1", "2009-01-01")], "serviceid string, firstindexdate string").withColumn(
+        "firstindexdate", F.col("firstindexdate").cast("timestamp_ntz"))
+    got = extract.index_corpus(content, services, N, vocab(spark), F.lit(NOW).cast("timestamp_ntz"))
+    assert [(r.item_id, r.reason) for r in got["rejects"].collect()] == [(f"{N.base}item/2", "unreadable record")]
+    found = {}
+    for r in got["postings"].collect():
+        assert r.item_id == f"{N.base}item/1"
+        found.setdefault(r["index"], []).append(r.value)
+    assert found["_lon"] == ["11.0"] and found["_lat"] == ["60.0"] and found["_service"] == ["s1"]
+    assert found["addedToIndexDate"] == ["2010-05-05"] and found["itemTitle"] == ["Cup of Kil"] and "Cup of Kil" in found["text"]
+    assert base64.b64decode(found["_pres"][0]).decode() == "<p>shown</p>" and base64.b64decode(found["_rdf"][0]).decode() == good
+
+
 def test_geometry(spark):
     rows = spark.createDataFrame([
         ("a", 1, '<gml:Point srsName="EPSG:4326"><gml:coordinates>18.072394042188,59.3270266104628</gml:coordinates></gml:Point>'),
