@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD = re.compile(r"\w+")
-
 # Rows of a side that may be broadcast; every use counts the side first and has a shuffled join beyond it.
 BROADCAST_ROWS = 500_000
 
@@ -49,25 +46,41 @@ def side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-class WordHash(dict):
-    """word -> 64-bit hash, remembered up to a bound."""
-
-    LIMIT = 400_000
+@lru_cache(1)
+def _is_word() -> np.ndarray:
+    """By code point: part of a word, as in the regular expression for word characters."""
+    return np.fromiter((chr(i).isalnum() or i == 95 for i in range(0x110000)), bool, 0x110000)
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
 
+@lru_cache(1)
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2**64, and of its inverse."""
+    base = 0x9E3779B97F4A7C15
+    out = []
+    for factor in (base, pow(base, -1, 1 << 64)):
+        powers = np.full(1 << bits, factor, np.uint64)
+        powers[0] = 1
+        out.append(np.cumprod(powers, dtype=np.uint64))
+    return out[0], out[1]
 
-def word_list(text: str | None) -> list[str]:
-    """Lower-case words of a whole text; a null text has none."""
-    return WORD.findall(text.lower()) if text else []
 
+def word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash for each lower-case word of a whole text, in order; a null text has none.
 
-def word_hashes(words: Sequence[str], memory: WordHash) -> np.ndarray:
-    return np.fromiter(map(memory.__getitem__, words), np.uint64, len(words))
+    The hash of a word is a polynomial of its letters, taken as the difference of two sums over the text's letters: no string
+    is made for it.
+    """
+    if not text:
+        return np.zeros(0, np.uint64)
+    letters = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
+    inside = np.zeros(len(letters) + 2, bool)
+    inside[1:-1] = _is_word()[letters]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    up, down = _powers(max(20, len(letters).bit_length()))
+    sums = np.zeros(len(letters) + 1, np.uint64)
+    np.cumsum(letters * up[:len(letters)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

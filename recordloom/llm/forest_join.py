@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm.common import (
-    WordHash, components, mix, run_bounds, shingle_hashes, side, stored, whole_groups, word_hashes, word_list,
+    components, mix, run_bounds, shingle_hashes, side, stored, whole_groups, word_hashes,
 )
 
 WORDS, THRESHOLD, TREES, DEPTH, RECALL, BLOCK = 5, 0.8, 10, 6, 0.99, 256
@@ -65,14 +65,13 @@ _SIGNED = "doc_id bigint, k1 bigint, k2 bigint, prefixes array<bigint>, tails ar
 
 def _signer(words: int, trees: int, depth: int, stop: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = WordHash()
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
                 keys, prefixes, tails = [], [], []
                 for text in part.column("text").to_pylist():
-                    hashes = word_hashes(found, memory) if (found := word_list(text)) else None
-                    if hashes is None:
+                    hashes = word_hashes(text)
+                    if not len(hashes):
                         keys.append((None, None)), prefixes.append(None), tails.append(None)
                         continue
                     keys.append(text_keys(hashes))
@@ -93,11 +92,10 @@ def _signer(words: int, trees: int, depth: int, stop: int):
 
 def _set_maker(words: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = WordHash()
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
-                hashed = [word_hashes(word_list(t), memory) for t in part.column("text").to_pylist()]
+                hashed = [word_hashes(t) for t in part.column("text").to_pylist()]
                 keys = [text_keys(h) for h in hashed]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id").cast(pa.int64()), pa.array([k[0] for k in keys], pa.int64()),
