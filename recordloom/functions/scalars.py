@@ -194,7 +194,8 @@ def iso_problem(index: ColumnLike, identifier: ColumnLike, value: ColumnLike, no
 def from_date(moment: ColumnLike, granularity: ColumnLike) -> Column:
     """Lower bound of an incremental harvest in the granularity that the source declares."""
     return F.when(
-        _col(granularity) == "YYYY-MM-DDThh:mm:ssZ", F.date_format(_col(moment), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+        _col(granularity) == "YYYY-MM-DDThh:mm:ssZ",
+        F.date_format(F.to_utc_timestamp(_col(moment), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     ).otherwise(F.date_format(_col(moment), "yyyy-MM-dd"))
 
 

@@ -98,9 +98,12 @@ def lookup_uri(values: DataFrame, vocab: DataFrame, names: Names) -> DataFrame:
         scalars.suffix_after(key, names.area("parish"), number=True),
         scalars.suffix_after(key, names.area("country")),
     )
-    looked = _with_computed(joined, _found=F.coalesce("_label", code))
-    problem = F.when(asks & F.col("_found").isNull(), F.concat(F.lit("vocabulary has no entry for "), F.col("value")))
-    return looked.withColumns({"value": F.coalesce("_found", "value"), "problem": problem}).drop("_label", "_found")
+    looked = _with_computed(joined, _found=F.coalesce("_label", code), _label_free=F.col("_label").isNull())
+    numbered = [names.area(kind) for kind in ("county", "municipality", "parish")]
+    odd = reduce(lambda a, b: a | b, [F.col("value").startswith(p) & ~F.substr("value", F.lit(len(p) + 1)).rlike(r"^[+-]?\d+$") for p in numbered])
+    problem = F.when(asks & F.col("_found").isNull(), F.concat(F.lit("vocabulary has no entry for "), F.col("value"))).when(
+        asks & F.col("_label_free") & odd, F.concat(F.lit("area code is no number in "), F.col("value")))
+    return looked.withColumns({"value": F.coalesce("_found", "value"), "problem": problem}).drop("_label", "_found", "_label_free")
 
 
 def _with_computed(rows: DataFrame, **columns: Column) -> DataFrame:

@@ -134,9 +134,11 @@ def in_box(points: DataFrame, box: str, epsg: str | int | None = None) -> DataFr
     return points.filter(inside).select("item_id").distinct()
 
 
-def within_km(points: DataFrame, lon: float, lat: float, km: float) -> DataFrame:
-    """Items within a radius of a WGS84 point: at least one mile, at most 30 km."""
-    if km * geo.MILES_PER_KM < geo.MIN_MILES or km > geo.MAX_KM:
+def within_km(
+    points: DataFrame, lon: float, lat: float, km: float, least: float = geo.MIN_MILES / geo.MILES_PER_KM, most: float = geo.MAX_KM
+) -> DataFrame:
+    """Items within a radius of a WGS84 point; a radius outside ``least`` and ``most`` is refused (one mile, 30 km)."""
+    if km < least or km > most:
         raise ValueError(f"radius out of range: {km}")
     # a box around the circle can use the column statistics of the files
     lat_margin = math.degrees(km / geo.EARTH_RADIUS_KM) * 1.001

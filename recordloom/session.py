@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -40,6 +42,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
         folder = tempfile.mkdtemp(prefix="recordloom-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)  # this process's own, in local mode only
     context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 

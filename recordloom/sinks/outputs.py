@@ -167,7 +167,7 @@ def read_archive(spark: SparkSession, path: str, run: str, schema: str) -> DataF
 
 
 def append_log(events: DataFrame, path: str) -> None:
-    """Append log rows, in a folder per day so that retention can skip and drop whole days."""
+    """Append log rows, in a folder per day so that retention can skip whole days."""
     events.withColumn("day", F.to_date("eventts")).write.mode("append").partitionBy("day").parquet(path)
 
 
