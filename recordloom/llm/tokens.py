@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import string
 import uuid
 from collections.abc import Sequence
 from functools import lru_cache
@@ -13,7 +14,11 @@ import pyarrow.fs as pafs
 
 
 MARK = "\ue000"  # a private-use character
-SIGNS = ".,!?;:"
+SIGNS = "".join(c for c in string.punctuation if c not in "'<|>")  # an apostrophe may take letters with it, the others mark special tokens
+PLAIN = "\u0250"  # below it a letter has one form, and its lower case is one letter but for U+0130
+
+# How byte-level tokenizers write bytes as letters: printable ones as themselves, the others from 256 on in order.
+BYTE_LETTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
 
 
 class _Places(dict):
@@ -46,14 +51,15 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = specials_are_text
-        probe = self.tokenizer.encode("Ab,", add_special_tokens=False).ids  # letters lower case and cut off from signs
-        if probe != [t.id for t in self.tokenizer.model.tokenize("ab")] + self._ids(",").tolist():
+        probe = self.tokenizer.encode("(Abß\u0160é,", add_special_tokens=False).ids  # letters lower case and cut off from signs
+        self.sign_ids: dict[str, list[int]] = {"": []}
+        if probe != self._sign_ids("(") + self._letter_ids("Abß\u0160é") + self._sign_ids(","):
             raise ValueError("made for tokenizers in lower case that split letters from signs")
         self._forget()
 
     def _forget(self) -> None:
         self.places = _Places()
-        self.sign_ids: dict[str, list[int]] = {}
+        self.sign_ids = {"": []}
         self.lengths, self.starts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
@@ -74,16 +80,19 @@ class Encoder:
     def _encode_new(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of chunks one after the other, and each one's number of ids.
 
-        A chunk of plain letters and a sign or two goes straight to the library's merges.  The others go through the whole
+        A chunk of plain letters between signs goes straight to the library's merges.  The others go through the whole
         of it, as one text with a mark between them that none of them holds.
         """
         found: list = [None] * len(chunks)
         rest = []
         for i, chunk in enumerate(chunks):
-            stem = chunk.rstrip(SIGNS)
-            if stem.isalpha() and stem.isascii():
-                ids = [t.id for t in self.tokenizer.model.tokenize(stem.lower())]
-                found[i] = ids + self._sign_ids(chunk[len(stem):]) if len(stem) < len(chunk) else ids
+            stem = chunk.strip(SIGNS)
+            if stem.isalpha() and (stem.isascii() or max(stem) < PLAIN and "\u0130" not in stem):
+                ids = self._letter_ids(stem)
+                if len(stem) < len(chunk):
+                    at = chunk.index(stem)
+                    ids = self._sign_ids(chunk[:at]) + ids + self._sign_ids(chunk[at + len(stem):])
+                found[i] = ids
             elif MARK in chunk:
                 found[i] = self._ids(chunk)
             else:
@@ -104,6 +113,13 @@ class Encoder:
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
 
+    def _letter_ids(self, letters: str) -> list[int]:
+        """Ids of a run of plain letters: lower case, its bytes as letters, merged by the library."""
+        letters = letters.lower()
+        if not letters.isascii():
+            letters = letters.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return [t.id for t in self.tokenizer.model.tokenize(letters)]
+
     def _sign_ids(self, signs: str) -> list[int]:
         if signs not in self.sign_ids:
             self.sign_ids[signs] = self._ids(signs).tolist()
