@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm.common import (
-    components, mix, run_bounds, shingle_hashes, side, stored, whole_groups, word_hashes,
+    components, mix, run_bounds, shingle_hashes, side, slices, stored, whole_groups, word_hashes,
 )
 
 WORDS, THRESHOLD, TREES, DEPTH, RECALL, BLOCK = 5, 0.8, 10, 6, 0.99, 256
@@ -65,43 +65,39 @@ _SIGNED = "doc_id bigint, k1 bigint, k2 bigint, prefixes array<bigint>, tails ar
 
 def _signer(words: int, trees: int, depth: int, stop: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
-                keys, prefixes, tails = [], [], []
-                for text in part.column("text").to_pylist():
-                    hashes = word_hashes(text)
-                    if not len(hashes):
-                        keys.append((None, None)), prefixes.append(None), tails.append(None)
-                        continue
-                    keys.append(text_keys(hashes))
-                    labels = min_hashes(np.unique(shingle_hashes(hashes, words)), trees * depth).reshape(trees, depth)
-                    prefix = np.zeros(trees, np.uint64)
-                    for d in range(stop):
-                        prefix = mix(prefix + labels[:, d])
-                    tail = np.zeros(trees, np.uint64)
-                    for d in range(stop, depth):  # the rest of the label, for the order inside a node
-                        tail = (tail << np.uint64(16)) | (labels[:, d] >> np.uint64(48))
-                    prefixes.append(prefix.astype(np.int64)), tails.append(tail.astype(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(pa.int64()), pa.array([k[0] for k in keys], pa.int64()),
-                     pa.array([k[1] for k in keys], pa.int64()), pa.array(prefixes, pa.list_(pa.int64())),
-                     pa.array(tails, pa.list_(pa.int64()))], ["doc_id", "k1", "k2", "prefixes", "tails"])
+        for part in slices(batches):
+            keys, prefixes, tails = [], [], []
+            for text in part.column("text").to_pylist():
+                hashes = word_hashes(text)
+                if not len(hashes):
+                    keys.append((None, None)), prefixes.append(None), tails.append(None)
+                    continue
+                keys.append(text_keys(hashes))
+                labels = min_hashes(np.unique(shingle_hashes(hashes, words)), trees * depth).reshape(trees, depth)
+                prefix = np.zeros(trees, np.uint64)
+                for d in range(stop):
+                    prefix = mix(prefix + labels[:, d])
+                tail = np.zeros(trees, np.uint64)
+                for d in range(stop, depth):  # the rest of the label, for the order inside a node
+                    tail = (tail << np.uint64(16)) | (labels[:, d] >> np.uint64(48))
+                prefixes.append(prefix.astype(np.int64)), tails.append(tail.astype(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id").cast(pa.int64()), pa.array([k[0] for k in keys], pa.int64()),
+                 pa.array([k[1] for k in keys], pa.int64()), pa.array(prefixes, pa.list_(pa.int64())),
+                 pa.array(tails, pa.list_(pa.int64()))], ["doc_id", "k1", "k2", "prefixes", "tails"])
     return sign
 
 
 def _set_maker(words: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
-                hashed = [word_hashes(t) for t in part.column("text").to_pylist()]
-                keys = [text_keys(h) for h in hashed]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(pa.int64()), pa.array([k[0] for k in keys], pa.int64()),
-                     pa.array([k[1] for k in keys], pa.int64()),
-                     pa.array([np.unique(shingle_hashes(h, words)).astype(np.int64) for h in hashed], pa.list_(pa.int64()))],
-                    ["rep", "k1", "k2", "runs"])
+        for part in slices(batches):
+            hashed = [word_hashes(t) for t in part.column("text").to_pylist()]
+            keys = [text_keys(h) for h in hashed]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id").cast(pa.int64()), pa.array([k[0] for k in keys], pa.int64()),
+                 pa.array([k[1] for k in keys], pa.int64()),
+                 pa.array([np.unique(shingle_hashes(h, words)).astype(np.int64) for h in hashed], pa.list_(pa.int64()))],
+                ["rep", "k1", "k2", "runs"])
     return sets
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import stored
+from recordloom.llm.common import slices, stored
 
 WORDS, GRAMS, LONGEST, SMOOTH = 60_000, 60_000, 5, 0.5
 FOLDS, HELD_OUT = 4, 2
@@ -62,7 +62,7 @@ def _summed(counts: Counter) -> pa.RecordBatch:
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kept: dict[str, Counter] = {}
-    for batch in batches:
+    for batch in slices(batches):
         for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
             kept.setdefault(lang, Counter()).update(letters(text))
             if len(kept[lang]) > _FLUSH:
@@ -165,7 +165,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        for batch in batches:
+        for batch in slices(batches):
             found = [own.predict(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([f[0] for f in found], pa.string()),

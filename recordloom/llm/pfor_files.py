@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import new_folder, stored
+from recordloom.llm.common import new_folder, slices, stored
 from recordloom.llm.tokens import batches_of, encoder, read_file, write_file
 
 MAGIC = b"PFORIDS1"
@@ -154,7 +154,7 @@ def _writer(folder: str, tokenizer: str, end: int):
             write_file(path, encode(doc_ids, lengths, ids))
             return pa.RecordBatch.from_pydict({"part": [part], "place": [place], "path": [path], "ids": [len(ids)]})
 
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             doc_ids = batch.column("doc_id").fill_null(NO_ID).to_numpy()
             if part is None and batch.num_rows:

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.llm.common import slices
+
 SAMPLE, ROUNDS, LEVELS, BINS, RATE, CUT = 40_000, 80, 5, 64, 0.15, 0.3
 FOLDS, HELD_OUT = 5, 0
 
@@ -153,23 +155,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **options) ->
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in _slices(batches):
+    for part in slices(batches):
         x = matrix(part.column("text").to_pylist())
         yield pa.RecordBatch.from_arrays(
             [part.column("doc_id").cast(pa.int64()), part.column("_label"), pa.array(list(x), pa.list_(pa.float64()))],
             ["doc_id", "label", "x"])
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
-
-
 def score(docs: DataFrame, trees: Trees) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``docs``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _slices(batches):
+        for part in slices(batches):
             found = trees.score(matrix(part.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found)], ["doc_id", "score"])
 
@@ -182,7 +178,7 @@ def score(docs: DataFrame, trees: Trees) -> DataFrame:
 def keep_good(docs: DataFrame, trees: Trees) -> DataFrame:
     """The rows of ``docs`` that are not rejected, whole."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _slices(batches):
+        for part in slices(batches):
             good = trees.score(matrix(part.column("text").to_pylist())) >= CUT
             yield part.filter(pa.array(good))
 

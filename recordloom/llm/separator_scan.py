@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import new_folder, stored
+from recordloom.llm.common import new_folder, slices, stored
 from recordloom.llm.tokens import batches_of, encoder, read_file, write_file
 
 SEPARATOR, BLOCK_BYTES, FILE_IDS = 49407, 1 << 20, 8_000_000
@@ -42,7 +42,7 @@ def _writer(folder: str, tokenizer: str, separator: int):
             return pa.RecordBatch.from_pydict({
                 "path": [path], "bytes": [len(content)], "doc_ids": pa.array([doc_ids], pa.list_(pa.int64()))})
 
-        for batch in batches:
+        for batch in slices(batches):
             texts, own = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
             for cut in batches_of(texts):
                 ids, _ = coder.encode(texts[cut], separator)
