@@ -77,21 +77,31 @@ def condition(index: str, op: str, value: str) -> Column:
 
 
 def select_items(
-    postings: DataFrame, terms: Mapping[str, Term], keep: Callable[[Mapping[str, Column]], Column]
+    postings: DataFrame, terms: Mapping[str, Term], keep: Callable[[Mapping[str, Column]], Column],
+    items: DataFrame | None = None, needs_hit: bool = False,
 ) -> DataFrame:
-    """Items whose terms satisfy a boolean rule, in one pass and one shuffle over the postings.
+    """Items whose terms satisfy a boolean rule, in one pass and one shuffle.
 
-    ``terms`` names the leaves; ``keep`` combines their flags with ``&``, ``|`` and ``~``.
+    ``terms`` names the leaves; ``keep`` combines their flags with ``&``, ``|`` and ``~``.  Only rows that satisfy some term are
+    shuffled if the rule cannot hold without one (``needs_hit``), or if the table of all items is given; else all postings are,
+    for they alone tell which items there are.
     """
-    flags = {
-        name: F.bool_or(F.coalesce(condition(*term), F.lit(False))) for name, term in terms.items()
-    }
-    marked = postings.groupBy("item_id").agg(*[flag.alias(name) for name, flag in flags.items()])
+    rules = {name: F.coalesce(condition(*term), F.lit(False)) for name, term in terms.items()}
+    rows = postings if items is None and not needs_hit else postings.filter(reduce(lambda a, b: a | b, rules.values()))
+    marked = rows.groupBy("item_id").agg(*[F.bool_or(rule).alias(name) for name, rule in rules.items()])
+    if items is not None and not needs_hit:
+        marked = items.select("item_id").distinct().join(marked, "item_id", "left").na.fill(False)
     return marked.filter(keep({name: F.col(name) for name in terms})).select("item_id")
 
 
-def match(postings: DataFrame, index: str, op: str, value: str) -> DataFrame:
-    """Items that satisfy one term."""
+def match(postings: DataFrame, index: str, op: str, value: str, items: DataFrame | None = None) -> DataFrame:
+    """Items that satisfy one term.
+
+    With the table of all ``items``, terms that look for what is missing read the postings of their index alone.
+    """
+    if items is not None and (value == "" and op == "=" or op == "<>" and value != ""):
+        found = postings.filter(F.col("index") == index) if value == "" else postings.filter(condition(index, "=", value))
+        return but_not(items.select("item_id").distinct(), found.select("item_id"))
     if value == "":
         if op != "=":
             raise ValueError("an empty value only goes with =")
@@ -102,7 +112,7 @@ def match(postings: DataFrame, index: str, op: str, value: str) -> DataFrame:
     if op == "all":
         words = {f"w{place}": (index, "=", word) for place, word in enumerate(value.split())}
         rows = postings.filter(condition(index, "any", value))
-        return select_items(rows, words, lambda t: reduce(lambda a, b: a & b, t.values()))
+        return select_items(rows, words, lambda t: reduce(lambda a, b: a & b, t.values()), needs_hit=True)
     return postings.filter(condition(index, op, value)).select("item_id").distinct()
 
 

@@ -14,6 +14,11 @@ from recordloom.plans.bindings import (
 from recordloom.plans.registry import query
 
 
+def all_items(spark, folder):
+    """The item table of ``item_postings``: every order."""
+    return table(spark, folder, "orders").select(text("o_orderkey").alias("item_id"))
+
+
 def projected(x: str, y: str, code: int) -> tuple[str, str]:
     """SQL of longitude and latitude for an easting and a northing."""
     k = geo.series(code)
@@ -46,14 +51,14 @@ def wildcard(spark, folder):
 @query("f03_missing_field", with_ctes(
     "SELECT item_id FROM postings GROUP BY item_id HAVING count(*) FILTER (WHERE index = 'itemMaterial') = 0", POSTINGS))
 def missing_field(spark, folder):
-    return filters.match(item_postings(spark, folder), "itemMaterial", "=", "")
+    return filters.match(item_postings(spark, folder), "itemMaterial", "=", "", all_items(spark, folder))
 
 
 @query("f04_not_equal", with_ctes(
     "SELECT item_id FROM postings GROUP BY item_id "
     "HAVING count(*) FILTER (WHERE index = 'itemMaterial' AND lower(value) = 'r') = 0", POSTINGS))
 def not_equal(spark, folder):
-    return filters.match(item_postings(spark, folder), "itemMaterial", "<>", "R")
+    return filters.match(item_postings(spark, folder), "itemMaterial", "<>", "R", all_items(spark, folder))
 
 
 @query("f05_any", with_ctes(
@@ -94,6 +99,7 @@ def bool_combine(spark, folder):
         item_postings(spark, folder),
         {"done": ("itemType", "=", "F"), "urgent": ("subject", "=", "1-URGENT"), "new": ("itemMaterial", "=", "N")},
         lambda t: (t["done"] | t["urgent"]) & ~t["new"],
+        needs_hit=True,
     )
 
 

@@ -58,6 +58,12 @@ def test_filters(postings, plain):
     iron = {i for i, x, _, v in plain if x == "itemMaterial" and v.lower() == "iron"}
     assert ids(filters.match(postings, "itemType", "=", "MAP")) == maps
     assert ids(filters.match(postings, "itemType", "<>", "map")) == everything - maps
+    items = postings.select("item_id").distinct()
+    assert ids(filters.match(postings, "itemType", "<>", "map", items)) == everything - maps
+    assert ids(filters.match(postings, "itemMaterial", "=", "", items)) == ids(filters.match(postings, "itemMaterial", "=", ""))
+    leaves = {"map": ("itemType", "=", "map"), "iron": ("itemMaterial", "=", "iron")}
+    assert ids(filters.select_items(postings, leaves, lambda t: ~t["map"] | t["iron"], items)) == (everything - maps) | iron
+    assert ids(filters.select_items(postings, leaves, lambda t: t["map"] & ~t["iron"], needs_hit=True)) == maps - iron
     assert ids(filters.match(postings, "itemType", "exact", "map")) == set()
     assert ids(filters.match(postings, "itemMaterial", "=", "w?o*")) == {
         i for i, x, _, v in plain if x == "itemMaterial" and v.lower() == "wood"}
