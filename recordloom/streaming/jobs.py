@@ -22,12 +22,22 @@ BatchHandler = Callable[[DataFrame, int], None]
 
 # ---- store folder ------------------------------------------------------------------------
 
+# Folders of a version by hash of uri: a batch opens those that it touches.
+BUCKETS = 16
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("uri"), F.lit(BUCKETS)).cast("int")
+
+
 def write_version(changes: DataFrame, path: str, version: int) -> None:
-    changes.select(*store.COLUMNS).write.mode("overwrite").parquet(f"{path}/version={version}")
+    """One version in buckets; a large bucket is split over tasks, small ones share them."""
+    rows = changes.select(*store.COLUMNS).withColumn("bucket", _bucket()).hint("rebalance", "bucket")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{path}/version={version}")
 
 
 def _versions(spark: SparkSession, path: str, below: int | None) -> DataFrame:
-    rows = spark.read.schema(store.CONTENT + ", version bigint").parquet(path)
+    rows = spark.read.schema(store.CONTENT + ", version bigint, bucket int").parquet(path)
     return rows if below is None else rows.filter(F.col("version") < below)
 
 
@@ -47,13 +57,14 @@ def changed_rows(
     """Rows that a run inserts, updates or deletes.
 
     Delete headers are matched on three narrow columns first; payloads are read, and the newest row
-    picked, only for uris that the run may touch.  ``whole`` (serviceid) names sources that sent all they have: their
+    picked, only for uris that the run may touch, from the buckets that hold them.  ``whole`` (serviceid) names sources that sent all they have: their
     live rows that the run does not mention become tombstones.
     """
     keys = ["serviceid", "oaiuri"]
     by_header = versions.select("uri", *keys).join(headers.select(*keys).distinct(), keys, "left_semi")
     uris = records.select("uri").unionByName(by_header.select("uri")).distinct()
-    touched = keep_latest(versions.join(uris, "uri", "left_semi"), ["uri"], ["version"]).select(*store.COLUMNS)
+    opened = [row[0] for row in uris.select(_bucket()).distinct().collect()]  # at most BUCKETS numbers
+    touched = keep_latest(versions.filter(F.col("bucket").isin(opened)).join(uris, "uri", "left_semi"), ["uri"], ["version"]).select(*store.COLUMNS)
     changes = store.apply_run(touched, records, headers, run_ts).filter(F.col("action").isNotNull())
     if whole is None:
         return changes
@@ -107,7 +118,7 @@ def index_batch(
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        version = spark.read.schema(store.CONTENT).parquet(f"{path}/version={batch_id + 1}")
+        version = spark.read.schema(store.CONTENT).parquet(f"{path}/version={batch_id + 1}").select(*store.COLUMNS)
         fresh = flatten(store.live_rows(version))
         outputs.update_postings(fresh, version, postings_path, batch_id + 1)
 
