@@ -14,6 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Tasks of a stage over files or blocks: beyond it a task takes more of them.
+MOST_TASKS = 50_000
+
 # Rows of a side that may be broadcast; every use counts the side first and has a shuffled join beyond it.
 BROADCAST_ROWS = 500_000
 

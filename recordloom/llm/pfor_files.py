@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import new_folder, slices, stored
+from recordloom.llm.common import MOST_TASKS, new_folder, slices, stored
 from recordloom.llm.tokens import batches_of, encoder, read_file, write_file
 
 MAGIC = b"PFORIDS1"
@@ -206,7 +206,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_back(files: DataFrame, per_task: int = 2) -> DataFrame:
     """One row per document, from the files: doc_id, start, n_tokens, ids_crc32."""
     files = stored(files, "list")
-    tasks = max(1, -(-files.count() // per_task))
+    tasks = max(1, min(MOST_TASKS, -(-files.count() // per_task)))
     return files.repartition(tasks, "path").select("path", "before").mapInArrow(
         _read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import new_folder, slices, stored
+from recordloom.llm.common import MOST_TASKS, new_folder, slices, stored
 from recordloom.llm.tokens import batches_of, encoder, read_file, write_file
 
 SEPARATOR, BLOCK_BYTES, FILE_IDS = 49407, 1 << 20, 8_000_000
@@ -91,7 +91,7 @@ def scan(files: DataFrame, separator: int = SEPARATOR, block_bytes: int = BLOCK_
         files.filter("bytes > 0").select(
             "path", "bytes", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.ceil(F.col("bytes") / block_bytes) - 1).cast("bigint"))).alias("block")),
         "blocks")
-    tasks = max(1, -(-blocks.count() // blocks_per_task))
+    tasks = max(1, min(MOST_TASKS, -(-blocks.count() // blocks_per_task)))
     found = stored(
         blocks.repartition(tasks, "path", "block").mapInArrow(
             _searcher(separator, block_bytes), "path string, block bigint, ends array<bigint>, open_end boolean"), "ends")
