@@ -43,7 +43,7 @@ class Encoder:
     to a bound; texts are then gathered from the remembered ids.  The ids equal those of the whole text.
     """
 
-    CHUNKS, LETTERS = 450_000, 16_000_000
+    CHUNKS, LETTERS = 600_000, 24_000_000
 
     def __init__(self, path: str, specials_are_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
