@@ -94,13 +94,10 @@ def _most_frequent(counts: DataFrame, n: int) -> list:
 class Model:
     """Log frequencies of known words and n-grams: one row per item, one column per language."""
 
-    REMEMBERED = 100_000
-
     def __init__(self, langs: list[str], words: list, pieces: list, longest: int):
         self.langs, self.longest = langs, longest
         self.words, self.word_logs = self._logs(words)
         self.grams, self.gram_logs = self._logs(pieces)
-        self.seen: dict[str, np.ndarray] = {}
 
     def _logs(self, rows: list) -> tuple[dict[str, int], np.ndarray]:
         place = {row[0]: i for i, row in enumerate(rows)}
@@ -112,35 +109,36 @@ class Model:
         counts += SMOOTH
         return place, np.log(counts / counts.sum(axis=0, keepdims=True)) if len(rows) else counts
 
-    def unseen(self, word: str) -> np.ndarray:
-        """Sum over the places of a word of the longest known n-gram that ends there."""
-        marked = f"^{word}$"
+    def unseen(self, word: str) -> list[int]:
+        """For each place of a word the longest known n-gram that ends there."""
+        marked, known, longest = f"^{word}$", self.grams, self.longest
         found = []
         for end in range(2, len(marked) + 1):
-            for n in range(min(self.longest, end), 0, -1):
-                if (at := self.grams.get(marked[end - n:end])) is not None:
+            for start in range(max(0, end - longest), end):
+                at = known.get(marked[start:end])
+                if at is not None:
                     found.append(at)
                     break
-        return self.gram_logs[found].sum(axis=0) if found else np.zeros(len(self.langs))
+        return found
 
     def predict(self, text: str | None) -> tuple[str, float]:
         counts = Counter(letters(text))
         if not counts or not self.langs:
             return UNKNOWN, 0.0
-        at, times, total = [], [], np.zeros(len(self.langs))
+        at, times, parts, part_times = [], [], [], []
         for word, n in counts.items():
-            if (i := self.words.get(word)) is not None:
+            i = self.words.get(word)
+            if i is not None:
                 at.append(i)
                 times.append(n)
-                continue
-            logs = self.seen.get(word)
-            if logs is None:
-                if len(self.seen) >= self.REMEMBERED:
-                    self.seen.clear()
-                logs = self.seen[word] = self.unseen(word)
-            total += n * logs
-        if at:
-            total += np.array(times, float) @ self.word_logs[at]
+            else:
+                found = self.unseen(word)
+                parts += found
+                part_times += [n] * len(found)
+        total = np.zeros(len(self.langs))
+        for places, weights, logs in ((at, times, self.word_logs), (parts, part_times, self.gram_logs)):
+            if places:
+                total += np.array(weights, float) @ logs[places]
         best = int(total.argmax())
         return self.langs[best], float(1 / np.exp(np.clip(total - total[best], -700, 0)).sum())
 
