@@ -5,7 +5,7 @@ Every text is the set of its runs of five words.  ``trees`` prefix tries hold it
 meets in some trie with the target recall (``stop_depth``); the trie nodes of that length are the candidate groups.
 Inside a group the members are compared exactly, as sets.
 
-Scale.  Texts with the same words are one node before any signature is grouped.  A group of more than ``block``
+Scale.  Texts with the same words are one node, with a number of its own, before any signature is grouped.  A group of more than ``block``
 members becomes a grid of pairs of blocks, so one task holds at most two blocks however many near copies there are.
 Pairs are never rows: a block pair gives each member's number of links and one edge to the smallest member it hangs
 together with.  A pair that meets in several tries counts in the first of them only.
@@ -13,8 +13,8 @@ together with.  A pair that meets in several tries counts in the first of them o
 Results.  ``doc_id``; ``class_id`` the smallest doc_id reachable by links; ``copy_of`` the smallest doc_id with the same
 words; ``n_copies`` rows with the same words; ``n_links`` other texts at the threshold or above.  A text without
 words (null, empty, only signs) is its own class with no links; a text of one to four words is a single run.
-A row without doc_id keeps null class and no links.  Rows that repeat a doc_id are the same node.  Extra columns
-are ignored.  Recall is probabilistic, by default at least 0.99 at similarity 0.8; what is linked is exact.
+A row without doc_id keeps null class and no links.  Rows that repeat a doc_id with other words are nodes of their own.
+Extra columns are ignored.  Recall is probabilistic, by default at least 0.99 at similarity 0.8; what is linked is exact.
 """
 
 from __future__ import annotations
@@ -60,7 +60,7 @@ def text_keys(hashes: np.ndarray) -> tuple[int, int]:
     return int(first.astype(np.int64)), int(second.astype(np.int64))
 
 
-_SIGNED = "doc_id bigint, k1 bigint, k2 bigint, prefixes array<bigint>, tails array<bigint>"
+_SIGNED = "doc_id bigint, text_key bigint, k1 bigint, k2 bigint, prefixes array<bigint>, tails array<bigint>"
 
 
 def _signer(words: int, trees: int, depth: int, stop: int):
@@ -82,9 +82,9 @@ def _signer(words: int, trees: int, depth: int, stop: int):
                     tail = (tail << np.uint64(16)) | (labels[:, d] >> np.uint64(48))
                 prefixes.append(prefix.astype(np.int64)), tails.append(tail.astype(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").cast(pa.int64()), pa.array([k[0] for k in keys], pa.int64()),
+                [part.column("doc_id").cast(pa.int64()), part.column("text_key"), pa.array([k[0] for k in keys], pa.int64()),
                  pa.array([k[1] for k in keys], pa.int64()), pa.array(prefixes, pa.list_(pa.int64())),
-                 pa.array(tails, pa.list_(pa.int64()))], ["doc_id", "k1", "k2", "prefixes", "tails"])
+                 pa.array(tails, pa.list_(pa.int64()))], ["doc_id", "text_key", "k1", "k2", "prefixes", "tails"])
     return sign
 
 
@@ -142,7 +142,7 @@ def _comparer(threshold: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in whole_groups(batches, keys):
-            cols = {c: part.column(c).to_numpy() for c in (*keys, "rep", "tree", "home", "tail")}
+            cols = {c: part.column(c).to_numpy() for c in (*keys, "number", "tree", "home", "tail")}
             prefixes = part.column("prefixes").combine_chunks()
             prefixes = prefixes.flatten().to_numpy().reshape(part.num_rows, -1)
             runs = part.column("runs").combine_chunks()
@@ -153,36 +153,39 @@ def _comparer(threshold: float):
             for s, e in zip(bounds[:-1], bounds[1:]):
                 if e - s < 2:
                     continue
-                order = s + np.lexsort((cols["rep"][s:e], cols["tail"][s:e]))  # the trie's order
-                order = order[np.sort(np.unique(cols["rep"][order], return_index=True)[1])]
+                order = s + np.lexsort((cols["number"][s:e], cols["tail"][s:e]))  # the trie's order
+                order = order[np.sort(np.unique(cols["number"][order], return_index=True)[1])]
                 if len(order) < 2:
                     continue
                 sets = np.concatenate([values[ends[i]:ends[i + 1]] for i in order])
                 offsets = np.append(0, np.cumsum(ends[order + 1] - ends[order]))
                 out.append(compare(
-                    cols["rep"][order], cols["home"][order], prefixes[order], int(cols["tree"][s]), sets, offsets,
+                    cols["number"][order], cols["home"][order], prefixes[order], int(cols["tree"][s]), sets, offsets,
                     cols["low"][s] != cols["high"][s], threshold))
             if out:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([o[k] for o in out]), pa.int64()) for k in range(3)], ["rep", "links", "other"])
+                    [pa.array(np.concatenate([o[k] for o in out]), pa.int64()) for k in range(3)], ["number", "links", "other"])
     return run
 
 
-def ngram_join(
+def _placed(
     docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH,
     recall: float = RECALL, block: int = BLOCK,
 ) -> DataFrame:
-    """Near-copy classes of ``docs`` (doc_id, text), one row per row of ``docs``; see the module."""
+    """Every row of ``docs`` as (doc_id, text_key) with its node and class; ``stays``: the row that stands for its class."""
     stop = stop_depth(trees, depth, threshold, recall)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = stored(docs.mapInArrow(_signer(words, trees, depth, stop), _SIGNED), "signed")
+    signed = stored(docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(_signer(words, trees, depth, stop), _SIGNED), "signed")
+    texts = signed.filter("k1 is not null and doc_id is not null").groupBy("k1", "k2").agg(
+        F.min(F.struct("doc_id", "text_key")).alias("least"), F.count(F.lit(1)).alias("n_copies"),
+        F.first("prefixes").alias("prefixes"), F.first("tails").alias("tails"))
     texts = stored(
-        signed.filter("k1 is not null and doc_id is not null").groupBy("k1", "k2").agg(
-            F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"),
-            F.first("prefixes").alias("prefixes"), F.first("tails").alias("tails")), "texts")
+        texts.select("k1", "k2", F.col("least.doc_id").alias("rep"), F.col("least.text_key").alias("rep_key"), "n_copies", "prefixes", "tails")
+        .withColumn("number", F.monotonically_increasing_id()), "texts")
 
-    nodes = texts.select("rep", "prefixes", "tails", F.posexplode("prefixes").alias("tree", "prefix")).select(
-        "rep", "tree", F.xxhash64("tree", "prefix").alias("node"), F.element_at("tails", F.col("tree") + 1).alias("tail"),
+    own = ["number", "rep", "k1", "k2"]  # a doc_id can have several texts: only with its keys it names one
+    nodes = texts.select(*own, "prefixes", "tails", F.posexplode("prefixes").alias("tree", "prefix")).select(
+        *own, "tree", F.xxhash64("tree", "prefix").alias("node"), F.element_at("tails", F.col("tree") + 1).alias("tail"),
         "prefixes")
     sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     sizes = stored(sizes, "sizes")
@@ -192,27 +195,37 @@ def ngram_join(
         _set_maker(words), "rep bigint, k1 bigint, k2 bigint, runs array<bigint>")
     blocks = F.ceil(F.col("size") / block).cast("int")
     spread = (
-        crowd.withColumn("home", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+        crowd.withColumn("home", F.pmod(F.xxhash64("number"), blocks).cast("int"))
         .withColumn("mate", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("rep", "tree", "node", "tail", "home", "prefixes",
+        .select(*own, "tree", "node", "tail", "home", "prefixes",
                 F.least("home", "mate").alias("low"), F.greatest("home", "mate").alias("high"))
     )
-    tasks = spread.join(sets.drop("k1", "k2"), "rep")
+    tasks = spread.join(sets, ["rep", "k1", "k2"]).drop("rep", "k1", "k2")
     found = (
         tasks.repartition("node", "low", "high").sortWithinPartitions("node", "low", "high")
-        .mapInArrow(_comparer(threshold), "rep bigint, links bigint, other bigint")
+        .mapInArrow(_comparer(threshold), "number bigint, links bigint, other bigint")
     )
     found = stored(found, "found")
-    links = stored(found.groupBy("rep").agg(F.sum("links").alias("n_links")), "links")
-    classes = components(found.select(F.col("rep").alias("a"), F.col("other").alias("b")))
-
-    linked = texts.select("k1", "k2", "rep", "n_copies").join(links, "rep", "left").join(
-        classes.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    links = stored(found.groupBy("number").agg(F.sum("links").alias("n_links")), "links")
+    classes = components(found.select(F.col("number").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "number")
+    classes = stored(classes.join(texts.select("number", "rep", "rep_key"), "number"), "members")
+    heads = stored(classes.groupBy("component").agg(F.min(F.struct("rep", "rep_key")).alias("head")), "heads")
+    classes = classes.join(side(heads), "component").select("number", "head")
+
+    linked = texts.select("k1", "k2", "number", "rep", "rep_key", "n_copies").join(links, "number", "left").join(classes, "number", "left")
+    linked = linked.withColumn("head", F.coalesce("head", F.struct("rep", "rep_key"))).drop("number", "rep_key")
     linked = stored(linked, "linked")
+    alone = F.col("doc_id").isNull() | F.col("head").isNull()
+    return signed.select("doc_id", "text_key", "k1", "k2").join(linked, ["k1", "k2"], "left").withColumn(
+        "stays", alone | ((F.col("doc_id") == F.col("head.rep")) & (F.col("text_key") == F.col("head.rep_key"))))
+
+
+def ngram_join(docs: DataFrame, **options) -> DataFrame:
+    """Near-copy classes of ``docs`` (doc_id, text), one row per row of ``docs``; see the module."""
     known = F.col("rep").isNotNull()
-    return signed.select("doc_id", "k1", "k2").join(linked, ["k1", "k2"], "left").select(
+    return _placed(docs, **options).select(
         "doc_id",
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("class_id"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("head.rep", "doc_id")).alias("class_id"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("copy_of"),
         F.when(known & F.col("doc_id").isNotNull(), F.col("n_copies")).otherwise(1).alias("n_copies"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("bigint").alias("n_links"),
@@ -220,14 +233,17 @@ def ngram_join(
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without all but the first document (smallest doc_id) of each class; rows without doc_id stay.
+    """``docs`` without all but the first row (smallest doc_id) of each class; rows without doc_id stay.
 
-    Rows that repeat both doc_id and text are one document.
+    Rows that repeat both doc_id and text are one document; of a doc_id with several texts each is judged by its own class.
     """
-    found = stored(ngram_join(docs, **options), "classes")
-    spare = stored(found.filter("class_id <> doc_id").select("doc_id").distinct(), "spare")
+    found = stored(_placed(docs, **options).select("doc_id", "text_key", "stays"), "classes")
+    spare = stored(
+        found.filter("not stays").select(F.col("doc_id").alias("_spare"), F.col("text_key").alias("_key")).distinct(), "spare")
     again = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     again = side(stored(again, "again"))
-    kept = docs.join(side(spare), "doc_id", "left_anti").select(*docs.columns)
+    spare = side(spare)
+    same = (docs["doc_id"].cast("bigint") == spare["_spare"]) & (F.xxhash64(docs["text"].cast("string")) == spare["_key"])
+    kept = docs.join(spare, same, "left_anti").select(*docs.columns)
     once = kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
     return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)

@@ -71,6 +71,20 @@ def test_join_finds_every_link_of_a_hot_group(spark):
     assert kept == {w[0] for w in want.values()}
 
 
+def test_a_repeated_id_with_other_texts(spark):
+    rng = random.Random(8)
+    a, b, c, d = (invented(rng, 80) for _ in range(4))
+    near = [*b[:79], "edited"]
+    docs = [(3, a), (5, a), (5, b), (6, b), (7, near), (5, c), (8, c), (9, d), (9, [*d[:79], "edited"]), (9, d)]
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id bigint, text string").repartition(3)
+    kept = sorted((r.doc_id, r.text) for r in forest_join.keep_one(frame, trees=24).collect())
+    assert sum(i == 9 for i, _ in kept) == 1
+    assert [k for k in kept if k[0] != 9] == sorted([(3, " ".join(a)), (5, " ".join(b)), (5, " ".join(c))])
+    got = Counter((r.doc_id, r.class_id, r.n_copies, r.n_links) for r in forest_join.ngram_join(frame, trees=24).collect())
+    assert got == Counter([(3, 3, 2, 0), (5, 3, 2, 0), (5, 5, 2, 1), (6, 5, 2, 1), (7, 5, 1, 1), (5, 5, 2, 0), (8, 5, 2, 0), (9, 9, 2, 1),
+                           (9, 9, 1, 1), (9, 9, 2, 1)])
+
+
 def test_stop_depth_shortens_prefixes_to_the_recall():
     for recall in (0.5, 0.9, 0.99):
         depth = forest_join.stop_depth(10, 6, 0.8, recall)
