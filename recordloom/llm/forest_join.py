@@ -1,8 +1,9 @@
-"""N-gram Jaccard join by a MinHash LSH forest.
+"""N-gram Jaccard join by MinHash bands.
 
-Every text is the set of its runs of five words.  ``trees`` prefix tries hold its min-hash signatures, one label of
-``depth`` values per trie.  Starting from whole labels, the matched prefix is shortened until a pair at the threshold
-meets in some trie with the target recall (``stop_depth``); the trie nodes of that length are the candidate groups.
+Every text is the set of its runs of five words.  ``trees`` labels of ``depth`` min-hash values each are its signature.  From
+the parameters, not from the data, follows the longest prefix of a label at which a pair at the threshold meets in some label
+with the target recall (``stop_depth``).  Prefixes of that one length are the bands; texts that share a band are a candidate
+group.  The rest of a label only orders the members of a group.
 Inside a group the members are compared exactly, as sets.
 
 Scale.  Texts with the same words are one node, with a number of its own, before any signature is grouped.  A group of more than ``block``
