@@ -5,8 +5,8 @@ subtree occurs; subtrees on at least ``LEAST`` pages and ``SHARE`` of the host's
 template, then what is no article by its kind (``DROPPED`` elements, ``LABELS`` in class, id or role), and returns the blocks of the
 largest article, else of the main element, else of what is left of the page.
 
-Inside an article a recurring subtree is dropped only if it is a container (not a paragraph, heading, list item or quotation) that is short or
-mostly links: a passage that many articles share, or an article that was copied, is text and stays.
+A recurring subtree is dropped only if it is a container (not a paragraph, heading, list item or quotation) that is short or mostly links,
+inside an article and outside: a passage that many pages share, or an article that was copied, is text and stays.
 
 Scale.  Counting moves one (host, hash, page text hash) per element and drops repeats inside tasks; the page itself is not shuffled.  A host has
 at most (elements of a page) / ``SHARE`` template subtrees, so the list per host is bounded whatever the host's size.  The lists are broadcast
@@ -163,12 +163,10 @@ class Page:
             return True
         return not inside and (tag == "header" or bool(labels & PAGE_HEADERS))
 
-    def _by_template(self, number: int, inside: bool, template) -> bool:
+    def _by_template(self, number: int, template) -> bool:
         tag = self.tags[number]
         if self.hashes[number] not in template or tag not in BLOCKS or tag in ROOTS:
             return False
-        if not inside:
-            return True
         size = self.letters[number]
         return tag not in PROSE and (size <= SHORT or self.linked[number] > LINKS * size)
 
@@ -182,7 +180,7 @@ class Page:
             inside[number] = inside[parent] or self.tags[number] in ("article", "main")
             if not dropped[number]:
                 dropped[number] = self._by_kind(number, inside[parent]) or (
-                    bool(template) and self._by_template(number, inside[parent], template))
+                    bool(template) and self._by_template(number, template))
         root = 0
         for kind in ("article", "main"):
             found = [n for n in range(len(self.tags)) if not dropped[n] and (self.tags[n] == kind or kind == "main" and "main" in self.labels[n])]

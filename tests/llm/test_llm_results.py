@@ -291,6 +291,19 @@ def test_site_templates(spark):
         assert got[200 + min(i, 8)] == "Copied page.\n\nCopied page, too."
 
 
+def test_pages_without_article_keep_a_shared_passage(spark):
+    shared = " ".join(invented(random.Random(4), 90))
+    pages = [(i, "https://plain.example/p", "<body><div><a href=/>Home</a> <a href=/b>Blog</a></div>"
+              f"<div><h2>A shared title</h2><p>{shared}</p><p>One sentence of its own {i % 5}.</p></div><ul><li>{shared}</li></ul></body>")
+             for i in range(40)]
+    pages += [(100 + i, "https://flat.example/p", f"<p>{shared}</p><blockquote>{shared}</blockquote><p>own {i}</p>") for i in range(20)]
+    got = {r.page_id: r.text for r in site_templates.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    for i in range(40):
+        assert got[i] == f"A shared title\n\n{shared}\n\nOne sentence of its own {i % 5}.\n\n{shared}"
+    for i in range(20):
+        assert got[100 + i] == f"{shared}\n\n{shared}\n\nown {i}"
+
+
 def test_blocks_by_kind():
     page = """<html><head><title>T</title></head><body class="has-sidebar"><header><h1>Site</h1></header><nav>menu</nav>
     <div id="cookie-notice">We use cookies</div><main><article class="post"><header><h1>Title &amp; more</h1></header><div class="share">me</div>
