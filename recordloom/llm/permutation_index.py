@@ -3,7 +3,8 @@
 A vector is represented by the order in which it sees the pivots, nearest first.  Every vector is posted in the inverted files of
 its ``POSTED`` nearest pivots.  A query reads the files of its ``PROBED`` nearest pivots, ranks what it finds by footrule distance (sum of the
 differences of the pivots' places in the two orders), and the best ``RERANK`` share of a block (at least ``LEAST``) is ranked again by exact
-Euclidean distance in double precision on the original vectors.
+Euclidean distance in double precision on the original vectors.  Their k-th distance decides about the rest: whatever the distances to the
+pivots (triangle inequality) cannot exclude is ranked exactly, too, so of what the files hold the nearest are found, also in a tight cluster.
 
 Scale.  Pivots are chosen far apart from a bounded sample (the ``SAMPLE`` vectors with the smallest hash); every vector is indexed.  Equal vectors are one
 entry, so a vector that a third of all rows share is one entry and one query; of its ids the smallest ``k`` + 1 are kept, which is all a
@@ -33,6 +34,11 @@ def distances(vectors: np.ndarray, one: np.ndarray) -> np.ndarray:
     return np.sqrt(((vectors - one) ** 2).sum(axis=1))
 
 
+def pivot_distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    squares = (vectors**2).sum(axis=1)[:, None] + (pivots**2).sum(axis=1) - 2 * vectors @ pivots.T
+    return np.sqrt(np.maximum(squares, 0))
+
+
 def places(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Place of every pivot in each vector's order, nearest first (ties: the first pivot)."""
     squares = (vectors**2).sum(axis=1)[:, None] + (pivots**2).sum(axis=1) - 2 * vectors @ pivots.T
@@ -61,16 +67,27 @@ def search_block(
     own, asked = places(vectors, pivots), places(queries, pivots)
     files = [np.flatnonzero(own[:, p] < posted) for p in range(len(pivots))]
     wanted = max(least, k, int(np.ceil(rerank * len(vectors))))
+    far, asked_far = pivot_distances(vectors, pivots), pivot_distances(queries, pivots)
+    # what rounding can add to a difference of two distances to a pivot
+    longest = max((np.sqrt((x**2).sum(axis=1)).max() for x in (vectors, queries, pivots) if len(x)), default=0.0)
+    slack = 1e-6 * longest
     results = []
-    for query, order in zip(queries, asked):
+    for query, order, to_pivots in zip(queries, asked, asked_far):
         found = np.zeros(len(vectors), bool)
         for p in np.flatnonzero(order < probed):
             found[files[p]] = True
         at = np.flatnonzero(found)
         if len(at) > wanted:
             footrule = np.abs(own[at] - order).sum(axis=1, dtype=np.int32)
-            at = at[np.argsort(footrule, kind="stable")[:wanted]]
-        exact = distances(vectors[at], query)
+            ranked = at[np.argsort(footrule, kind="stable")]
+            at, rest = ranked[:wanted], ranked[wanted:]
+            exact = distances(vectors[at], query)
+            bound = np.partition(exact, k - 1)[k - 1] + slack
+            for part in np.array_split(np.arange(len(pivots)), 8):  # a few pivots at a time exclude most
+                rest = rest[(np.abs(far[rest][:, part] - to_pivots[part]) <= bound).all(axis=1)]
+            at, exact = np.append(at, rest), np.append(exact, distances(vectors[rest], query))
+        else:
+            exact = distances(vectors[at], query)
         best = np.lexsort((ids[at], exact))[:k]
         results.append((at[best], exact[best]))
     return results

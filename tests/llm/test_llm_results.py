@@ -273,6 +273,21 @@ def test_recall(spark, folder):
     assert hits >= 0.9 * sum(len(v) for v in got.values())
 
 
+@pytest.mark.parametrize("noise", [1e-3, 1e-4])
+def test_recall_in_a_tight_cluster(noise):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4096, 32))
+    x[:1365] = x[0] + noise * rng.normal(size=(1365, 32))
+    ids, asked = np.arange(len(x)), np.arange(0, len(x), 40)
+    found = permutation_index.search_block(x, ids, x[asked], permutation_index.choose_pivots(x, permutation_index.PIVOTS), 11)
+    hits = []
+    for q, (at, exact) in zip(asked, found):
+        every = permutation_index.distances(x, x[q])
+        assert np.array_equal(every[at], exact)
+        hits.append(len(set(at) & set(np.lexsort((ids, every))[:11])) / 11)
+    assert np.mean([h for q, h in zip(asked, hits) if q < 1365]) >= 0.99 and np.mean(hits) >= 0.9
+
+
 # ---- pages -------------------------------------------------------------------------------
 
 def test_site_templates(spark):
