@@ -3,8 +3,9 @@
 Numbers, names and units become typed placeholders, so a question and the same question with other values have the same template.
 Windows of ``WINDOW`` template tokens of benchmark items are hash-joined with those of the documents.  Each place where windows of an
 item line up with a document (same distance between the two positions) is one alignment; its slots must be consistent: a
-value of the item stands for one value of the document throughout.  Inconsistent alignments are chance and do not count.  A
-document leaks an item if consistent alignments hold at least ``COVERAGE`` of the item's windows.
+value of the item stands for itself or for the value that it has in most of its places in the document.  Windows that hold another value
+do not count; the other windows of the alignment do.  A document leaks an item if consistent windows hold at least ``COVERAGE`` of
+the item's windows.
 
     number  digits, with separators inside        name  a capitalised word inside a sentence
     unit    one of ``UNITS`` right after a number  other tokens stand for themselves, lower case
@@ -112,7 +113,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, coverage: f
 
 
 def _consistent(docs: DataFrame, asked: DataFrame, items: DataFrame, size: int) -> DataFrame:
-    """(doc_id, text_key, item, n_windows, n_matched) of asked pairs, counting consistent alignments only."""
+    """(doc_id, text_key, item, n_windows, n_matched) of asked pairs, counting consistent windows only."""
     keys = asked.select(F.col("text_key").alias("key")).distinct()
     again = docs.join(side(keys), F.col("text_key") == F.col("key"), "left_semi").dropDuplicates(["doc_id", "text_key"]).select(
         "doc_id", "text_key", template(F.col("text")).alias("tokens"), filled(F.col("text")).alias("values"))
@@ -123,13 +124,25 @@ def _consistent(docs: DataFrame, asked: DataFrame, items: DataFrame, size: int)
     wanted = asked.withColumnsRenamed({"doc_id": "a_doc", "text_key": "a_key", "item": "a_item"})
     met = met.join(
         side(wanted), F.col("doc_id").eqNullSafe(F.col("a_doc")) & (F.col("text_key") == F.col("a_key")) & (F.col("item") == F.col("a_item")))
-    slots = F.filter(F.arrays_zip("item_values", "doc_values"), lambda p: p["item_values"].rlike("^[\u0001-\u0003]"))
+    met = stored(met, "met")
     where = ["doc_id", "text_key", "item", "n_windows", "shift"]
-    values = met.select(*where, F.explode(slots).alias("slot")).groupBy(*where, "slot.item_values").agg(
-        F.min("slot.doc_values").alias("low"), F.max("slot.doc_values").alias("high"))
-    broken = values.filter("low <> high").select(*where).distinct()
-    keys_equal = [F.col(f"m.{c}").eqNullSafe(F.col(f"b.{c}")) for c in where]
-    good = met.alias("m").join(broken.alias("b"), keys_equal, "left_anti")
+    slots = F.filter(
+        F.transform(F.arrays_zip("item_values", "doc_values"), lambda p, i: F.struct(
+            (F.col("at") + i).alias("place"), p["item_values"].alias("item_value"), p["doc_values"].alias("doc_value"))),
+        lambda p: p["item_value"].rlike("^[\u0001-\u0003]"))
+    slots = met.select(*where, "at", F.explode(slots).alias("slot")).select(*where, "at", "slot.*")
+    # windows overlap: a place counts once
+    places = slots.select(*where, "place", "item_value", "doc_value").distinct().groupBy(*where, "item_value", "doc_value").agg(
+        F.count(F.lit(1)).alias("n"))
+    stands = places.groupBy(*where, "item_value").agg(F.sum("n").alias("total"), F.collect_list(F.struct("doc_value", "n")).alias("seen"))
+    odd = stands.filter(F.size("seen") > 1).select(*where, "item_value", F.explode(F.filter(
+        "seen", lambda v: (v["doc_value"] != F.col("item_value")) & (2 * v["n"] <= F.col("total")))["doc_value"]).alias("doc_value"))
+
+    def equal(names: list[str]) -> list[Column]:
+        return [F.col(f"m.{c}").eqNullSafe(F.col(f"b.{c}")) for c in names]
+
+    broken = slots.alias("m").join(odd.alias("b"), equal([*where, "item_value", "doc_value"]), "left_semi").select(*where, "at").distinct()
+    good = met.alias("m").join(broken.alias("b"), equal([*where, "at"]), "left_anti")
     return good.groupBy("doc_id", "text_key", "item", "n_windows", "at").agg(F.count(F.lit(1)).alias("_n")).groupBy(
         "doc_id", "text_key", "item", "n_windows").agg(F.count(F.lit(1)).alias("n_matched"))
 
