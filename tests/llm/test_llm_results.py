@@ -124,6 +124,24 @@ def test_compact_windows_are_the_wide_nodes_of_the_tree():
                 assert all(values[w[0]:w[2] + 1].min() == values[w[1]] for w in got)
 
 
+def test_single_partners_at_the_threshold(spark):
+    rng = random.Random(9)
+    rows, edited, exact = [], set(), set()
+    for i in range(300):  # exactly 50 words; an edited inner word gives 41 of 51 runs: similarity 0.804
+        one = invented(rng, 50)
+        two = list(one)
+        if i % 3:
+            two[rng.randrange(5, 45)] = "edited"
+        (edited if i % 3 else exact).add(2 * i)
+        for k, own in enumerate((one, two)):
+            rows.append((2 * i + k, " ".join([*invented(rng, rng.randint(20, 90)), *own, *invented(rng, rng.randint(20, 90))])))
+    got = compact_windows.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()
+    assert all(r.doc_id // 2 == r.other_id // 2 for r in got)
+    found = {r.doc_id for r in got}
+    assert exact <= found
+    assert len(edited & found) >= 0.97 * len(edited)
+
+
 def test_planted_passages(spark):
     rng = random.Random(5)
     passages, rows, planted = [invented(rng, 60) for _ in range(10)], [], defaultdict(list)
@@ -343,6 +361,26 @@ def test_parameterised_questions(spark):
     assert [(r.doc_id, r.item_id, r.coverage) for r in got] == [(1, 7, 1.0)]
 
 
+def test_one_edited_slot_costs_its_windows_only(spark):
+    item = ("The bridge over the river was opened in 1907 by the mayor of the old town and it was closed again for long repairs in 1907 "
+            "because the northern pillar of it had sunk deep into the soft ground")
+    docs = [(1, item), (2, item[::-1].replace("7091", "8091", 1)[::-1]), (3, item.replace("1907", "1950", 1).replace("1907", "1960", 1)),
+            (4, "opened in 1907 by the mayor and closed again in 1950")]
+    got = {r.doc_id: r for r in template_leaks.leaks(
+        spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(7, item)], "item_id bigint, text string")).collect()}
+    assert set(got) == {1, 2, 3}
+    n = len(item.split()) - 4
+    assert (got[1].n_windows, got[1].n_matched, got[2].n_matched, got[3].n_matched) == (n, n, n - 5, n - 10)
+
+
+def test_a_slot_stands_for_the_value_of_most_places(spark):
+    item = "take 5 red apples then add 5 green pears then add 5 ripe plums and cook all of it"
+    doc = "take 8 red apples then add 8 green pears then add 9 ripe plums and cook all of it"
+    got = template_leaks.leaks(
+        spark.createDataFrame([(1, doc)], "doc_id bigint, text string"), spark.createDataFrame([(7, item)], "item_id bigint, text string")).collect()
+    assert [(r.n_windows, r.n_matched) for r in got] == [(15, 10)]
+
+
 @needs_data
 def test_verbatim_leaks(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
