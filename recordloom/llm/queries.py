@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from recordloom.llm import (
     compact_windows, forest_join, language_backoff, permutation_index, pfor_files, quality_trees, separator_scan, site_templates,
-    temperature_mix, template_leaks,
+    temperature_mix, template_leaks, word_table,
 )
 from recordloom.llm.common import table
 
 # Where the public tokenizers lie is a parameter of the operators; the queries take the installed files.
 TOKENIZER = "word_bpe_49k.json"
+PIECES, BYTES = "piece_bpe_32k.model", "byte_bpe_50k.json"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,10 +37,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_trees.score(docs, quality_trees.fit(docs, table(spark, sf_dir, "labels")))
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +67,10 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temperature_mix.mix(table(spark, sf_dir, "documents"))
 
 
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_table.digests(table(spark, sf_dir, "documents"), tokenizer_path(PIECES))
+
+
 # The mixture with its default parameters: bisected exponent, whole epochs, and the rest by the order of the last epoch.
 _MIX_SQL = """
 WITH RECURSIVE counted AS (
@@ -125,6 +130,7 @@ QUERIES: dict[str, Query] = {
     "op8_repeated_passages": op8_repeated_passages,
     "op9_decontamination": op9_decontamination,
     "op10_source_mix": op10_source_mix,
+    "op12_sentencepiece": op12_sentencepiece,
 }
 
 ORACLES: dict[str, str] = {"op10_source_mix": _MIX_SQL}
