@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from recordloom.llm import (
-    compact_windows, forest_join, language_backoff, permutation_index, pfor_files, quality_trees, separator_scan, site_templates,
+    compact_windows, forest_join, language_backoff, pair_counts, permutation_index, pfor_files, quality_trees, separator_scan, site_templates,
     temperature_mix, template_leaks, word_table,
 )
 from recordloom.llm.common import table
@@ -71,6 +71,10 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_table.digests(table(spark, sf_dir, "documents"), tokenizer_path(PIECES))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_counts.digests(table(spark, sf_dir, "documents"), tokenizer_path(BYTES), tokenizer_path(PIECES))
+
+
 # The mixture with its default parameters: bisected exponent, whole epochs, and the rest by the order of the last epoch.
 _MIX_SQL = """
 WITH RECURSIVE counted AS (
@@ -131,6 +135,7 @@ QUERIES: dict[str, Query] = {
     "op9_decontamination": op9_decontamination,
     "op10_source_mix": op10_source_mix,
     "op12_sentencepiece": op12_sentencepiece,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLES: dict[str, str] = {"op10_source_mix": _MIX_SQL}

@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -155,16 +154,21 @@ def _joiner(path: str, full: bool):
     return run
 
 
+def coded_words(docs: DataFrame, key: str, column: str, letters: int, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """Texts as places (batch, keys, numbers, places), and the lists they point to (batch, bucket, places, words), bucket by bucket."""
+    rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(column).cast("string").alias("text"))
+    coded = stored(rows.mapInArrow(_coder(letters, buckets), _CODED), "coded")
+    listed = coded.filter("bucket is not null").select("batch", "bucket", "places", "words").repartition("bucket")
+    return coded.filter("bucket is null").select("batch", "keys", "numbers", "places"), listed
+
+
 def encoded(
     docs: DataFrame, path: str, key: str = "doc_id", column: str = "text", full: bool = True, letters: int = LETTERS, buckets: int = BUCKETS,
     remembered: int = REMEMBERED,
 ) -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256), and with ``full`` also ids and decoded; see the module."""
-    rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(column).cast("string").alias("text"))
-    coded = stored(rows.mapInArrow(_coder(letters, buckets), _CODED), "coded")
-    listed = coded.filter("bucket is not null").select("batch", "bucket", "places", "words").repartition("bucket")
+    texts, listed = coded_words(docs, key, column, letters, buckets)
     words = listed.mapInArrow(_segmenter(path, remembered), "batch bigint, places binary, lengths binary, ids binary")
-    texts = coded.filter("bucket is null").select("batch", "keys", "numbers", "places")
     kind = "key bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if full else "")
     return texts.groupBy("batch").cogroup(words.groupBy("batch")).applyInArrow(_joiner(path, full), kind).withColumnRenamed("key", key)
 
