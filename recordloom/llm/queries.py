@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from recordloom.llm import (
     compact_windows, forest_join, language_backoff, pair_counts, permutation_index, pfor_files, quality_trees, separator_scan, site_templates,
-    temperature_mix, template_leaks, word_table,
+    spectrum_slicing, temperature_mix, template_leaks, word_table,
 )
 from recordloom.llm.common import table
 
@@ -67,6 +67,10 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temperature_mix.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spectrum_slicing.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_table.digests(table(spark, sf_dir, "documents"), tokenizer_path(PIECES))
 
@@ -134,6 +138,7 @@ QUERIES: dict[str, Query] = {
     "op8_repeated_passages": op8_repeated_passages,
     "op9_decontamination": op9_decontamination,
     "op10_source_mix": op10_source_mix,
+    "op11_whitening": op11_whitening,
     "op12_sentencepiece": op12_sentencepiece,
     "op13_token_alignment": op13_token_alignment,
 }
