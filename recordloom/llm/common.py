@@ -51,6 +51,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def stored_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Write ``df`` in buckets of ``key``: a join by it, or its groups, read the buckets where they lie and shuffle nothing.
+
+    Only a table of the catalogue has buckets; its entry goes at once, the files stay where they are read from.
+    """
+    spark = df.sparkSession
+    entry, buckets = f"{name}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(buckets, key).option("path", new_folder(spark, name)).saveAsTable(entry)
+    found = spark.table(entry)
+    spark.sql(f"DROP TABLE {entry}")
+    return found
+
+
 def side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The small side of a join: broadcast if it was counted to fit, else left to a shuffled join.
 

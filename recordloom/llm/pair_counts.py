@@ -11,7 +11,7 @@ number is kept beside it.  A batch's counts become dense vectors by these number
 Second pass.  Texts are aligned again, batch by batch; each distinct pair of a batch is looked up by its hash, its kept key is compared, and
 per text the counts are added.  The highest count for each B id is one number for each entry of B's vocabulary: all that goes to every task.
 
-Scale.  Texts are read once and packed (``word_table``), then shuffled by batch for each pass.  Shards are files in the shared folder; a task holds
+Scale.  Texts are read once and packed (``word_table``); only the ids of a batch's words are shuffled to them in each pass.  Shards are files in the shared folder; a task holds
 at most ``SHARDS_HELD`` of them (12 bytes and some bits for a pair), however many pairs there are.  Pairs are at most the product of the two vocabularies.
 A word that fills a third of all text is one entry of its batch, a pair that has a third of all links one number of a vector.
 

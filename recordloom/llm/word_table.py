@@ -8,8 +8,8 @@ Pieces do not cross the mark before a word (``marked_words`` says where a text m
    the batch's list.
 3. Ids and texts of a batch are joined by those places.
 
-Scale.  What is shuffled is packed: the distinct words of each batch, their ids, and the compressed places; texts are read once and
-never shuffled.  A batch is bounded by its letters (a single longer text is a batch of its own), a bucket is read as a stream, and the words a
+Scale.  What is shuffled is packed: the distinct words of each batch, and their ids; texts are read once and, as compressed places,
+never shuffled: they lie in buckets by batch, so only ids move to them.  A batch is bounded by its letters (a single longer text is a batch of its own), a bucket is read as a stream, and the words a
 task remembers are bounded by ``REMEMBERED``: beyond it, it forgets and segments again, with the same ids.  A word that fills a third of a text is one entry
 of its batch.  Step 1 is a written table.
 
@@ -31,10 +31,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import slices, stored
+from recordloom.llm.common import slices, stored_by
 from recordloom.llm.marked_words import marked_words, pack_ints, pack_texts, sentence_piece, unpack_ints, unpack_texts
 
-LETTERS, BUCKETS, REMEMBERED = 32_000_000, 512, 2_000_000
+LETTERS, BUCKETS, REMEMBERED = 32_000_000, 512, 500_000
 
 _CODED = "batch bigint, bucket int, keys array<bigint>, numbers binary, places binary, words binary"
 _CODED_ARROW = pa.schema([
@@ -157,7 +157,7 @@ def _joiner(path: str, full: bool):
 def coded_words(docs: DataFrame, key: str, column: str, letters: int, buckets: int) -> tuple[DataFrame, DataFrame]:
     """Texts as places (batch, keys, numbers, places), and the lists they point to (batch, bucket, places, words), bucket by bucket."""
     rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(column).cast("string").alias("text"))
-    coded = stored(rows.mapInArrow(_coder(letters, buckets), _CODED), "coded")
+    coded = stored_by(rows.mapInArrow(_coder(letters, buckets), _CODED), "coded", "batch")
     listed = coded.filter("bucket is not null").select("batch", "bucket", "places", "words").repartition("bucket")
     return coded.filter("bucket is null").select("batch", "keys", "numbers", "places"), listed
 
