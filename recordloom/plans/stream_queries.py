@@ -68,26 +68,55 @@ def streaming_upsert(spark, folder):
 _SILENT = ("svc0", "svc1")
 
 
-@query("t01_source_policies", with_ctes(f"""
-SELECT {SHOW} FROM (
+# Rows of the silent sources that the run does not mention: live ones become tombstones, old tombstones only count as changed.
+_SYNCED = f"""synced AS (
   SELECT uri, oaiuri, serviceid, CASE WHEN NOT lost THEN xmldata END AS xmldata, CASE WHEN lost THEN TIMESTAMP '{RUN_TS}' ELSE changed END AS changed,
-         added, CASE WHEN lost THEN TIMESTAMP '{RUN_TS}' ELSE deleted END AS deleted,
-         CASE WHEN lost THEN TIMESTAMP '{RUN_TS}' ELSE datestamp END AS datestamp, status, nativeurl
-  FROM (SELECT *, action IS NULL AND deleted IS NULL AND serviceid IN (SELECT serviceid FROM records WHERE serviceid IN {_SILENT}) AS lost
-        FROM applied_rows))""", CONTENT_CTES))
-def source_policies(spark, folder):
-    """Two sources send all they have in each run, the others report deletions by headers."""
-    work = work_folder(spark, "policies")
+         added, CASE WHEN lost THEN coalesce(deleted, TIMESTAMP '{RUN_TS}') ELSE deleted END AS deleted,
+         CASE WHEN lost THEN coalesce(deleted, TIMESTAMP '{RUN_TS}') ELSE datestamp END AS datestamp, status, nativeurl
+  FROM (SELECT *, action IS NULL AND serviceid IN (SELECT serviceid FROM records WHERE serviceid IN {_SILENT}) AS lost FROM applied_rows))"""
+
+
+def _policies(spark: SparkSession, folder: str) -> DataFrame:
     services = spark.read.parquet(f"{folder}/supplier.parquet").select(F.concat(F.lit("svc"), text("s_suppkey")).alias("serviceid"))
     policy = F.when(F.col("serviceid").isin(*_SILENT), "transient").otherwise("persistent")
     zero = spark.range(1).select(F.lit("svc0").alias("serviceid"))
-    services = services.unionByName(zero).distinct().withColumn("deleted_policy", policy)
+    return services.unionByName(zero).distinct().withColumn("deleted_policy", policy)
+
+
+def _harvest_in_batches(spark: SparkSession, folder: str, work: str, *more: jobs.BatchHandler, batches: int = 4) -> None:
+    """All events as one run whose batches come one after the other, in the order of the events."""
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    least, most = events.agg(F.min("event_id"), F.max("event_id")).first()
+    for k in range(batches):
+        step = F.col("event_id") - (least or 0)
+        part = F.least(F.floor(step * batches / F.lit(max(1, (most or 0) - (least or 0) + 1))), F.lit(batches - 1))
+        events.filter(part == k).coalesce(1).write.mode("append").parquet(f"{work}/spool")
     jobs.write_version(old_content(spark, folder), f"{work}/store", 0)
-    handler = jobs.upsert_batch(f"{work}/store", _split, lambda: moment(RUN_TS), services=services)
-    jobs.table_stream(_events(spark, folder), f"{work}/state", [handler]).awaitTermination()
+    handler = jobs.upsert_batch(f"{work}/store", _split, lambda: moment(RUN_TS), services=_policies(spark, folder))
+    for _ in range(2):  # the second start finds nothing and ends nothing
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/spool")
+        jobs.table_stream(stream, f"{work}/state", [handler, *more]).awaitTermination()
+
+
+@query("t01_source_policies", with_ctes(f"SELECT {SHOW} FROM synced", CONTENT_CTES, _SYNCED))
+def source_policies(spark, folder):
+    """Two sources send all they have in each run of several batches, the others report deletions by headers."""
+    work = work_folder(spark, "policies")
+    _harvest_in_batches(spark, folder, work)
     return show_content(jobs.read_store(spark, f"{work}/store"))
 
 
+@query("t01_synced_index", with_ctes(
+    "SELECT uri AS item_id, serviceid, 'itemTitle' AS index, xmldata AS value FROM synced WHERE deleted IS NULL "
+    "UNION ALL SELECT uri, serviceid, '_htmlurl', nativeurl FROM synced WHERE deleted IS NULL", CONTENT_CTES, _SYNCED))
+def synced_index(spark, folder):
+    """Postings after the same run: its end takes back those of the rows that it deletes."""
+    work = work_folder(spark, "synced")
+    outputs.replace_postings(_flatten(store.live_rows(old_content(spark, folder))), f"{work}/postings")
+    _harvest_in_batches(spark, folder, work, jobs.index_batch(f"{work}/store", f"{work}/postings", _flatten))
+    return outputs.read_postings(spark, f"{work}/postings").select("item_id", "serviceid", "index", "value")
+
+
 def _flatten(rows: DataFrame) -> DataFrame:
     entries = F.array(
         F.struct(F.lit("itemTitle").alias("index"), F.col("xmldata").alias("value")),

@@ -380,3 +380,91 @@ def test_validation(spark, tmp_path):
 
     messages = harvest.validation_messages(spark, str(source), "record", str(tmp_path / "r.xsd"), "year string")
     assert [tuple(r) for r in message_report(messages).collect()] == [("record does not match the schema", 2, 2, 1)]
+
+
+def test_a_run_of_many_batches_ends_once(spark, tmp_path):
+    """Silent source: rows stay while a batch of the run mentions them, and go when the run ends without them."""
+    work, source = str(tmp_path / "work"), tmp_path / "in"
+    services = spark.createDataFrame([("t", "transient"), ("p", "persistent"), ("u", "transient")], "serviceid string, deleted_policy string")
+    jobs.write_version(spark.createDataFrame([], store.CONTENT), f"{work}/store", 0)
+
+    def by_name(batch):
+        rows, headers = split(batch)
+        service = F.substr("oaiuri", F.lit(1), F.lit(1))
+        return rows.withColumn("serviceid", service), headers.withColumn("serviceid", service)
+
+    clock = ["2024-05-01 00:00:00"]
+    handler = jobs.upsert_batch(f"{work}/store", by_name, lambda: F.lit(clock[0]).cast("timestamp_ntz"), services=services)
+
+    def files(place, *batches):
+        for k, records in enumerate(batches):
+            write_harvest(source, f"{place}-{k}.xml", *records)
+            os.utime(source / f"{place}-{k}.xml", (1_700_000_000 + 10 * place + k,) * 2)
+
+    def run():
+        jobs.ingest_stream(spark, str(source), f"{work}/state", [handler], run_ts, max_files=1).awaitTermination()
+        return {r.uri[2:]: r for r in jobs.read_store(spark, f"{work}/store").collect()}
+
+    def alive(rows):
+        return {name for name, r in rows.items() if r.deleted is None}
+
+    files(1, [envelope("t1"), envelope("t2"), envelope("p1"), envelope("u1")], [envelope("t3"), envelope("t4")])
+    assert alive(run()) == {"t1", "t2", "t3", "t4", "p1", "u1"}
+    clock[0] = "2024-06-01 00:00:00"
+    files(2, [envelope("t1")], [envelope("t3"), envelope("p2")], [envelope("t5")])
+    rows = run()
+    assert alive(rows) == {"t1", "t3", "t5", "p1", "p2", "u1"}  # u took no part in the run
+    assert str(rows["t2"].deleted) == str(rows["t2"].changed) == clock[0] and rows["t2"].xmldata is None
+    clock[0] = "2024-07-01 00:00:00"
+    assert run() == rows  # nothing came, nothing ends
+    files(3, [envelope("t1")], [envelope("t2")])
+    rows = run()
+    assert alive(rows) == {"t1", "t2", "p1", "p2", "u1"}
+    assert (str(rows["t4"].deleted), str(rows["t4"].changed)) == ("2024-06-01 00:00:00", clock[0])  # an old tombstone keeps its date
+    assert [(r.first, r.last, r.closing) for r in jobs.runs(spark, f"{work}/store").orderBy("closing").collect()] == [(1, 3, 4), (5, 9, 10), (11, 13, 14)]
+
+
+def test_a_run_that_fails_goes_on_at_the_next_start(spark, tmp_path):
+    work, source = str(tmp_path / "work"), tmp_path / "in"
+    services = spark.createDataFrame([("s", "transient")], "serviceid string, deleted_policy string")
+    jobs.write_version(spark.createDataFrame([], store.CONTENT), f"{work}/store", 0)
+    broken = [False]
+
+    def fails(batch, batch_id):
+        if broken[0] and batch_id == 2:
+            raise ValueError("power cut")
+
+    handler = jobs.upsert_batch(f"{work}/store", split, run_ts, services=services)
+
+    def run():
+        jobs.ingest_stream(spark, str(source), f"{work}/state", [handler, fails], run_ts, max_files=1).awaitTermination()
+
+    def alive():
+        return {r.uri for r in store.live_rows(jobs.read_store(spark, f"{work}/store")).collect()}
+
+    write_harvest(source, "1.xml", envelope("1"), envelope("2"), envelope("3"))
+    run()
+    for k in (1, 2):
+        write_harvest(source, f"2-{k}.xml", envelope(str(k)))
+        os.utime(source / f"2-{k}.xml", (1_900_000_000 + k,) * 2)
+    broken[0] = True
+    with pytest.raises(Exception, match="power cut"):
+        run()
+    assert alive() == {"u/1", "u/2", "u/3"}  # the run is open: nothing is missing yet
+    broken[0] = False
+    run()
+    assert alive() == {"u/1", "u/2"}
+
+
+def test_a_batch_does_not_read_old_payloads(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = [("u/1", "1", "s", "<v/>", None, None, None, None, 0, None)]
+    jobs.write_version(spark.createDataFrame(rows, store.CONTENT), path, 0)
+    records = spark.createDataFrame([("u/1", "1", "s", "<w/>", None, None, 5)], "uri string, oaiuri string, serviceid string, xmldata string, "
+                                    "datestamp timestamp_ntz, nativeurl string, file_pos bigint")
+    changes = jobs.changed_rows(jobs._versions(spark, path), records, records.limit(0), run_ts())
+    plan = changes._jdf.queryExecution().optimizedPlan().toString()
+    scans = [line for line in plan.splitlines() if "Relation" in line and "parquet" in line]
+    assert changes.first().xmldata == "<w/>" and scans
+    read = changes._jdf.queryExecution().executedPlan().toString()
+    assert all("xmldata" not in line for line in read.splitlines() if "ReadSchema" in line)
