@@ -37,8 +37,7 @@ def page(
         raise ValueError(f"index cannot be sorted: {sort}")
     keys = postings.filter(F.col("index") == sort).groupBy("item_id").agg(F.min("value").alias("sort_value"))
     rows = items.select("item_id").distinct().join(keys, "item_id", "left")
-    key = F.col("sort_value").desc_nulls_last() if desc else F.col("sort_value").asc_nulls_last()
-    return shuffle.page(rows, [key, F.col("item_id")], max(start, 1), size)
+    return shuffle.selected_page(rows, ["sort_value", "item_id"], [desc, False], max(start, 1), size)
 
 
 def bm25(postings: DataFrame, words: Sequence[str], k: int, index: str = "text") -> DataFrame:

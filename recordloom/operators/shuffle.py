@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from recordloom.session import durable
@@ -74,5 +74,59 @@ def top_per_group(
 
 
 def page(df: DataFrame, order: Sequence[Column], start: int, size: int, name: str = "rank") -> DataFrame:
-    """Rows ``start`` .. ``start + size - 1`` of the total order, however deep the page lies."""
+    """Rows ``start`` .. ``start + size - 1`` of any total order, all of which is numbered; ``selected_page`` sorts less."""
     return global_rank(df, order, name).filter(F.col(name).between(start, start + size - 1))
+
+
+def _before(names: Sequence[str], descending: Sequence[bool], bound: Row) -> Column:
+    """Whether a row stands before ``bound`` in the order of some columns, nulls last."""
+    earlier, equal = F.lit(False), F.lit(True)
+    for name, desc, value in zip(names, descending, bound):
+        column, other = F.col(name), F.lit(value)
+        ahead = column.isNotNull() if value is None else F.coalesce(column > other if desc else column < other, F.lit(False))
+        earlier = earlier | (equal & ahead)
+        equal = equal & column.eqNullSafe(other)
+    return earlier
+
+
+def _sorting(names: Sequence[str], descending: Sequence[bool]) -> list[Column]:
+    return [F.col(n).desc_nulls_last() if desc else F.col(n).asc_nulls_last() for n, desc in zip(names, descending)]
+
+
+def selected_page(
+    df: DataFrame, names: Sequence[str], descending: Sequence[bool], start: int, size: int, name: str = "rank", most: int = 100_000,
+    sample: int = 4096,
+) -> DataFrame:
+    """Rows ``start`` .. ``start + size - 1`` in the order of some columns (nulls last), the last of them unique.
+
+    What fits into ``most`` rows from the top is taken by a top-k in every task.  A deeper page is selected: of a bounded sample two rows are
+    taken between which the page should lie, an exact count says whether it does, and the rows between them are searched
+    in the same way until at most ``most`` are left to sort.  Nothing else is sorted and nothing is written.
+    """
+    order, last = _sorting(names, descending), start + size - 1
+    ranked = F.row_number().over(Window.orderBy(*order))  # over a bounded number of rows
+    if last <= most:
+        return df.orderBy(*order).limit(last).withColumn(name, ranked.cast("bigint")).filter(F.col(name) >= start)
+    rows, before, left = df, 0, df.count()
+    if left < start:
+        return df.limit(0).withColumn(name, F.lit(0).cast("bigint"))
+    margin, last = 3 * sample**0.5, min(last, left)
+    while left > most and margin < sample:
+        some = rows.select(*names).orderBy(F.xxhash64(*names), *order).limit(sample).orderBy(*order).collect()
+        low = int((start - 1 - before) / left * len(some) - margin)
+        high = int((last - before) / left * len(some) + margin) + 1
+        kept = F.lit(True)
+        if low > 0:
+            kept = kept & ~_before(names, descending, some[low])
+        if high < len(some):
+            kept = kept & _before(names, descending, some[high])
+        ahead = _before(names, descending, some[low]) if low > 0 else F.lit(False)
+        found = rows.agg(F.count_if(ahead).alias("ahead"), F.count_if(kept).alias("kept")).first()
+        inside = before + found.ahead < start and last <= before + found.ahead + found.kept
+        if inside and found.kept < left:
+            rows, before, left = rows.filter(kept), before + found.ahead, found.kept
+        else:
+            margin *= 2
+    if left > most:
+        return global_rank(rows, order, name).withColumn(name, F.col(name) + before).filter(F.col(name).between(start, last))
+    return rows.withColumn(name, ranked.cast("bigint") + before).filter(F.col(name).between(start, last))

@@ -387,3 +387,19 @@ def test_organisations_keep_empty_ones(spark):
     services = spark.createDataFrame([("s1", "a"), ("s2", "a")], "serviceid string, kortnamn string")
     got = rows(store.org_services(orgs, services).select("kortnamn", F.coalesce("serviceid", F.lit("-")), "namnswe"))
     assert got == [("a", "s1", "A"), ("a", "s2", "A"), ("b", "-", "B")]
+
+
+def test_pages_at_any_depth(spark):
+    """Pages by selection against a sorted list: ties, nulls, both directions, small samples."""
+    rng = random.Random(4)
+    rows = [(f"i{k:04d}", None if k % 37 == 0 else rng.choice("abcdefgh") * rng.randrange(1, 4)) for k in range(1500)]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "item_id string, v string").repartition(5)
+    for desc in (False, True):
+        valued = sorted((r for r in rows if r[1] is not None), key=lambda r: r[0])
+        valued.sort(key=lambda r: r[1], reverse=desc)
+        want = valued + sorted(r for r in rows if r[1] is None)
+        for start, size in ((1, 5), (700, 30), (1490, 50), (1600, 5)):
+            got = shuffle.selected_page(frame, ["v", "item_id"], [desc, False], start, size, most=40, sample=64)
+            found = [(r.item_id, r.v, r["rank"]) for r in got.orderBy("rank").collect()]
+            assert found == [(*r, start + k) for k, r in enumerate(want[start - 1:start - 1 + size])]
