@@ -21,25 +21,31 @@ SELECT 'oai:' || event_id AS oaiuri,
   event_type = 'error' AS is_deleted,
   CASE WHEN value < 5 THEN 'unreadable datestamp, run time used: day ' || event_id END AS problem,
   CASE WHEN event_type <> 'error' THEN '<v xmlns:o="urn:o" xmlns:x="urn:x" k="' || event_id || '"><record>' || regexp_extract(props, '\\d+')
-    || '</record></v>' END AS payload_xml
-FROM events""")
+    || '</record>' || CASE WHEN event_id % 5 = 2 THEN '<![CDATA[</o:record></o:metadata><o:record>]]>' ELSE '' END || '</v>' END AS payload_xml
+FROM events UNION ALL SELECT NULL, '2024-02-01 00:00:00', false, 'record without an end', NULL""")
 def harvest_scan(spark, folder):
-    """Events are written as harvest files of prefixed records whose payload holds an element named record, too."""
+    """Events are written as harvest files of prefixed records whose payload holds an element named record, too.
+
+    Comments, CDATA sections and quotes hold tags of records, end tags hold spaces, and one file ends within a record.
+    """
     stated = F.when(F.col("value") < 5, F.concat(F.lit("day "), text("event_id"))).otherwise(
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
     )
     deleted = F.col("event_type") == "error"
     envelope = F.concat(
-        F.lit('<o:record xmlns:o="urn:o" xmlns:x="urn:x"><o:header'), F.when(deleted, ' status="deleted"').otherwise(""),
+        F.when(F.col("event_id") % 4 == 1, "<!-- <o:record> -->").otherwise(""),
+        F.lit("""<o:record xmlns:o="urn:o" note='</record>' xmlns:x="urn:x"><o:header"""), F.when(deleted, ' status="deleted"').otherwise(""),
         F.lit("><o:identifier>oai:"), text("event_id"), F.lit("</o:identifier><o:datestamp>"), stated, F.lit("</o:datestamp></o:header>"),
         F.when(deleted, "").otherwise(F.concat(
             F.lit('<o:metadata><v k="'), text("event_id"), F.lit('"><record>'), F.regexp_extract("props", r"\d+", 0),
-            F.lit("</record></v></o:metadata>"),
+            F.lit("</record>"), F.when(F.col("event_id") % 5 == 2, "<![CDATA[</o:record></o:metadata><o:record>]]>").otherwise(""),
+            F.lit("</v></o:metadata>"),
         )),
-        F.lit("</o:record>"),
+        F.when(F.col("event_id") % 3 == 0, "</o:record >").otherwise("</o:record>"),
     )
     work = work_folder(spark, "harvest")
     table(spark, folder, "events").select(envelope.alias("value")).repartition(3).write.text(work)
+    spark.range(1).select(F.lit("<o:record><o:header>half").alias("value")).write.mode("append").text(work)
     return harvest.harvest_scan(spark, work, moment(RUN_TS)).drop("file", "file_pos").withColumn("datestamp", stamp("datestamp"))
 
 

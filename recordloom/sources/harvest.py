@@ -6,10 +6,11 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.session import written
+from recordloom.sources.record_cut import cut_records
 from recordloom.vocabulary import PUBLIC_NAMESPACES, Names
 
 TRIPLE = (
@@ -26,6 +27,7 @@ def _unescape(text: Column) -> Column:
 
 
 _P = r"(?:[\w.-]+:)?"  # any prefix
+_ATTRIBUTES = r"""[^>"']*+(?:(?:"[^"]*"|'[^']*')[^>"']*+)*+"""  # up to the end of a start tag; quotes may hold its sign
 _DECLARED = r"""\bxmlns(?::[\w.-]+)?\s*=\s*(?:"[^"]*"|'[^']*')"""
 
 
@@ -56,13 +58,13 @@ def parse_envelopes(envelopes: DataFrame, column: str, run_ts: Column, outer: st
     its first element.  Tags may have any prefix.
     """
     text = F.col(column)
-    header = F.regexp_extract(text, rf"(?s)<{_P}header\b[^>]*>.*?</{_P}header\s*>|<{_P}header\b[^>]*/>", 0)
+    header = F.regexp_extract(text, rf"(?s)<{_P}header\b{_ATTRIBUTES}(?:(?<=/)>|(?<!/)>.*?</{_P}header\s*>)", 0)
     stamp = F.trim(F.regexp_extract(header, rf"(?s)<{_P}datestamp\b[^>]*>(.*?)</{_P}datestamp\s*>", 1))
     read = F.when(stamp.rlike(r"^\d{4}(-\d\d){0,2}(T.*)?$"), stamp.try_cast("timestamp"))
     message = F.concat(F.lit("unreadable datestamp, run time used: "), stamp)
-    payload = F.trim(F.regexp_extract(text, rf"(?s)<{_P}metadata\b[^>]*>(.*)</{_P}metadata\s*>", 1))
+    payload = F.trim(F.regexp_extract(text, rf"(?s)<{_P}metadata\b{_ATTRIBUTES}>(.*)</{_P}metadata\s*>", 1))
     around = _declarations(F.concat_ws(
-        " ", F.regexp_extract(text, rf"(?s)^\s*<{_P}record\b[^>]*>", 0), F.regexp_extract(text, rf"(?s)<{_P}metadata\b[^>]*>", 0)))
+        " ", F.regexp_extract(text, rf"(?s)^\s*<{_P}record\b{_ATTRIBUTES}>", 0), F.regexp_extract(text, rf"(?s)<{_P}metadata\b{_ATTRIBUTES}>", 0)))
     if outer is not None:
         around = F.concat(F.coalesce(outer, F.array().cast("array<string>")), around)
     rest = [c for c in envelopes.columns if c not in (column, outer)]
@@ -76,7 +78,8 @@ def parse_envelopes(envelopes: DataFrame, column: str, run_ts: Column, outer: st
     )
 
 
-# Harvest files are cut after every end of a tag that ends in "record": a fixed text, so large files are split over tasks.
+# Harvest files are read in pieces that end in these letters, a fixed text, so large files are split over tasks.  Where a record ends is
+# found by ``record_cut``.
 CUT = "record>"
 
 
@@ -88,41 +91,22 @@ def file_pieces(reader) -> DataFrame:
 
 
 def envelopes_of(pieces: DataFrame, run_ts: Column) -> DataFrame:
-    """Records of harvest files cut at ``CUT``: pieces are joined again until a record's tags are balanced.
+    """Records of harvest files read in pieces.
 
-    A payload may hold elements named record, tags may have prefixes and attributes.  Depths are summed inside a block first and
-    then over the blocks of a file, so no task orders a whole file.  ``file_pos`` orders records by (modification time, file, block,
-    place in the block): later files come after earlier ones, however large they are.
+    A payload may hold elements named record, tags may have prefixes and attributes, and comments, CDATA sections and quotes may hold
+    anything.  ``file_pos`` orders records by (modification time, file, block, place in the block): later files come after earlier
+    ones, however large they are.  A file that ends within a record, comment or the like gives its whole records, and a row without identifier whose
+    ``problem`` tells what is left open.
     """
-    piece = F.concat("value", F.lit(CUT))
-    opened = F.regexp_count(piece, F.lit(rf"<{_P}record(?:\s[^<>]*[^<>/]|\s*)?>"))
-    closed = F.regexp_count(piece, F.lit(rf"</{_P}record\s*>"))
-    placed = pieces.select(
-        "file", "modified", "block", F.monotonically_increasing_id().alias("place"), piece.alias("piece"),
-        opened.alias("opened"), closed.alias("closed"))
-    inside = Window.partitionBy("file", "block").orderBy("place")
-    placed = placed.withColumn("depth", F.sum(F.col("opened") - F.col("closed")).over(inside))
-    blocks = placed.groupBy("file", "block").agg(F.max_by("depth", "place").alias("change"))
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("file", "block", F.coalesce(F.sum("change").over(before), F.lit(0)).alias("base"))
-    placed = placed.join(blocks, ["file", "block"])
-    # a record ends where its tags are balanced; its number counts the ends before it, in the same two steps
-    ends = ((F.col("closed") > 0) & (F.col("depth") + F.col("base") <= 0)).cast("int")
-    placed = placed.withColumn("ends", ends)
-    placed = placed.withColumn("number", F.coalesce(F.sum("ends").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    counts = placed.groupBy("file", "block").agg(F.sum("ends").alias("change"))
-    counts = counts.select("file", "block", F.coalesce(F.sum("change").over(before), F.lit(0)).alias("ends_before"))
-    placed = placed.join(counts, ["file", "block"]).withColumn("number", F.col("number") + F.col("ends_before"))
-    ordered = F.array_sort(F.collect_list(F.struct("block", "place", "piece")))
-    records = placed.groupBy("file", "modified", "number").agg(ordered.alias("pieces")).select(
-        "file", "modified", F.get("pieces", F.lit(0))["block"].alias("block"), F.get("pieces", F.lit(0))["place"].alias("place"), "number",
-        F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("text"))
-    start = rf"(?s)<{_P}record(?:\s[^<>]*)?>"
-    at = F.regexp_instr("text", F.lit(start))
-    heads = records.filter("number = 0").select("file", _declarations(F.when(at > 0, F.substr("text", F.lit(1), at - 1)).otherwise("")).alias("outer"))
-    found = records.filter(at > 0).select(
-        "file", F.struct("modified", "file", "block", "place").alias("file_pos"), F.substr("text", at).alias("text"))
-    return parse_envelopes(found.join(heads, "file", "left"), "text", run_ts, "outer")
+    records, heads = cut_records(pieces, CUT)
+    outer = heads.select("file", _declarations(F.col("text")).alias("outer"))
+    rows = records.select("file", F.struct("modified", "file", "block", "place").alias("file_pos"), "text", "unfinished")
+    found = parse_envelopes(rows.join(outer, "file", "left"), "text", run_ts, "outer")
+    broken = F.col("unfinished").isNotNull()
+    return found.withColumns({
+        "oaiuri": F.when(~broken, F.col("oaiuri")), "payload_xml": F.when(~broken, F.col("payload_xml")),
+        "is_deleted": ~broken & F.col("is_deleted"), "problem": F.coalesce("unfinished", "problem"),
+    }).drop("unfinished")
 
 
 def harvest_scan(spark: SparkSession, path: str, run_ts: Column) -> DataFrame:

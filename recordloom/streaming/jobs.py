@@ -157,6 +157,7 @@ def upsert_batch(
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark, version = batch.sparkSession, version_of(batch_id)
         records, headers = split(batch)
+        records = records.filter(F.col("uri").isNotNull())  # broken ends of files are problems, not records
         if order_by == "datestamp":
             records = keep_latest(records, ["uri"], ["datestamp", "file_pos"]).drop("hits")
         if services is not None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from recordloom.operators import extract, store
 from recordloom.sinks import outputs
-from recordloom.sources import harvest
+from recordloom.sources import harvest, record_cut
 from recordloom.streaming import jobs
 from recordloom.vocabulary import PUBLIC_NAMESPACES, Names
 
@@ -468,3 +468,75 @@ def test_a_batch_does_not_read_old_payloads(spark, tmp_path):
     assert changes.first().xmldata == "<w/>" and scans
     read = changes._jdf.queryExecution().executedPlan().toString()
     assert all("xmldata" not in line for line in read.splitlines() if "ReadSchema" in line)
+
+
+# ---- cutting of harvest files ------------------------------------------------------------
+
+def cut_texts(text, state=record_cut.TEXT):
+    found, after = record_cut.marks(text, state)
+    depth, begin, out = 0, None, []
+    for at, step in found:
+        begin = at if step > 0 and not depth else begin
+        depth = max(0, depth + step)
+        if step < 0 and not depth and begin is not None:
+            out.append(text[begin:at])
+            begin = None
+    return out, after, depth
+
+
+def test_marks_of_records():
+    cases = {
+        "<record>a</record >x<record>b</record>": ["<record>a</record >", "<record>b</record>"],
+        "<!-- <record> --><record>a</record>": ["<record>a</record>"],
+        "<record><![CDATA[</record>]]></record><record/>": ["<record><![CDATA[</record>]]></record>", "<record/>"],
+        "<record a='/>' b=\"</record>\">x</record>": ["<record a='/>' b=\"</record>\">x</record>"],
+        "<?x <record> ?><a:record\n k='1' />": ["<a:record\n k='1' />"],
+        "<recordList><record><records/><record>1</record></record></recordList>": ["<record><records/><record>1</record></record>"],
+        "</record></record><record>a</record>": ["<record>a</record>"],
+    }
+    for text, want in cases.items():
+        assert cut_texts(text) == (want, record_cut.TEXT, 0)
+    assert cut_texts("<record>a<!-- x")[1:] == (record_cut.COMMENT, 1)
+    assert cut_texts("<record a='x")[1:] == (record_cut.SINGLE, 1)
+
+
+HARD = [
+    lambda i: envelope(i, payload="<v>plain</v>"),
+    lambda i: envelope(i, payload="<v>1</v>").replace("</record>", "</record >"),
+    lambda i: envelope(i, payload="<v><!-- a <record> in a comment --></v>"),
+    lambda i: "<!-- <record>" + envelope("gone") + "-->" + envelope(i, payload="<v/>"),
+    lambda i: envelope(i, payload="<v><![CDATA[</record></metadata><record>]]></v>"),
+    lambda i: envelope(i, payload="<v a='</record>' b=\"<record>\">q</v>".replace("<record>", "&lt;record>").replace("</record>", "/record>")),
+    lambda i: envelope(i, payload="<v><record>in<record/></record></v>").replace("<record><header", "<record\n k='>record>' ><header", 1),
+    lambda i: envelope(i, payload="<v>" + "long record> " * 400 + "</v>"),
+]
+
+
+@pytest.mark.parametrize("split_bytes", ["64m", "900b"])
+def test_no_record_is_lost(spark, tmp_path, split_bytes):
+    """Whatever the blocks are, all records of all files come, in order; broken files cost no neighbour."""
+    source, want = tmp_path / "in", []
+    for name in ("a", "c", "e"):
+        records = [HARD[k % len(HARD)](f"{name}{k}") for k in range(24)]
+        want += [f"{name}{k}" for k in range(24)]
+        write_harvest(source, f"{name}.xml", *records)
+    for name, end in (("b", "<record><header><identifier>half</identifier>"), ("d", "<!-- never closed <record> </record>")):
+        write_harvest(source, f"{name}.xml", *[envelope(f"{name}{k}") for k in range(3)], end)
+        want += [f"{name}{k}" for k in range(3)]
+    for place, name in enumerate("abcde"):
+        os.utime(source / f"{name}.xml", (1_700_000_000 + place,) * 2)
+    want = sorted(want, key=lambda x: (x[0], int(x[1:])))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split_bytes)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        rows = harvest.harvest_scan(spark, str(source), run_ts()).orderBy("file_pos").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    good = [r for r in rows if r.oaiuri is not None]
+    assert [r.oaiuri for r in good] == want and all(r.problem is None for r in good)
+    assert {r.problem for r in rows if r.oaiuri is None} == {"record without an end", "comment without an end"} and len(rows) == len(good) + 2
+    payloads = {r.oaiuri: r.payload_xml for r in good}
+    assert payloads["a4"] == "<v><![CDATA[</record></metadata><record>]]></v>" and payloads["a1"] == "<v>1</v>"
+    assert payloads["a6"] == "<v><record>in<record/></record></v>" and payloads["c7"].count("long") == 400
