@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.llm.common import stored
+from recordloom.operators.shuffle import global_rank
 
 SAMPLE, PIVOTS, NEAR, SHARED, LEAST, GROW, BLOCK, CHUNK = 4096, 256, 20, 2, 64, 3, 8192, 1024
 
@@ -141,13 +142,10 @@ def _pairs(name: str):
 
 
 def in_blocks(entries: DataFrame, name: str, size: int) -> DataFrame:
-    """Written rows in the order of their nearest pivots, with the number of the block of about ``size`` that each lies in."""
-    first = [F.get("near", F.lit(i)).alias(f"_{i}") for i in range(4)]
-    keys = [f"_{i}" for i in range(4)] + ["k2", "k1"]
-    rows = entries.select("*", *first).repartitionByRange(*keys).sortWithinPartitions(*keys)
-    rows = rows.withColumn("_place", F.monotonically_increasing_id()).drop(*keys[:4])
-    part, place = F.shiftright("_place", 33), F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
-    return stored(rows.withColumn(name, F.shiftleft(part, 33) + F.floor(place / size)).drop("_place"), name)
+    """Written rows in the order of their nearest pivots, with the number of the block of ``size`` that each lies in, however they are partitioned."""
+    first = [F.get("near", F.lit(i)) for i in range(4)]
+    ranked = global_rank(entries, [*first, F.col("k2"), F.col("k1")], "_rank")
+    return stored(ranked.withColumn(name, F.floor((F.col("_rank") - 1) / size)).drop("_rank"), name)
 
 
 def valid(table: DataFrame, column: str) -> DataFrame:
