@@ -6,35 +6,50 @@ Each word adds the same kind of number for every language, so the sums compare;
 
 Learning counts the words of every training text (Spark sums them by language and word); the n-grams are counted over the
 distinct words of each language, which is what unseen words resemble.  Only text and lang of rows outside fold ``HELD_OUT`` of
-``FOLDS`` are read for it.
+``FOLDS`` are read for it.  A frequency is a share of all that a language has, whether the model keeps it or not; what a language never had
+gets the same floor in every language, large or small.
 
 Scale.  Words are first summed inside a task, so a common word is a few rows whatever the corpus.  The model that is sent to
-the tasks has a documented size: the ``words`` most frequent words and ``grams`` most frequent n-grams; a word outside is
-an unseen word and is still scored.  Prediction is one pass without a shuffle.
-
-Results.  One row per document: ``held_out``, ``lang_pred``, ``score``.  A text that is null or has no letter is ``und``
-with score 0, and so is every text if nothing was learned.  Ties go to the language first in the alphabet.  Rows of null lang teach
-nothing.  A row without doc_id is predicted, teaches nothing and is not held out.  Whole texts count, of any length.
+the tasks has a documented size: ``words`` words and ``grams`` n-grams, of which every language has an equal part for its most frequent ones, and every single
+letter of every language.  Which these are follows from how often counts occur, so nothing is sorted, and only items of the model
+reach the driver.  A word outside is an unseen word and is still scored.  Prediction is one pass without a shuffle.
+
+Results.  One row per document: ``held_out``, ``lang_pred``, ``score``.  A text that is null or has no letter (numerals such as half or a Roman
+eight are none) is ``und`` with score 0, and so is every text if nothing was learned.  Ties go to the language first in the alphabet, which
+decides, too, where a text shares no letter with any language.  Rows of null lang teach nothing.  A row without doc_id is predicted, teaches nothing and is
+not held out.  Repeated rows are predicted, and teach, each time.  Whole texts count, of any length.  An empty table gives no row.  Other columns, whatever
+their names, are not read.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.llm.common import slices, stored
 
-WORDS, GRAMS, LONGEST, SMOOTH = 60_000, 60_000, 5, 0.5
+WORDS, GRAMS, LONGEST, FLOOR = 100_000, 100_000, 5, 0.01  # FLOOR: part of all frequency that is spread evenly
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def _class(kinds: str) -> str:
+    """Ranges of a character class of all letters of some Unicode categories."""
+    inside = [unicodedata.category(chr(i))[0] in kinds and not 0xD800 <= i < 0xE000 for i in range(sys.maxunicode + 1)] + [False]
+    edges = [i for i in range(1, len(inside)) if inside[i] != inside[i - 1]]
+    return "".join(f"\\U{low:08x}-\\U{high - 1:08x}" for low, high in zip(edges[::2], edges[1::2]))
+
+
+_LETTERS = re.compile(f"[{_class('L')}][{_class('LM')}]*")  # marks belong to the letter before them
 _FLUSH = 200_000
 
 
@@ -84,30 +99,48 @@ def _gram_counter(longest: int):
     return run
 
 
-def _most_frequent(counts: DataFrame, n: int) -> list:
-    """(item, {lang: n}) of the ``n`` items with the largest total: at most ``n`` rows."""
-    by_item = counts.groupBy("item").agg(
-        F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"))
-    return by_item.orderBy(F.desc("total"), "item").limit(n).select("item", "by_lang").collect()
+def _kept(counts: DataFrame, n: int, langs: list[str], always: F.Column | None = None) -> list:
+    """(item, {lang: n}) of the most frequent items of each language, an equal part of ``n`` for each, and of those that always count.
+
+    How many items have a count tells the least count that a language keeps; of items with that count all or none.
+    """
+    part = max(1, n // max(1, len(langs)))
+    sizes = counts.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("items"))  # a few rows: counts that occur
+    above = F.sum("items").over(Window.partitionBy("lang").orderBy(F.desc("n")))
+    least = sizes.withColumn("above", above).filter(F.col("above") <= part).groupBy("lang").agg(F.min("n").alias("least"))
+    chosen = counts.join(least, "lang", "left").filter((F.col("n") >= F.col("least")) | (F.lit(False) if always is None else always))
+    items = chosen.select("item").distinct()
+    by_lang = F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang")
+    return counts.join(items, "item", "left_semi").groupBy("item").agg(by_lang).collect()
+
+
+def _totals(counts: DataFrame) -> dict[str, int]:
+    """All that was counted, by language."""
+    return {row.lang: row.n for row in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
 
 
 class Model:
     """Log frequencies of known words and n-grams: one row per item, one column per language."""
 
-    def __init__(self, langs: list[str], words: list, pieces: list, longest: int):
+    def __init__(
+        self, langs: list[str], words: list, pieces: list, longest: int, word_totals: dict[str, int] | None = None,
+        piece_totals: dict[str, int] | None = None,
+    ):
         self.langs, self.longest = langs, longest
-        self.words, self.word_logs = self._logs(words)
-        self.grams, self.gram_logs = self._logs(pieces)
+        self.words, self.word_logs = self._logs(words, word_totals)
+        self.grams, self.gram_logs = self._logs(pieces, piece_totals)
 
-    def _logs(self, rows: list) -> tuple[dict[str, int], np.ndarray]:
+    def _logs(self, rows: list, totals: dict[str, int] | None) -> tuple[dict[str, int], np.ndarray]:
         place = {row[0]: i for i, row in enumerate(rows)}
         counts = np.zeros((len(rows), len(self.langs)))
         at = {lang: j for j, lang in enumerate(self.langs)}
         for i, (_, by_lang) in enumerate(rows):
             for lang, n in by_lang.items():
                 counts[i, at[lang]] = n
-        counts += SMOOTH
-        return place, np.log(counts / counts.sum(axis=0, keepdims=True)) if len(rows) else counts
+        if not len(rows):
+            return place, counts
+        whole = counts.sum(axis=0) if totals is None else np.array([totals.get(lang, 0) for lang in self.langs], float)
+        return place, np.log((1 - FLOOR) * counts / np.maximum(whole, 1) + FLOOR / len(rows))
 
     def unseen(self, word: str) -> list[int]:
         """For each place of a word the longest known n-gram that ends there."""
@@ -153,8 +186,11 @@ def fit(docs: DataFrame, words: int = WORDS, pieces: int = GRAMS, longest: int =
     shape = "lang string, item string, n bigint"
     counts = stored(known.mapInArrow(_count_words, shape).groupBy("lang", "item").agg(F.sum("n").alias("n")), "words")
     by_gram = counts.mapInArrow(_gram_counter(longest), shape).groupBy("lang", "item").agg(F.sum("n").alias("n"))
-    langs = sorted(row.lang for row in counts.select("lang").distinct().collect())
-    return Model(langs, _most_frequent(counts, words), _most_frequent(by_gram, pieces), longest)
+    by_gram = stored(by_gram, "grams")
+    word_totals, gram_totals = _totals(counts), _totals(by_gram)
+    langs = sorted(word_totals)
+    letter = F.char_length("item") == 1
+    return Model(langs, _kept(counts, words, langs), _kept(by_gram, pieces, langs, letter), longest, word_totals, gram_totals)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

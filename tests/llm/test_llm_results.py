@@ -267,6 +267,28 @@ def test_unseen_words_back_off_to_shorter_grams():
     assert model.predict("12 !")[0] == "und"
 
 
+def test_languages_of_very_unequal_size(spark):
+    """A rare language in its own script keeps its items, and its size does not make it likelier."""
+    rng = random.Random(6)
+    latin = invented(rng, 6000)
+    thai = ["".join(chr(rng.randrange(0x0E01, 0x0E2F)) for _ in range(5)) for _ in range(60)]
+    rows = [(i, " ".join(rng.choices(latin, k=60)), "en") for i in range(1200)]
+    rows += [(2000 + i, " ".join(rng.choices(thai, k=6)), "th") for i in range(40)]
+    rows += [(3000 + i, " ".join(rng.choices(latin[:50], k=6)), "xx") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)
+    for kept in (100_000, 600):
+        model = language_backoff.fit(docs, kept, kept)
+        found = [(r.doc_id, r.lang_pred) for r in language_backoff.identify(docs, model).collect() if r.held_out]
+        assert all(lang == "en" for i, lang in found if i < 2000)
+        assert all(lang == "th" for i, lang in found if 2000 <= i < 3000) and any(i >= 2000 for i, _ in found)
+        assert model.predict("กขค")[0] == "th"  # letters known, word not
+
+
+def test_letters():
+    assert language_backoff.letters("² ½ Ⅷ 12 _") == []
+    assert language_backoff.letters("हिन्दी Straße l'été x2y") == ["हिन्दी", "straße", "l", "été", "x", "y"]
+
+
 # ---- search ------------------------------------------------------------------------------
 
 @needs_data
