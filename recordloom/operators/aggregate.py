@@ -225,7 +225,8 @@ def message_report(messages: DataFrame) -> DataFrame:
     return report.unionByName(empty)
 
 
-def geo_rollup(items: DataFrame, municipality: DataFrame, county: DataFrame) -> DataFrame:
-    """Items per municipality, county and in total, with the labels of the parent tables."""
-    placed = items.join(municipality, "municipality").join(county, "county")
-    return placed.rollup("county_name", "municipality_name").agg(F.count(F.lit(1)).alias("n"))
+def geo_rollup(items: DataFrame, municipality: DataFrame, county: DataFrame, unknown: str = "unknown") -> DataFrame:
+    """Items per municipality, county and in total, with the labels of the parent tables; items without a known place count, too."""
+    placed = items.join(municipality, "municipality", "left").join(county, "county", "left")
+    named = placed.withColumns({name: F.coalesce(name, F.lit(unknown)) for name in ("county_name", "municipality_name")})
+    return named.rollup("county_name", "municipality_name").agg(F.count(F.lit(1)).alias("n"))
