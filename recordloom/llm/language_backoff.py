@@ -50,12 +50,17 @@ def _class(kinds: str) -> str:
 
 
 _LETTERS = re.compile(f"[{_class('L')}][{_class('LM')}]*")  # marks belong to the letter before them
+# Below U+0300 there are no marks, and but for a few numerals the quicker rule says the same.
+_QUICK, _FAR = re.compile(r"[^\W\d_]+"), re.compile("[²³¹¼-¾\u0300-\U0010ffff]")
 _FLUSH = 200_000
 
 
 def letters(text: str | None) -> list[str]:
     """Runs of letters, lower case."""
-    return _LETTERS.findall(text.lower()) if text else []
+    if not text:
+        return []
+    text = text.lower()
+    return (_QUICK if text.isascii() or _FAR.search(text) is None else _LETTERS).findall(text)
 
 
 def grams(word: str, longest: int) -> Iterator[str]:

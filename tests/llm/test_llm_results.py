@@ -286,6 +286,9 @@ def test_languages_of_very_unequal_size(spark):
 
 def test_letters():
     assert language_backoff.letters("² ½ Ⅷ 12 _") == []
+    low = "".join(map(chr, range(0x300)))
+    assert language_backoff._FAR.sub(" ", low).lower() and language_backoff.letters(language_backoff._FAR.sub(" ", low)) == [
+        w for w in language_backoff._LETTERS.findall(language_backoff._FAR.sub(" ", low).lower())]
     assert language_backoff.letters("हिन्दी Straße l'été x2y") == ["हिन्दी", "straße", "l", "été", "x", "y"]
 
 
