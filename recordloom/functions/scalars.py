@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 ColumnLike = Column | str
 
-# Bounds of the decade and century buckets and the stand-in for older years.
+# Default bounds of the decade and century buckets and the stand-in for older years.
 FIRST_YEAR = -1999
 LAST_YEAR = 2010
 ANCIENT = "-9999"
@@ -107,31 +107,36 @@ def century(year: ColumnLike) -> Column:
     return _step_down(_col(year), 100)
 
 
-def interval_bounds(from_time: ColumnLike, to_time: ColumnLike) -> tuple[Column, Column]:
-    """First and last year of an interval after filling, tidying and clamping; null when not a year."""
+def interval_bounds(
+    from_time: ColumnLike, to_time: ColumnLike, first_year: int = FIRST_YEAR, last_year: int = LAST_YEAR
+) -> tuple[Column, Column]:
+    """First and last year of an interval after filling, tidying and clamping to the bounds; null when not a year."""
     first = F.coalesce(_col(from_time), _col(to_time))
     last = F.coalesce(_col(to_time), _col(from_time))
     low = tidy_year(first).try_cast("int")
     high = tidy_year(last).try_cast("int")
     usable = low.isNotNull() & high.isNotNull()
     return (
-        F.when(usable, F.greatest(low, F.lit(FIRST_YEAR))),
-        F.when(usable, F.least(high, F.lit(LAST_YEAR))),
+        F.when(usable, F.greatest(low, F.lit(first_year))),
+        F.when(usable, F.least(high, F.lit(last_year))),
     )
 
 
-def decades_between(from_time: ColumnLike, to_time: ColumnLike) -> Column:
-    """Array of ``(index, value)`` decade and century entries that an interval covers.
+def decades_between(
+    from_time: ColumnLike, to_time: ColumnLike, first_year: int = FIRST_YEAR, last_year: int = LAST_YEAR
+) -> Column:
+    """Array of ``(index, value)`` decade and century entries that an interval covers within the bounds.
 
-    A clamped interval has at most 401 steps, so the array stays small whatever the input is.
+    An interval within the default bounds has at most 401 steps, so the array stays small whatever the input is; give a later
+    ``last_year`` for records of later years.
     """
-    start, stop = interval_bounds(from_time, to_time)
+    start, stop = interval_bounds(from_time, to_time, first_year, last_year)
 
     def entry(index: str, year: Column) -> Column:
         return F.struct(F.lit(index).alias("index"), year.alias("value"))
 
     def closing(index: str, value: Column, seen: Column, last: Column) -> Column:
-        return F.when((value != seen) & (last > FIRST_YEAR), F.array(entry(index, value))).otherwise(
+        return F.when((value != seen) & (last > first_year), F.array(entry(index, value))).otherwise(
             F.array().cast("array<struct<index:string,value:int>>")
         )
 

@@ -150,3 +150,13 @@ def test_wgs84_point_is_kept(spark):
     assert tuple(point) == (18.072394042188, 59.3270266104628)
     with pytest.raises(ValueError):
         geo.epsg_code("EPSG:9999")
+
+
+def test_bounds_of_decades_are_parameters(values):
+    def found(low, high, **bounds):
+        entries = values([(low, high)], scalars.decades_between(F.col("v._1"), F.col("v._2"), **bounds), "struct<_1:string,_2:string>")[0]
+        return [(e["index"], e["value"]) for e in entries]
+
+    assert found("2015", "2015") == []  # the default bounds are those of the older system
+    assert found("2015", "2021", last_year=2100) == [("decade", 2010), ("century", 2000), ("decade", 2020)]
+    assert found("1015", "1021", first_year=1020) == [("decade", 1020), ("century", 1000)]
