@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.catalog import ANALYZED, COUNTED_INDEXES, LOWER, index_exists, index_type, normalise
-from recordloom.functions.text import tokens
+from recordloom.operators import terms as search_forms
 from recordloom.operators.shuffle import top_per_group
 from recordloom.session import written
 
@@ -31,12 +31,13 @@ def _stored_values(postings: DataFrame, indexes: Sequence[str]) -> DataFrame:
     analysed = [name for name in indexes if index_type(name) == ANALYZED]
     lowered = [name for name in indexes if index_type(name) == LOWER]
     whole = [name for name in indexes if name not in analysed]
-    value = F.when(F.col("index").isin(lowered), F.lower("value")).otherwise(F.col("value"))
+    ready = search_forms.is_ready(postings)
+    value = F.col("term") if ready else F.when(F.col("index").isin(lowered), F.lower("value")).otherwise(F.col("value"))
     parts = []
     if whole:
         parts.append(postings.filter(F.col("index").isin(whole)).select("item_id", "index", value.alias("value")))
     if analysed:
-        words = F.explode(F.array_distinct(tokens("value"))).alias("value")
+        words = F.explode(F.array_distinct(search_forms.words(ready))).alias("value")
         parts.append(postings.filter(F.col("index").isin(analysed)).select("item_id", "index", words))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 

@@ -1,6 +1,7 @@
 """Predicates over postings(item_id, index, pos, value).  Results are tables of item ids.
 
-A value of an analysed index is searched by its words inside the row, so no word table is built.
+A value of an analysed index is searched by its words inside the row, so no word table is built.  Postings that were written hold
+words, terms and numbers ready (``operators.terms``); filters then read those.
 """
 
 from __future__ import annotations
@@ -12,86 +13,83 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.catalog import ANALYZED, COORDINATE, LOWER, YEAR, index_type, normalise
+from recordloom.catalog import ANALYZED, COORDINATE, YEAR, index_type, normalise
 from recordloom.functions import geo
 from recordloom.functions.scalars import like_pattern
 from recordloom.functions.text import tokens
+from recordloom.operators import terms
 
 Term = tuple[str, str, str]
 
 
-def _stored(kind: str | None) -> Column:
-    return F.lower("value") if kind == LOWER else F.col("value")
-
-
-def _phrase(words: str) -> Column:
-    spaced = F.concat(F.lit(" "), F.array_join(tokens("value"), " "), F.lit(" "))
-    wanted = F.concat(F.lit(" "), F.array_join(tokens(F.lit(words)), " "), F.lit(" "))
+def _phrase(text: str, ready: bool) -> Column:
+    spaced = F.concat(F.lit(" "), F.array_join(terms.words(ready), " "), F.lit(" "))
+    wanted = F.concat(F.lit(" "), F.array_join(tokens(F.lit(text)), " "), F.lit(" "))
     return F.contains(spaced, wanted)
 
 
-def _equals(index: str, value: str) -> Column:
+def _equals(index: str, value: str, ready: bool) -> Column:
     kind = index_type(index)
     if "*" in value or "?" in value:
         if kind in (YEAR, COORDINATE):
             raise ValueError(f"wildcards are not supported for {index}")
         pattern = like_pattern(normalise(index, value))
         if kind == ANALYZED:
-            return F.exists(tokens("value"), lambda word: word.like(pattern))
-        return _stored(kind).like(pattern)
+            return F.exists(terms.words(ready), lambda word: word.like(pattern))
+        return terms.term(kind, ready).like(pattern)
     if kind == ANALYZED:
-        return _phrase(value)
-    return _stored(kind) == normalise(index, value)
+        return _phrase(value, ready)
+    return terms.term(kind, ready) == normalise(index, value)
 
 
-def _range(index: str, op: str, value: str) -> Column:
+def _range(index: str, op: str, value: str, ready: bool) -> Column:
     kind = index_type(index)
     if kind in (YEAR, COORDINATE):
-        number, bound = ("int", int(value)) if kind == YEAR else ("double", float(value))
-        stored, bound = F.col("value").try_cast(number), F.lit(bound)
+        stored, bound = terms.number(kind, ready), F.lit(float(int(value) if kind == YEAR else value))
     else:
-        stored = F.lower("value") if kind == ANALYZED else _stored(kind)
-        bound = F.lit(normalise(index, value))
+        stored, bound = terms.term(kind, ready), F.lit(normalise(index, value))
     compare = {"<": stored < bound, "<=": stored <= bound, ">": stored > bound, ">=": stored >= bound}
     return compare[op]
 
 
-def condition(index: str, op: str, value: str) -> Column:
+def condition(index: str, op: str, value: str, ready: bool = False) -> Column:
     """Whether one postings row satisfies ``index op value``.
 
-    ``op`` is =, scr, exact, any, <, <=, > or >=; any value of a repeated field may qualify.
+    ``op`` is =, scr, exact, any, <, <=, > or >=; any value of a repeated field may qualify.  ``ready``: the rows were written
+    with their search forms, and the condition is on those.
     """
     if value == "":
         raise ValueError("an empty value only goes with = and has no row condition")
     here = F.col("index") == index
     if op in ("=", "scr"):
-        return here & _equals(index, value)
+        return here & _equals(index, value, ready)
     if op == "exact":
-        return here & (_phrase(value) if index_type(index) == ANALYZED else F.col("value") == value)
+        return here & (_phrase(value, ready) if index_type(index) == ANALYZED else F.col("value") == value)
     if op == "any":
-        words = [_equals(index, word) for word in value.split()]
+        words = [_equals(index, word, ready) for word in value.split()]
         return here & reduce(lambda one, other: one | other, words)
     if op in ("<", "<=", ">", ">="):
-        return here & _range(index, op, value)
+        return here & _range(index, op, value, ready)
     raise ValueError(f"unsupported relation: {op}")
 
 
 def select_items(
-    postings: DataFrame, terms: Mapping[str, Term], keep: Callable[[Mapping[str, Column]], Column],
+    postings: DataFrame, leaves: Mapping[str, Term], keep: Callable[[Mapping[str, Column]], Column],
     items: DataFrame | None = None, needs_hit: bool = False,
 ) -> DataFrame:
     """Items whose terms satisfy a boolean rule, in one pass and one shuffle.
 
-    ``terms`` names the leaves; ``keep`` combines their flags with ``&``, ``|`` and ``~``.  Only rows that satisfy some term are
+    ``leaves`` names the terms; ``keep`` combines their flags with ``&``, ``|`` and ``~``.  Only rows that satisfy some term are
     shuffled if the rule cannot hold without one (``needs_hit``), or if the table of all items is given; else all postings are,
     for they alone tell which items there are.
     """
-    rules = {name: F.coalesce(condition(*term), F.lit(False)) for name, term in terms.items()}
+    ready = terms.is_ready(postings)
+    rules = {name: F.coalesce(condition(*leaf, ready=ready), F.lit(False)) for name, leaf in leaves.items()}
     rows = postings if items is None and not needs_hit else postings.filter(reduce(lambda a, b: a | b, rules.values()))
     marked = rows.groupBy("item_id").agg(*[F.bool_or(rule).alias(name) for name, rule in rules.items()])
     if items is not None and not needs_hit:
         marked = items.select("item_id").distinct().join(marked, "item_id", "left").na.fill(False)
-    return marked.filter(keep({name: F.col(name) for name in terms})).select("item_id")
+    return marked.filter(keep({name: F.col(name) for name in leaves})).select("item_id")
 
 
 def match(postings: DataFrame, index: str, op: str, value: str, items: DataFrame | None = None) -> DataFrame:
@@ -99,8 +97,9 @@ def match(postings: DataFrame, index: str, op: str, value: str, items: DataFrame
 
     With the table of all ``items``, terms that look for what is missing read the postings of their index alone.
     """
+    ready = terms.is_ready(postings)
     if items is not None and (value == "" and op == "=" or op == "<>" and value != ""):
-        found = postings.filter(F.col("index") == index) if value == "" else postings.filter(condition(index, "=", value))
+        found = postings.filter(F.col("index") == index) if value == "" else postings.filter(condition(index, "=", value, ready))
         return but_not(items.select("item_id").distinct(), found.select("item_id"))
     if value == "":
         if op != "=":
@@ -111,9 +110,9 @@ def match(postings: DataFrame, index: str, op: str, value: str, items: DataFrame
         return select_items(postings, {"hit": (index, "=", value)}, lambda t: ~t["hit"])
     if op == "all":
         words = {f"w{place}": (index, "=", word) for place, word in enumerate(value.split())}
-        rows = postings.filter(condition(index, "any", value))
+        rows = postings.filter(condition(index, "any", value, ready))
         return select_items(rows, words, lambda t: reduce(lambda a, b: a & b, t.values()), needs_hit=True)
-    return postings.filter(condition(index, op, value)).select("item_id").distinct()
+    return postings.filter(condition(index, op, value, ready)).select("item_id").distinct()
 
 
 def both(one: DataFrame, other: DataFrame) -> DataFrame:

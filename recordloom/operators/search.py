@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from recordloom.catalog import ANALYZED, EXPORT_ALIASES, INDEXES, NOT_EXPORTED, index_exists, index_type
 from recordloom.functions.scalars import blank_to_null
 from recordloom.functions.text import stem, tokens
-from recordloom.operators import shuffle
+from recordloom.operators import shuffle, terms
 
 # Page sizes, and the published BM25 parameters.
 MAX_PAGE, SEARCH_PAGE, FEED_PAGE = 1000, 50, 100
@@ -48,7 +48,8 @@ def bm25(postings: DataFrame, words: Sequence[str], k: int, index: str = "text")
     if index_type(index) != ANALYZED:
         raise ValueError(f"index is not analysed: {index}")
     wanted = sorted({word.lower() for word in words})
-    split = postings.filter(F.col("index") == index).select("item_id", tokens("value").alias("_t"))
+    split = postings.filter(F.col("index") == index).select(
+        "item_id", terms.words(terms.is_ready(postings)).alias("_t"))
 
     def count_of(word: str) -> Column:
         return F.size(F.filter("_t", lambda token: token == word))

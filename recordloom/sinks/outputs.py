@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.functions import scalars
+from recordloom.operators import terms
 from recordloom.operators.filters import url_allowed
 from recordloom.operators.shuffle import global_rank
 from recordloom.operators.store import live_rows, retain
@@ -20,25 +21,57 @@ _SITEMAP_NS = "http://www.sitemaps.org/schemas/sitemap/0.9"
 # ---- postings ----------------------------------------------------------------------------
 #
 # A postings folder is a list of versions, each written once as one table.  A row is a posting (p), an item whose older postings
-# no longer hold (c), or a source whose older postings no longer hold (s).  A run writes what it changed and nothing else; readers
-# take, per item and source, what no later version took back; ``compact_postings`` folds the versions into one.
+# no longer hold (c), or a source whose older postings no longer hold (s).  A run writes what it changed, then notes which rows of other
+# versions no longer hold: one bitmap of row numbers per 32,768 rows of a file that lost any.  Readers skip those rows by file and row number; nothing
+# is joined by item.  ``compact_postings`` folds the versions into one.
+#
+# A version counts once its note is there (a row without a file), so a run that fails half way is not read.  A version that is written again
+# gets new files; its note then also holds what versions after it took back, so versions may be repeated in any order.
+
+_POSTING = "kind string, item_id string, index string, pos int, value string, serviceid string"
+_POSTING_ROW = f"{_POSTING}, {terms.FORMS}, version bigint"
+_TAKEN = "file string, block bigint, bits binary, version bigint"
 
-_POSTING_ROW = "kind string, item_id string, index string, pos int, value string, serviceid string, version bigint"
+
+def _located(spark: SparkSession, path: str) -> DataFrame:
+    """All rows ever written, with the version folder's file, the block of 32,768 rows and the bit that stand for each."""
+    rows = spark.read.schema(_POSTING_ROW).parquet(path)
+    number = F.col("_row") + 1  # bitmap functions count from one
+    return rows.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row")).select(
+        *rows.columns, "_file", F.bitmap_bucket_number(number).alias("_block"), F.bitmap_bit_position(number).alias("_bit"))
 
 
 def _write_postings(rows: DataFrame, path: str, version: int) -> None:
-    """One version.  Sorted ranges cluster the files by index and value, so a filter on them skips row groups."""
-    keys = ["kind", "serviceid", "index", "value", "item_id"]
-    rows.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(f"{path}/version={version}")
+    """One version, then its note.  Sorted ranges cluster the files by index and term, so a filter on them skips row groups."""
+    keys = ["kind", "index", "term", "value", "item_id"]
+    terms.with_forms(rows).repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(f"{path}/version={version}")
+    _note_taken(rows.sparkSession, path, version)
+
+
+def _note_taken(spark: SparkSession, path: str, version: int) -> None:
+    """Which rows of older versions this one takes back, and which of its own rows later ones do."""
+    rows = _located(spark, path)
+    postings = rows.filter((F.col("kind") == "p") & (F.col("version") >= 0))
+    marks = rows.filter((F.col("kind") != "p") & (F.col("version") >= version))
+    parts = []
+    for kind, key in (("c", "item_id"), ("s", "serviceid")):
+        by = marks.filter(F.col("kind") == kind).select(F.col(key).alias("_key"), F.col("version").alias("_by")).distinct()
+        met = (F.col(key) == F.col("_key")) & (F.col("version") < F.col("_by")) & (
+            (F.col("_by") == version) | (F.col("version") == version))
+        parts.append(postings.join(by, met, "left_semi").select("_file", "_block", "_bit"))
+    bits = parts[0].unionByName(parts[1]).groupBy(F.col("_file").alias("file"), F.col("_block").alias("block")).agg(
+        F.bitmap_construct_agg("_bit").alias("bits"))
+    done = spark.range(1).select(
+        F.lit(None).cast("string").alias("file"), F.lit(None).cast("bigint").alias("block"), F.lit(None).cast("binary").alias("bits"))
+    bits.unionByName(done).write.mode("overwrite").parquet(f"{path}/_taken/version={version}")
 
 
 def _rows(df: DataFrame, kind: str) -> DataFrame:
     """Postings, uris or sources as rows of a version."""
-    names = [field.split(" ")[0] for field in _POSTING_ROW.split(", ")[1:-1]]
-    kinds = dict(field.split(" ") for field in _POSTING_ROW.split(", "))
+    kinds = dict(field.split(" ") for field in _POSTING.split(", ")[1:])
     return df.select(
         F.lit(kind).alias("kind"),
-        *[(F.col(n) if n in df.columns else F.lit(None)).cast(kinds[n]).alias(n) for n in names])
+        *[(F.col(n) if n in df.columns else F.lit(None)).cast(k).alias(n) for n, k in kinds.items()])
 
 
 def replace_postings(postings: DataFrame, path: str, version: int = 0) -> None:
@@ -50,6 +83,7 @@ def update_postings(postings: DataFrame, changed: DataFrame, path: str, version:
     """Incremental run: the changed uris (tombstones included) lose their postings and get the fresh ones, if any.
 
     Only the run's own rows are written, whatever the size of their sources; a record that moved to another source leaves the old one.
+    Of older versions the ids are read, once, to find the rows that no longer hold.
     """
     uris = changed.select(F.col("uri").alias("item_id")).distinct()
     _write_postings(_rows(postings, "p").unionByName(_rows(uris, "c")), path, version)
@@ -61,17 +95,20 @@ def drop_postings(services: DataFrame, path: str, version: int) -> None:
 
 
 def read_postings(spark: SparkSession, path: str) -> DataFrame:
-    """The postings that hold: those that no later version took back by item or by source."""
-    rows = spark.read.schema(_POSTING_ROW).parquet(path)
-
-    def taken_back(kind: str, key: str) -> DataFrame:
-        return rows.filter(F.col("kind") == kind).groupBy(F.col(key).alias(f"_{key}")).agg(F.max("version").alias(f"_{kind}_version"))
+    """The postings that hold, with their search forms.
 
-    postings = rows.filter("kind = 'p'")
-    for kind, key in (("c", "item_id"), ("s", "serviceid")):
-        postings = postings.join(taken_back(kind, key), F.col(key) == F.col(f"_{key}"), "left").filter(
-            F.col("version") >= F.coalesce(f"_{kind}_version", F.lit(-1))).drop(f"_{key}", f"_{kind}_version")
-    return postings.drop("kind", "version")
+    The notes are at most one bit per row written (a thousandth of the table); where many rows were taken back, ``compact_postings``
+    makes them small again.
+    """
+    notes = spark.read.schema(_TAKEN).parquet(f"{path}/_taken")
+    finished = notes.filter(F.col("file").isNull()).select(F.col("version").alias("_done")).distinct()
+    taken = notes.filter(F.col("file").isNotNull()).groupBy(F.col("file").alias("_in"), F.col("block").alias("_at")).agg(
+        F.bitmap_or_agg("bits").alias("_bits"))
+    rows = _located(spark, path).filter("kind = 'p'").join(finished, F.col("version") == F.col("_done"), "left_semi")
+    rows = rows.join(taken, (F.col("_file") == F.col("_in")) & (F.col("_block") == F.col("_at")), "left")
+    octet = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_bit") / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    gone = F.col("_bits").isNotNull() & (F.getbit(octet, (F.col("_bit") % 8).cast("int")) == 1)
+    return rows.filter(~gone).drop("kind", "version", "_file", "_block", "_bit", "_in", "_at", "_bits")
 
 
 def compact_postings(spark: SparkSession, path: str, target: str) -> None:

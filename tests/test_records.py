@@ -7,7 +7,7 @@ import xml.etree.ElementTree as ET
 import pytest
 from pyspark.sql import functions as F
 
-from recordloom.operators import extract, store
+from recordloom.operators import aggregate, extract, filters, search, store
 from recordloom.sinks import outputs
 from recordloom.sources import harvest, record_cut
 from recordloom.streaming import jobs
@@ -344,6 +344,71 @@ def test_postings_follow_moves_and_deletes(spark, tmp_path):
     assert held(path + "-compact") == {("a", "moved", "s2")}
 
 
+def test_written_postings_hold_search_forms_and_row_marks(spark, tmp_path, capsys):
+    path = str(tmp_path / "postings")
+    schema = "item_id string, index string, pos int, value string, serviceid string"
+    many = [(f"i{n}", "itemType", 0, "Foto" if n % 2 else "Karta", f"s{n % 3}") for n in range(40_000)]
+    words = [("i1", "text", 0, "The RED house", "s1"), ("i2", "text", 1, "", "s2"), ("i3", "ctx_text", 0, "red sea", "s0")]
+    years = [("i1", "create_fromTime", 0, "1850", "s1"), ("i2", "create_fromTime", 0, "bad", "s2"), ("i4", "_lon", 0, "17.5", "s1"), ("i5", "itemType", 0, None, "s2")]
+    plain = spark.createDataFrame(many + words + years, schema)
+    outputs.replace_postings(plain, path)
+    read = outputs.read_postings(spark, path)
+    for index, op, value in (
+        ("itemType", "=", "FOTO"), ("itemType", "<>", "foto"), ("itemType", "=", "kar*"), ("itemType", ">", "foto"), ("itemType", "exact", "Foto"),
+        ("text", "=", "red"), ("text", "exact", "red house"), ("text", "any", "sea house"), ("text", "all", "house the"), ("text", "=", "h?use"),
+        ("ctx_text", "=", "sea"), ("create_fromTime", "<", "1900"), ("_lon", ">=", "17.5"), ("text", "=", ""),
+    ):
+        got, want = (
+            {r.item_id for r in filters.match(table, index, op, value).collect()} for table in (read, plain))
+        assert got == want, (index, op, value)
+    for indexes in (["itemType", "text"], ["ctx_text", "create_fromTime"]):
+        both = [{tuple(r) for r in aggregate.facet(table, None, indexes).collect()} for table in (read, plain)]
+        assert both[0] == both[1]
+    assert search.bm25(read, ["red"], 3).collect() == search.bm25(plain, ["red"], 3).collect()
+
+    # rows of many blocks and files are taken back one by one, without a join by item when they are read
+    changed = spark.createDataFrame([(f"i{n}",) for n in range(0, 40_000, 7)], "uri string")
+    outputs.update_postings(spark.createDataFrame([("i0", "itemType", 0, "new", "s9")], schema), changed, path, 1)
+    left = {r.item_id for r in outputs.read_postings(spark, path).filter("index = 'itemType'").collect()}
+    assert left == {f"i{n}" for n in range(40_000) if n % 7} | {"i0"}
+    found = outputs.read_postings(spark, path)
+    found.filter(filters.condition("itemType", "=", "FOTO", ready=True)).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "EqualTo(term,foto)" in plan
+    assert not any("keys [" in line and ("item_id" in line or "serviceid" in line) for line in plan.splitlines())
+    filters.match(read, "create_fromTime", "<", "1900").explain("formatted")
+    assert "LessThan(number,1900.0)" in capsys.readouterr().out
+    filters.match(read, "text", "=", "red").explain("formatted")
+    assert "regexp_extract_all" not in capsys.readouterr().out
+
+
+def test_versions_repeated_out_of_order_and_unfinished(spark, tmp_path):
+    path = str(tmp_path / "postings")
+    schema = "item_id string, index string, pos int, value string, serviceid string"
+
+    def version(number, value, *items):
+        fresh = spark.createDataFrame([(i, "itemType", 0, value, "s") for i in items], schema)
+        outputs.update_postings(fresh, spark.createDataFrame([(i,) for i in items], "uri string"), path, number)
+
+    def held():
+        return sorted((r.item_id, r.value) for r in outputs.read_postings(spark, path).collect())
+
+    version(0, "zero", "a", "b", "c")
+    version(1, "one", "a", "b")
+    version(2, "two", "b")
+    want = [("a", "one"), ("b", "two"), ("c", "zero")]
+    assert held() == want
+    version(1, "one", "a", "b")  # a repeated run gets new files, and the later version still takes its row back
+    assert held() == want
+    version(0, "zero", "a", "b", "c")
+    assert held() == want
+    rows = spark.createDataFrame([("a", "itemType", 0, "half", "s")], schema)
+    outputs.terms.with_forms(outputs._rows(rows, "p")).write.parquet(f"{path}/version=3")  # a run that failed before its note
+    assert held() == want
+    outputs.replace_postings(rows.limit(0), path, 3)
+    assert held() == want
+
+
 def test_sitemap_documents(spark):
     content = spark.createDataFrame([(f"u{i}", f'"http://x/{i}"', None) for i in range(5)], "uri string, nativeurl string, deleted string").select(
         "uri", "nativeurl", F.col("deleted").cast("timestamp_ntz").alias("deleted"), run_ts().alias("changed"))
