@@ -3,7 +3,11 @@
 Every element of a page is hashed with all below it.  Spark counts, per host, on how many different pages (different in their main text) each
 subtree occurs; subtrees on at least ``LEAST`` pages and ``SHARE`` of the host's pages are its template.  Extraction drops the
 template, then what is no article by its kind (``DROPPED`` elements, ``LABELS`` in class, id or role), and returns the blocks of the
-largest article, else of the main element, else of what is left of the page.
+main element around the largest article, else of all articles, else of the largest main element, else of what is left of the page.
+
+A name in class, id or role counts only if all of its parts are label words or say no more than a place (``site-footer``, ``comment-list``): a
+wrapper that ``has-sidebar`` and a box of ``search-results-analysis`` are text.  If all articles of a page lie in what its kind drops (a form
+around the page), what holds the largest one stays; without articles a form stays if nothing else is left.
 
 A recurring subtree is dropped only if it is a container (not a paragraph, heading, list item or quotation) that is short or mostly links,
 inside an article and outside: a passage that many pages share, or an article that was copied, is text and stays.
@@ -60,6 +64,20 @@ LABELS = frozenset((
     "promo promotion promotions share sharing social related recommended recommendations newsletter subscribe subscription signup login comment "
     "comments disqus respond reply replies complementary contentinfo search masthead toolbar widget widgets skip").split())
 PAGE_HEADERS = frozenset("header topbar siteheader".split())
+# Words that only say where or what shape a box is.
+PLACES = frozenset((
+    "site page main global primary secondary top bottom left right center inner outer fixed sticky floating mobile desktop container wrapper wrap "
+    "box block bar area section panel group row col column column1 column2 list item items link links slot unit post posts entry article articles "
+    "user reader content text title body message form icons buttons button js").split())
+_KNOWN = LABELS | PAGE_HEADERS | PLACES
+
+
+def _words(value: str) -> Iterator[str]:
+    """Parts of the names that are made of known words, place words and numbers alone."""
+    for name in value.lower().strip("\"'").split():
+        parts = _LABEL.findall(name)
+        if all(part in _KNOWN or part.isdigit() for part in parts):
+            yield from parts
 
 
 class Page:
@@ -111,7 +129,7 @@ class Page:
             self._implied(CLOSED_BY[name].split())
         labels = frozenset()
         if "=" in attributes:
-            labels = frozenset(x for _, v in _NAMED.findall(attributes) for x in _LABEL.findall(v.lower()))
+            labels = frozenset(x for _, v in _NAMED.findall(attributes) for x in _words(v))
         number = len(self.tags)
         self.tags.append(name), self.labels.append(labels), self.parents.append(self.open[-1])
         self.pieces.append([]), self.hashes.append(0), self.letters.append(0), self.linked.append(0)
@@ -170,24 +188,57 @@ class Page:
         size = self.letters[number]
         return tag not in PROSE and (size <= SHORT or self.linked[number] > LINKS * size)
 
-    def blocks(self, template=frozenset()) -> list[str]:
-        """The blocks of the main text."""
+    def _drop(self, template, protected=frozenset()) -> list[bool]:
+        """Whether each element is no main text, by itself or by one around it."""
         dropped = [False] * len(self.tags)
         inside = [False] * len(self.tags)
         for number in range(1, len(self.tags)):
             parent = self.parents[number]
             dropped[number] = dropped[parent]
             inside[number] = inside[parent] or self.tags[number] in ("article", "main")
-            if not dropped[number]:
+            if not dropped[number] and number not in protected:
                 dropped[number] = self._by_kind(number, inside[parent]) or (
                     bool(template) and self._by_template(number, template))
-        root = 0
-        for kind in ("article", "main"):
-            found = [n for n in range(len(self.tags)) if not dropped[n] and (self.tags[n] == kind or kind == "main" and "main" in self.labels[n])]
-            if found:
-                root = max(found, key=lambda n: (self.letters[n], -n))
-                break
-        out, now, on, header = [], [], root == 0, 0
+        return dropped
+
+    def _around(self, number: int) -> list[int]:
+        """The elements around an element, itself first."""
+        found = []
+        while number > 0:
+            found.append(number)
+            number = self.parents[number]
+        return found
+
+    def _largest(self, numbers: list[int]) -> int:
+        return max(numbers, key=lambda n: (self.letters[n], -n))
+
+    def _regions(self, template) -> tuple[list[bool], set[int]]:
+        """What is dropped, and the elements whose text is the main text; 0 is the page."""
+        dropped = self._drop(template)
+        articles = [n for n, tag in enumerate(self.tags) if tag in ("article", "main") and not self._by_kind(n, True) and self.letters[n]]
+        if articles and all(dropped[n] for n in articles):
+            dropped = self._drop(template, frozenset(self._around(self._largest(articles))[1:]))
+        elif not articles:
+            forms = [n for n, tag in enumerate(self.tags) if tag == "form" and self.letters[n]]
+            if forms and not self._has_text(dropped):
+                dropped = self._drop(template, frozenset(self._around(self._largest(forms))))
+        kept = [n for n in articles if not dropped[n] and self.tags[n] == "article"]
+        if kept:
+            mains = [n for n in self._around(self._largest(kept)) if self.tags[n] == "main"]
+            return dropped, {mains[-1]} if mains else {n for n in kept if not any(self.tags[o] == "article" for o in self._around(n)[1:])}
+        mains = [n for n in range(1, len(self.tags)) if not dropped[n] and (self.tags[n] == "main" or "main" in self.labels[n])]
+        return dropped, {self._largest(mains)} if mains else {0}
+
+    def _has_text(self, dropped: list[bool]) -> bool:
+        own = list(self.letters)
+        for number in range(1, len(self.tags)):
+            own[self.parents[number]] -= self.letters[number]
+        return any(size and not gone for size, gone in zip(own, dropped))
+
+    def blocks(self, template=frozenset()) -> list[str]:
+        """The blocks of the main text."""
+        dropped, roots = self._regions(template)
+        out, now, on, header = [], [], 0 in roots, 0
 
         def cut() -> None:
             text = " ".join("".join(now).split())
@@ -205,10 +256,10 @@ class Page:
                     cut()
                 continue
             number = event if event >= 0 else ~event
-            if number == root:
-                on = event >= 0 or root == 0
+            if number in roots:
+                on = event >= 0 or number == 0
             tag = self.tags[number]
-            if tag in BLOCKS and (on or number == root):
+            if tag in BLOCKS and (on or number in roots):
                 cut()
             elif on and tag in ("td", "th"):
                 now.append(" ")

@@ -373,6 +373,24 @@ def test_blocks_by_kind():
     assert site_templates.Page("plain &lt;b").blocks() == ["plain <b"] and site_templates.Page("<p>a<p").blocks() == ["a"]
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ('<body><div class="page has-sidebar"><article><p>one</p></article><div class="sidebar">no</div></div>', ["one"]),
+    ('<div class="single no-comments"><p>one</p></div>', ["one"]),
+    ('<form id="all"><div class="nav">no</div><article><p>one</p><form>no</form></article></form>', ["one"]),
+    ('<nav>no</nav><form><p>one</p><p>two <button>no</button></p></form><footer>no</footer>', ["one", "two"]),
+    ('<article><div class="search-results-analysis">one</div><p class="alert-fires">two</p><div class="ad-slot-3">no</div></article>', ["one", "two"]),
+    ('<article><p>one</p></article><div>no</div><article><p>two, longer</p></article><aside><article>no</article></aside>', ["one", "two, longer"]),
+    ('<p>no</p><main><h1>title</h1><p>lead</p><article>tiny</article></main>', ["title", "lead", "tiny"]),
+    ('<article><p>one</p><article><p>in it</p></article>end</article><div class="post-comments"><article>a long comment of a reader</article></div>',
+     ["one", "in it", "end"]),
+    ('<div class="comments"><article class="comment">no</article></div><p>one</p>', ["one"]),
+    ('<div id="site-footer">no</div><div class="comment-list">no</div><p>one</p>', ["one"]),
+    ('<nav>no</nav><form><input></form><footer>no</footer>', []), ('', []),
+])
+def test_wrappers_articles_and_whole_names(page, want):
+    assert site_templates.Page(page).blocks() == want
+
+
 # ---- leaks and mixing --------------------------------------------------------------------
 
 def test_parameterised_questions(spark):
