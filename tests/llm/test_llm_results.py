@@ -333,6 +333,23 @@ def test_recall_in_a_tight_cluster(noise):
 
 # ---- pages -------------------------------------------------------------------------------
 
+def test_passages_of_texts_that_share_an_id(spark):
+    """One side of every pair repeats its doc_id with an unrelated text, before or after the true one; long texts among them."""
+    rng = random.Random(11)
+    rows = []
+    for n in range(100):
+        shared = invented(rng, 60)
+        rows.append((2 * n, " ".join(invented(rng, 30) + shared + invented(rng, 30))))
+        other = [(2 * n + 1, " ".join(invented(rng, 20) + shared + invented(rng, 20))), (2 * n + 1, " ".join(invented(rng, 2000 if n < 3 else 100)))]
+        rows += other if n % 2 else other[::-1]
+    rows += rows[:7]  # repeated rows
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = {(r.doc_id, r.other_id) for r in compact_windows.repeated_passages(docs).collect()}
+    assert got == {pair for n in range(100) for pair in ((2 * n, 2 * n + 1), (2 * n + 1, 2 * n))}
+    with pytest.raises(ValueError):
+        compact_windows.repeated_passages(docs, hashes=5)
+
+
 def test_site_templates(spark):
     pages = []
     for i in range(40):
