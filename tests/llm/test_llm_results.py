@@ -413,12 +413,37 @@ def test_wrappers_articles_and_whole_names(page, want):
 def test_parameterised_questions(spark):
     docs = spark.createDataFrame([
         (1, "Well. A train leaves Paris at 30 km per hour and John meets 12 friends after 30 minutes there"),
-        (2, "A train leaves Paris at 30 km per hour and John meets 12 friends after 31 minutes there"),  # one value stands for two
+        (2, "A train leaves Paris at 30 km per hour and John meets 12 friends after 31 minutes there"),  # 20 km and 20 minutes are two slots
         (3, "A TRAIN LEAVES AT ONCE"), (4, "a train leaves late and nobody meets friends after hours there")], "doc_id bigint, text string")
     items = spark.createDataFrame(
         [(7, "A train leaves Oslo at 20 km per hour and Mia meets 9 friends after 20 minutes there")], "item_id bigint, text string")
     got = template_leaks.leaks(docs, items).collect()
-    assert [(r.doc_id, r.item_id, r.coverage) for r in got] == [(1, 7, 1.0)]
+    assert sorted((r.doc_id, r.item_id, r.coverage) for r in got) == [(1, 7, 1.0), (2, 7, 1.0)]
+
+
+def test_one_value_stands_for_one(spark):
+    """A number without unit that became two numbers costs the windows that hold it; the others count."""
+    docs = spark.createDataFrame([(1, "we add 5 to them and then we take 6 from the rest")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, "we add 3 to them and then we take 3 from the rest")], "item_id bigint, text string")
+    assert [(r.n_windows, r.n_matched) for r in template_leaks.leaks(docs, items, coverage=0.1).collect()] == [(9, 2)]
+    docs = docs.unionByName(spark.createDataFrame([(2, "we add 9 to them and then we take 9 from the rest")], docs.schema))
+    assert [(r.doc_id, r.coverage) for r in template_leaks.leaks(docs, items, coverage=0.5).collect()] == [(2, 1.0)]
+
+
+@pytest.mark.parametrize(("item", "text", "leaks"), [
+    ("Anna Smith walks home. Carla sees her there and Anna Smith waves back to Carla twice",
+     "Mary Jane Watson walks home. Zoe sees her there and Mary Jane Watson waves back to Zoe twice", True),
+    ("Tom Riddle asks who was there before", "so: \"Peter Pan asks who was there before\"", True),
+    ("why grass is green", "he asked Why Grass is green", False),  # a short item is met word for word
+    ("why grass is green", "he asked why grass is green, twice", True),
+    ("it costs 3 dollars", "it costs 4 dollars", False),
+    ("it costs 3 dollars", "now it costs 3 dollars", True),
+    ("Oslo Bergen", "Oslo Bergen", False),  # one name says too little
+])
+def test_names_and_short_items(spark, item, text, leaks):
+    docs = spark.createDataFrame([(1, text), (2, "nothing of it"), (3, None), (4, "")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    assert [r.doc_id for r in template_leaks.leaks(docs, items).collect()] == ([1] if leaks else [])
 
 
 def test_one_edited_slot_costs_its_windows_only(spark):
