@@ -161,6 +161,12 @@ def term_product(
     return _product(lists, total)
 
 
+def _frequent(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """The rows whose keys are at least so frequent among them."""
+    often = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least).select(*keys)
+    return rows.join(written(often), keys, "left_semi")
+
+
 def statistic(
     postings: DataFrame,
     specs: Mapping[str, str | None],
@@ -171,21 +177,29 @@ def statistic(
     """Items per combination of values; with ``remove_below`` 0 empty combinations are listed.
 
     One shuffle by item gathers the item's values per index (at most one term list each), and the
-    combinations are exploded from there.  ``items`` restricts the counts, not the term lists.  ``cap`` bounds the listing of
-    empty combinations, nothing else.
+    combinations are exploded from there.  With ``remove_below`` above 1, terms and the first two, three … values of a combination that
+    are too rare themselves are dropped before the next index is exploded: what is made of an item follows what is frequent, not the
+    product of its values.  ``items`` restricts the counts, not the term lists.  ``cap`` bounds the listing of empty combinations,
+    nothing else.
     """
     columns = [f"v{place}" for place in range(1, len(specs) + 1)]
     rows = terms_of(postings, list(specs)).filter(_wanted(list(specs.items())))
     if items is not None:
         rows = rows.join(items.select("item_id"), "item_id", "left_semi")
+    if remove_below > 1:
+        rows = _frequent(written(rows.select("item_id", "index", "value")), ["index", "value"], remove_below)
     gathered = rows.groupBy("item_id").agg(
         *[
             F.collect_list(F.when(F.col("index") == index, F.col("value"))).alias(column)
             for index, column in zip(specs, columns)
         ]
     )
-    for column in columns:
+    if remove_below > 1 and len(columns) > 2:
+        gathered = written(gathered)
+    for place, column in enumerate(columns, start=1):
         gathered = gathered.withColumn(column, F.explode(column))
+        if remove_below > 1 and 1 < place < len(columns):
+            gathered = _frequent(gathered, columns[:place], remove_below)
     counts = gathered.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
     if remove_below > 0:  # a combination is never more frequent than its terms: no list is needed
         return counts.filter(F.col("n") >= remove_below)

@@ -142,6 +142,19 @@ def test_statistic(postings, plain):
         aggregate.statistic(postings, specs, cap=3)
 
 
+def test_statistic_of_an_item_with_many_values(spark):
+    """3,000 values in each of three indexes are 27 billion combinations; only what other items share is made."""
+    names = ["itemType", "itemMaterial", "itemKeyWord"]
+    shared = [(i, x, f"v{k}") for i in ("wide", "a", "b") for x in names for k in range(2 + (i == "b"))]
+    lone = spark.range(5, 3005).selectExpr("'wide' AS item_id", f"explode(array{tuple(names)}) AS index", "concat('v', id) AS value")
+    few = spark.createDataFrame(shared, "item_id string, index string, value string")
+    rare = spark.createDataFrame([("a", "itemType", "x"), ("b", "itemMaterial", "y")], few.schema)
+    postings_ = few.unionByName(rare).unionByName(lone).withColumn("pos", F.lit(0))
+    got = set(rows(aggregate.statistic(postings_, dict.fromkeys(names), remove_below=2)))
+    assert got == {(f"v{a}", f"v{b}", f"v{c}", 3) for a, b, c in product(range(2), repeat=3)}
+    assert set(rows(aggregate.statistic(postings_, dict.fromkeys(names), remove_below=4))) == set()
+
+
 def test_terms_and_suggestions(postings, plain):
     counts = Counter((x, v.lower()) for i, x, v in {(i, x, v.lower()) for i, x, _, v in plain if x == "itemMaterial"})
     want = sorted(((x, v, n) for (x, v), n in counts.items()), key=lambda r: (-r[2], r[1]))
