@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.session import written
+
 TEXT, COMMENT, CDATA, INSTRUCTION, DOUBLE, SINGLE = range(6)  # the last two: in the quotes of a record's own start tag
 STATES = 6
 UNFINISHED = ("record without an end", "comment without an end", "CDATA section without an end", "instruction without an end",
@@ -24,6 +26,7 @@ _START = re.compile(r"<!--|<!\[CDATA\[|<\?|<(/?)(?:[\w.-]+:)?record(?=[\s/>])")
 _END = {COMMENT: "-->", CDATA: "]]>", INSTRUCTION: "?>"}
 _KIND = {"<!--": COMMENT, "<![CDATA[": CDATA, "<?": INSTRUCTION}
 _BARE = re.compile(r"""[^>"']*""")
+_SENT = 4_000_000  # letters of finished records that are sent on at once
 
 
 def _tag(text: str, at: int, quote: str | None) -> tuple[int, str | None]:
@@ -124,7 +127,7 @@ def _entries(blocks: pa.Table) -> pa.Table:
     file, state, depth, start = blocks.column("file")[0].as_py(), TEXT, 0, None
     rows = []
     for block, exits, nets, lows in order:
-        row = [file, block, state, depth, start]
+        row = [file, block, state, depth, start, not rows]
         if depth + lows[state] <= 0:
             start = None
         # ends beyond the first level are not records: the depth does not fall below zero
@@ -135,42 +138,90 @@ def _entries(blocks: pa.Table) -> pa.Table:
         rows.append([*row, None])
     if state != TEXT or depth:
         rows[-1][-1] = UNFINISHED[state]
-    kinds = [pa.string(), *[pa.int64()] * 4, pa.string()]
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["file", "block", "state", "depth", "start", "last"])
+    kinds = [pa.string(), *[pa.int64()] * 4, pa.bool_(), pa.string()]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["file", "block", "state", "depth", "start", "first", "last"])
 
 
-def _cutter(cut: str):
-    """Records of a block, the parts of records that cross its edges, and what stands before the first record of a file."""
-    def run(pieces: pa.Table) -> pa.Table:
-        first = pieces.slice(0, 1).to_pylist()[0]
-        order = sorted(zip(pieces.column("place").to_pylist(), pieces.column("value").to_pylist()))
-        text = cut.join([value for _, value in order]) + cut
-        found, _ = marks(text, first["state"])
-        depth, begin, start = first["depth"], 0 if first["depth"] else None, first["start"]
-        rows = []
-        if first["first"]:
-            opened = next((at for at, step in found if step > 0), len(text))
-            rows.append(("head", None, 0, text[:opened]))
+class _Block:
+    """One block, cut piece by piece: only the text of the open record is held."""
+
+    def __init__(self, state: int, depth: int, start: int | None, first: bool, block: int):
+        self.state, self.depth, self.start, self.block = state, depth, start, block
+        self.held: list[str] = []  # text of the open record, or of what stands before the first one
+        self.begin = 0 if depth or first else None
+        self.head = first
+        self.offset = 0
+
+    def read(self, text: str) -> list[tuple]:
+        found, self.state = marks(text, self.state)
+        rows, at_open = [], 0
         for at, step in found:
             if step > 0:
-                if depth == 0:
-                    begin, start = at, None
-                depth += 1
-            elif depth:
-                depth -= 1
-                if depth == 0:
-                    rows.append(("record", None, begin, text[begin:at]) if start is None else ("end", start, begin, text[begin:at]))
-                    begin = None
-        if depth:
-            rows.append(("part", first["block"] if start is None else start, begin, text[begin:]))
-        kinds, starts, places, texts = zip(*rows) if rows else ((),) * 4
-        n = len(rows)
-        return pa.table({
-            "file": pa.array([first["file"]] * n, pa.string()), "modified": pieces.column("modified").take(pa.array([0] * n, pa.int64())),
-            "block": pa.array([first["block"]] * n, pa.int64()), "kind": pa.array(kinds, pa.string()), "start": pa.array(starts, pa.int64()),
-            "place": pa.array(places, pa.int64()), "text": pa.array(texts, pa.string()),
-            "last": pa.array([first["last"]] * n, pa.string()),
-        })
+                if self.head:
+                    self.held.append(text[:at])
+                    rows.append(("head", None, 0, "".join(self.held)))
+                    self.held, self.head, self.begin = [], False, None
+                if self.depth == 0:
+                    self.begin, self.start, at_open = self.offset + at, None, at
+                self.depth += 1
+            elif self.depth:
+                self.depth -= 1
+                if self.depth == 0:
+                    whole = "".join(self.held) + text[at_open:at]
+                    rows.append(("record" if self.start is None else "end", self.start, self.begin, whole))
+                    self.held, self.begin = [], None
+        if self.depth or self.head:
+            self.held.append(text[at_open:])
+        self.offset += len(text)
+        return rows
+
+    def close(self) -> list[tuple]:
+        if self.head:
+            return [("head", None, 0, "".join(self.held))]
+        if self.depth:
+            return [("part", self.block if self.start is None else self.start, self.begin, "".join(self.held))]
+        return []
+
+
+def _cutter(cut: str):
+    """Records of a block, the parts of records that cross its edges, and what stands before the first record of a file.
+
+    The pieces of a block come in their order, as they are read.
+    """
+    def rows_of(found: list[tuple], where: tuple) -> pa.RecordBatch:
+        kinds, starts, places, texts = zip(*found)
+        file, modified, block, last = where
+        n = len(found)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([file] * n, pa.string()), pa.repeat(modified, n), pa.array([block] * n, pa.int64()), pa.array(kinds, pa.string()),
+             pa.array(starts, pa.int64()), pa.array(places, pa.int64()), pa.array(texts, pa.string()), pa.array([last] * n, pa.string())],
+            ["file", "modified", "block", "kind", "start", "place", "text", "last"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, where, here = None, None, None
+        found, size = [], 0
+        for batch in batches:
+            for i, (value, file, block) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("value", "file", "block")))):
+                if (file, block) != key:
+                    if key is not None:
+                        found += here.close()
+                    if found:
+                        yield rows_of(found, where)
+                        found, size = [], 0
+                    state, depth, start, first, last = (
+                        batch.column(c)[i].as_py() for c in ("state", "depth", "start", "first", "last"))
+                    key, where = (file, block), (file, batch.column("modified")[i], block, last)
+                    here = _Block(state, depth, start, first, block)
+                more = here.read(value + cut)
+                found += more
+                size += sum(len(row[3]) for row in more)
+                if size > _SENT:
+                    yield rows_of(found, where)
+                    found, size = [], 0
+        if key is not None:
+            found += here.close()
+        if found:
+            yield rows_of(found, where)
     return run
 
 
@@ -178,17 +229,19 @@ def cut_records(pieces: DataFrame, cut: str) -> tuple[DataFrame, DataFrame]:
     """Records (file, modified, block, place, text, unfinished) and what stands before them (file, text).
 
     ``pieces`` (value, file, modified, block) are the parts of files between the letters ``cut``, in the order of each block.  ``unfinished`` is null, or says
-    why a file's last record has no end; other files are cut as if it were not there.  A task holds one block; a record that crosses
+    why a file's last record has no end; other files are cut as if it were not there.  Texts are never shuffled: each block is read twice where it lies,
+    piece by piece, the second time with its entry (one row per block) beside each piece; a task holds the record that is open.  A record that crosses
     blocks is put together from its parts.
     """
     kind = "file string, block bigint, exit array<bigint>, net array<bigint>, low array<bigint>"
     blocks = pieces.select("value", "file", "block").mapInArrow(_summaries(cut), kind)
-    entries = blocks.groupBy("file").applyInArrow(_entries, "file string, block bigint, state bigint, depth bigint, start bigint, last string")
-    least = entries.groupBy("file").agg(F.min("block").alias("least"))
-    entries = entries.join(least, "file").withColumn("first", F.col("block") == F.col("least")).drop("least")
-    placed = pieces.select("value", "file", "modified", "block", F.monotonically_increasing_id().alias("place"))
+    entries = written(blocks.groupBy("file").applyInArrow(
+        _entries, "file string, block bigint, state bigint, depth bigint, start bigint, first boolean, last string"))
+    # a broadcast join keeps the pieces of a block in their order; parts are read three times below
+    given = pieces.select("value", "file", "modified", "block")
+    placed = given.join(F.broadcast(entries), ["file", "block"])
     kind = f"file string, modified {dict(pieces.dtypes)['modified']}, block bigint, kind string, start bigint, place bigint, text string, last string"
-    parts = placed.join(entries, ["file", "block"]).groupBy("file", "block").applyInArrow(_cutter(cut), kind)
+    parts = written(placed.mapInArrow(_cutter(cut), kind))
 
     whole = parts.filter("kind = 'record'").select("file", "modified", "block", "place", "text", F.lit(None).cast("string").alias("unfinished"))
     crossing = parts.filter("kind in ('part', 'end')").groupBy("file", "modified", "start").agg(

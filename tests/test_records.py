@@ -4,6 +4,7 @@ import base64
 import os
 import xml.etree.ElementTree as ET
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -605,3 +606,25 @@ def test_no_record_is_lost(spark, tmp_path, split_bytes):
     payloads = {r.oaiuri: r.payload_xml for r in good}
     assert payloads["a4"] == "<v><![CDATA[</record></metadata><record>]]></v>" and payloads["a1"] == "<v>1</v>"
     assert payloads["a6"] == "<v><record>in<record/></record></v>" and payloads["c7"].count("long") == 400
+
+
+def test_blocks_are_cut_piece_by_piece():
+    """Records leave a block before its end is read, and only the open one is held."""
+    pieces = ["<x><record>" + "a" * 5_000_000 + "</", "<record>b</", "<record>c"]
+    read = []
+
+    def batches():
+        for piece in pieces:
+            read.append(piece)
+            yield pa.RecordBatch.from_pylist([{
+                "value": piece, "file": "f", "block": 0, "modified": 1, "state": record_cut.TEXT, "depth": 0, "start": None, "first": True,
+                "last": None}], schema=pa.schema([
+                    ("value", pa.string()), ("file", pa.string()), ("block", pa.int64()), ("modified", pa.int64()), ("state", pa.int64()),
+                    ("depth", pa.int64()), ("start", pa.int64()), ("first", pa.bool_()), ("last", pa.string())]))
+
+    found = record_cut._cutter("record>")(batches())
+    rows = next(found).to_pylist()
+    assert len(read) == 1 and [r["kind"] for r in rows] == ["head", "record"] and rows[0]["text"] == "<x>"
+    rest = [r for batch in found for r in batch.to_pylist()]
+    assert [(r["kind"], r["text"]) for r in rest] == [("record", "<record>b</record>"), ("part", "<record>crecord>")]
+    assert rest[0]["place"] == len(pieces[0]) + len("record>")
