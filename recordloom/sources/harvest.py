@@ -5,7 +5,7 @@ from __future__ import annotations
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -208,21 +208,23 @@ def record_triples(harvest: DataFrame, names: Names = Names()) -> tuple[DataFram
     entity = names.full("Entity")
     version, gate = names.full(names.version_property), names.full("itemForIndexing")
     columns = ["oaiuri", "reason", *[field.strip().split(" ")[0] for field in TRIPLE.split(",")]]
+    kinds = [{"pos": pa.int32(), "barred": pa.bool_()}.get(name, pa.string()) for name in columns]
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, len(batch), 500):
-                part, rows = batch.iloc[start:start + 500], []
-                for oaiuri, payload in zip(part["oaiuri"], part["payload_xml"]):
+            for start in range(0, batch.num_rows, 500):
+                part, rows = batch.slice(start, 500), []
+                for oaiuri, payload in zip(part.column("oaiuri").to_pylist(), part.column("payload_xml").to_pylist()):
                     triples, reason = _flatten(payload, entity, version, gate)
                     if reason:
                         rows.append((oaiuri, reason) + (None,) * (len(columns) - 2))
                     rows += [(oaiuri, None, *triple) for triple in triples]
-                yield pd.DataFrame(rows, columns=columns).astype({"pos": "Int32", "barred": "boolean"})
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in zip(zip(*rows), kinds)], columns)
 
     payloads = harvest.filter(~F.col("is_deleted")).select("oaiuri", "payload_xml")
     # parsed once, for both results
-    parsed = written(payloads.mapInPandas(parse, f"oaiuri string, reason string, {TRIPLE}"))
+    parsed = written(payloads.mapInArrow(parse, f"oaiuri string, reason string, {TRIPLE}"))
     triples = parsed.filter(F.col("reason").isNull()).drop("oaiuri", "reason")
     return triples, parsed.filter(F.col("reason").isNotNull()).select("oaiuri", "reason")
 

@@ -628,3 +628,29 @@ def test_blocks_are_cut_piece_by_piece():
     rest = [r for batch in found for r in batch.to_pylist()]
     assert [(r["kind"], r["text"]) for r in rest] == [("record", "<record>b</record>"), ("part", "<record>crecord>")]
     assert rest[0]["place"] == len(pieces[0]) + len("record>")
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lookups_move_no_values(spark):
+    vocab = spark.createDataFrame([("1.0", "u#a", "A")], "version string, uri string, label string")
+    values = spark.createDataFrame(
+        [("u#a", "uri", True, 0), (None, "uri", True, 0), ("u#a", "literal", True, 0), ("u#a", "uri", True, 1)],
+        "value string, object_kind string, lookup boolean, rules int").repartition(4)
+    looked = extract.lookup_uri(values, vocab, Names())
+    assert "SortMergeJoin" not in _plan(looked) and "BroadcastHashJoin" in _plan(looked)
+    assert sorted((r.value or "", r.rules) for r in looked.collect()) == [("", 0), ("A", 0), ("u#a", 0), ("u#a", 1)]
+
+
+def test_barred_records_are_joined_not_gathered(spark):
+    names = Names()
+    gate = names.full("itemForIndexing")
+    rows = [("a", "", gate, " n "), ("a", "", "p", "x"), ("b", "", gate, "y"), ("b", "", "p", "x"), (None, "", "p", "x"), ("c", "v", gate, "n")]
+    triples = spark.createDataFrame(rows, "item_id string, via string, predicate string, object string")
+    left = extract.indexable(triples, names)
+    assert "Window" not in _plan(left) and left.columns == triples.columns
+    assert sorted(r.item_id or "" for r in left.collect()) == ["", "b", "b", "c"]
+    unknown = spark.createDataFrame([(None, "", gate, "n"), (None, "", "p", "x"), ("d", "", "p", "x")], triples.schema)
+    assert [r.item_id for r in extract.indexable(unknown, names).collect()] == ["d"]
