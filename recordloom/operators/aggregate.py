@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 
 from recordloom.catalog import ANALYZED, COUNTED_INDEXES, LOWER, index_exists, index_type, normalise
 from recordloom.operators import terms as search_forms
-from recordloom.operators.shuffle import top_per_group
+from recordloom.operators.shuffle import parts_for, top_per_group
 from recordloom.session import written
 
 # Largest product of term lists that is listed whole, and suggestions when no number is given.
 MAX_COMBINATIONS = 20_000
 DEFAULT_SUGGESTIONS = 3
 
+# Rows of postings that one task of a join by item sorts.
+JOIN_ROWS = 500_000
+
 
 def _check(indexes: Sequence[str]) -> None:
     unknown = [name for name in indexes if not index_exists(name)]
@@ -73,11 +76,17 @@ def unique_values(
     indexes: Sequence[str] = tuple(COUNTED_INDEXES),
     approx: bool = False,
 ) -> DataFrame:
-    """Number of distinct values per index among matching items; indexes without values are left out."""
+    """Number of distinct values per index among matching items; indexes without values are left out.
+
+    Both sides of the join are dealt by item in partitions of about ``JOIN_ROWS`` rows and merged, so neither what a task sorts nor a broadcast grows
+    with the table.
+    """
     _check(indexes)
     rows = postings.filter(F.col("index").isin(list(indexes)))
     if items is not None:
-        rows = rows.join(items.select("item_id"), "item_id", "left_semi")
+        parts = parts_for(rows, JOIN_ROWS)
+        wanted = items.select("item_id").repartition(parts, "item_id").hint("merge")
+        rows = rows.repartition(parts, "item_id").join(wanted, "item_id", "left_semi")
     values = _stored_values(rows, indexes).select("index", "value")
     counter = F.approx_count_distinct if approx else F.count_distinct
     return values.groupBy("index").agg(counter("value").alias("n"))

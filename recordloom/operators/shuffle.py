@@ -73,6 +73,11 @@ def top_per_group(
     )
 
 
+def parts_for(rows: DataFrame, each: int) -> int:
+    """Partitions of at most about ``each`` rows, so that what a task holds does not grow with the table; the session's number at least."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // each))
+
+
 def page(df: DataFrame, order: Sequence[Column], start: int, size: int, name: str = "rank") -> DataFrame:
     """Rows ``start`` .. ``start + size - 1`` of any total order, all of which is numbered; ``selected_page`` sorts less."""
     return global_rank(df, order, name).filter(F.col(name).between(start, start + size - 1))

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordloom.operators.shuffle import parts_for
 from recordloom.session import checkpoint_folder
 from recordloom.vocabulary import Names
 
@@ -45,9 +46,7 @@ def work_folder(spark: SparkSession, name: str) -> str:
 
 def spread(rows: DataFrame, key: str, each: int = 128_000) -> DataFrame:
     """Rows dealt by a key, in as many partitions as the table's size asks for, so that what a task holds does not grow with the table."""
-    spark = rows.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // each))
-    return rows.repartition(parts, key)
+    return rows.repartition(parts_for(rows, each), key)
 
 
 def with_ctes(body: str, *ctes: str) -> str:
