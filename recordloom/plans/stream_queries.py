@@ -12,6 +12,7 @@ from recordloom.plans.bindings import (
     stamp, text, with_ctes, work_folder,
 )
 from recordloom.plans.registry import query
+from recordloom.session import written
 from recordloom.sinks import outputs
 from recordloom.streaming import jobs
 
@@ -83,18 +84,33 @@ def _policies(spark: SparkSession, folder: str) -> DataFrame:
     return services.unionByName(zero).distinct().withColumn("deleted_policy", policy)
 
 
-def _harvest_in_batches(spark: SparkSession, folder: str, work: str, *more: jobs.BatchHandler, batches: int = 4) -> None:
-    """All events as one run whose batches come one after the other, in the order of the events."""
+# Events per file of a batch.
+_FILE_EVENTS = 250_000
+
+
+def _harvest_in_batches(
+    spark: SparkSession, folder: str, work: str, *more: jobs.BatchHandler, batches: int = 4, old: DataFrame | None = None
+) -> None:
+    """All events as one run whose batches come one after the other, in the order of the events; ``old`` is the content before it.
+
+    All batches have the same number of files, each written by a task of its own, so the stream takes a whole batch at a time.
+    """
     events = spark.read.parquet(f"{folder}/events.parquet")
     least, most = events.agg(F.min("event_id"), F.max("event_id")).first()
-    for k in range(batches):
-        step = F.col("event_id") - (least or 0)
-        part = F.least(F.floor(step * batches / F.lit(max(1, (most or 0) - (least or 0) + 1))), F.lit(batches - 1))
-        events.filter(part == k).coalesce(1).write.mode("append").parquet(f"{work}/spool")
-    jobs.write_version(old_content(spark, folder), f"{work}/store", 0)
+    least, span = least or 0, max(1, (most or 0) - (least or 0) + 1)
+    bounds = [least - (-k * span // batches) for k in range(batches)]
+    upper = [*(F.col("event_id") < b for b in bounds[1:]), F.lit(True)]
+    parts = [(F.col("event_id") >= low) & high for low, high in zip(bounds, upper)]
+    counts = events.agg(*[F.count_if(part).alias(f"n{k}") for k, part in enumerate(parts)]).first()
+    # rows are dealt in turn: with so many for each file none stays empty, and a batch without its number of files would take some of the next
+    files = max(1, min(counts) // _FILE_EVENTS)
+    for part in parts:
+        rows = events.filter(part)
+        (rows.coalesce(1) if files == 1 else rows.repartition(files)).write.mode("append").parquet(f"{work}/spool")
+    jobs.write_version(old_content(spark, folder) if old is None else old, f"{work}/store", 0)
     handler = jobs.upsert_batch(f"{work}/store", _split, lambda: moment(RUN_TS), services=_policies(spark, folder))
     for _ in range(2):  # the second start finds nothing and ends nothing
-        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/spool")
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(f"{work}/spool")
         jobs.table_stream(stream, f"{work}/state", [handler, *more]).awaitTermination()
 
 
@@ -112,8 +128,9 @@ def source_policies(spark, folder):
 def synced_index(spark, folder):
     """Postings after the same run: its end takes back those of the rows that it deletes."""
     work = work_folder(spark, "synced")
-    outputs.replace_postings(_flatten(store.live_rows(old_content(spark, folder))), f"{work}/postings")
-    _harvest_in_batches(spark, folder, work, jobs.index_batch(f"{work}/store", f"{work}/postings", _flatten))
+    old = written(old_content(spark, folder))
+    outputs.replace_postings(_flatten(store.live_rows(old)), f"{work}/postings")
+    _harvest_in_batches(spark, folder, work, jobs.index_batch(f"{work}/store", f"{work}/postings", _flatten), old=old)
     return outputs.read_postings(spark, f"{work}/postings").select("item_id", "serviceid", "index", "value")
 
 

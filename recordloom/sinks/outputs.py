@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,13 +55,15 @@ def _note_taken(spark: SparkSession, path: str, version: int) -> None:
     rows = _located(spark, path)
     postings = rows.filter((F.col("kind") == "p") & (F.col("version") >= 0))
     marks = rows.filter((F.col("kind") != "p") & (F.col("version") >= version))
-    parts = []
+    parts = [postings.filter(F.lit(False)).select("_file", "_block", "_bit")]
     for kind, key in (("c", "item_id"), ("s", "serviceid")):
         by = marks.filter(F.col("kind") == kind).select(F.col(key).alias("_key"), F.col("version").alias("_by")).distinct()
+        if by.isEmpty():  # few versions have marks of both kinds, and rows sorted by kind tell without being read
+            continue
         met = (F.col(key) == F.col("_key")) & (F.col("version") < F.col("_by")) & (
             (F.col("_by") == version) | (F.col("version") == version))
         parts.append(postings.join(by, met, "left_semi").select("_file", "_block", "_bit"))
-    bits = parts[0].unionByName(parts[1]).groupBy(F.col("_file").alias("file"), F.col("_block").alias("block")).agg(
+    bits = reduce(DataFrame.unionByName, parts).groupBy(F.col("_file").alias("file"), F.col("_block").alias("block")).agg(
         F.bitmap_construct_agg("_bit").alias("bits"))
     done = spark.range(1).select(
         F.lit(None).cast("string").alias("file"), F.lit(None).cast("bigint").alias("block"), F.lit(None).cast("binary").alias("bits"))
