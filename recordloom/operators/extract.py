@@ -37,7 +37,8 @@ def _rule_place(version: Column) -> Column:
     """Place of a version's rule set; the usual spellings need no parsing."""
     parsed = F.array_position(F.array(*[F.lit(name) for name in RULE_SETS]), scalars.rule_set(version))
     place = F.when(parsed > 0, (parsed - 1).cast("int"))
-    usual = F.when(version == RULE_SETS[0], 0)
+    # parsing goes through arrays, which no generated code does; all below 1.0 follow its rules
+    usual = F.when((version == RULE_SETS[0]) | (version.startswith("0.") & version.rlike(r"^0(\.\d+)+\.*$")), 0)
     for number, name in enumerate(RULE_SETS[1:], start=1):
         usual = usual.when(version == name, number)
     return usual.otherwise(place)

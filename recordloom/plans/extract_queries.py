@@ -25,7 +25,13 @@ def _version(key: str) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in _VERSIONS]), (F.col(key) % 7 + 1).cast("int"))
 
 
-def item_triples(spark, folder, gates: DataFrame | None = None, dealt: bool = False) -> DataFrame:
+def _ruled(rows: DataFrame, key: str, usable: bool) -> DataFrame:
+    """Orders or lines with the version of their record; where only ``usable`` ones are asked, with its rules, which then need no look at each statement."""
+    stated = rows.withColumn("version", _version(key))
+    return extract.versioned(stated, NAMES).filter(F.col("rules").isNotNull()) if usable else stated
+
+
+def item_triples(spark, folder, gates: DataFrame | None = None, dealt: bool = False, usable: bool = False) -> DataFrame:
     """Statements about the item: one row per order and predicate.
 
     ``gates`` (item_id, barred) are joined to the orders, not to their many statements; orders are ``dealt`` by item for steps that gather items.
@@ -62,34 +68,37 @@ def item_triples(spark, folder, gates: DataFrame | None = None, dealt: bool = Fa
         item.alias("item_id"), "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate")
     if dealt or gates is not None:
         orders = spread(orders, "item_id")
-    carried = [] if gates is None else ["barred"]
+    carried = ([] if gates is None else ["barred"]) + (["rules"] if usable else [])
     if gates is not None:
         orders = orders.join(gates, "item_id")
-    top = orders.select("item_id", _version("o_orderkey").alias("version"), *carried, F.explode(rows).alias("e")).select(
+    orders = _ruled(orders, "o_orderkey", usable)
+    top = orders.select("item_id", "version", *carried, F.explode(rows).alias("e")).select(
         "item_id", F.col("item_id").alias("subject"), F.lit("").alias("via"),
         "e.predicate", "e.object", "e.object_kind", "e.pos", "version", *carried,
     ).filter(F.col("object").isNotNull())
     names = orders.select(
         "item_id", F.lit("_:n").alias("subject"), F.lit(full("itemName")).alias("via"),
         F.lit(full("name")).alias("predicate"), F.concat(priority, F.lit(" name")).alias("object"),
-        F.lit("literal").alias("object_kind"), F.lit(90).alias("pos"), _version("o_orderkey").alias("version"), *carried,
+        F.lit("literal").alias("object_kind"), F.lit(90).alias("pos"), "version", *carried,
     )
     return top.unionByName(names)
 
 
-def context_triples(spark, folder, gates: DataFrame | None = None) -> DataFrame:
+def context_triples(spark, folder, gates: DataFrame | None = None, usable: bool = False) -> DataFrame:
     """Statements about contexts and images: one node per distinct line of an order.
 
     Lines are dealt by item before they become many statements, so steps that gather items or nodes need not move these.
     """
     lines = table(spark, folder, "lineitem").select(
         _uri(BASE + "item/", "l_orderkey").alias("item_id"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_shipdate")
-    lines = spread(lines, "item_id").groupBy("item_id", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").agg(
+    # a maximum of texts is found by sorting; numbers first, as addresses begin alike and are slow to compare
+    lines = spread(lines, "item_id").groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "item_id").agg(
         F.max("l_returnflag").alias("flag"), F.max(F.year("l_shipdate")).alias("year")
     )
-    carried = [] if gates is None else ["barred"]
+    carried = ([] if gates is None else ["barred"]) + (["rules"] if usable else [])
     if gates is not None:
         lines = lines.join(gates, "item_id")
+    lines = _ruled(lines, "l_orderkey", usable)
     number, part, supp, year = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"), F.col("year")
     full = NAMES.full
     kind = F.when(F.col("flag") == "A", "produce").when(F.col("flag") == "N", "use").otherwise("bogus")
@@ -124,7 +133,7 @@ def context_triples(spark, folder, gates: DataFrame | None = None) -> DataFrame:
         ])
         node = F.concat_ws("-", F.lit(subject), text(number), text(part), text(supp))
         return lines.filter(where).select(
-            "item_id", node.alias("subject"), _version("l_orderkey").alias("version"), *carried, F.explode(entries).alias("e"),
+            "item_id", node.alias("subject"), "version", *carried, F.explode(entries).alias("e"),
         ).select(
             "item_id", "subject", F.lit(full(via)).alias("via"), "e.predicate", "e.object", "e.object_kind", "e.pos", "version", *carried,
         ).filter(F.col("object").isNotNull())
@@ -132,8 +141,8 @@ def context_triples(spark, folder, gates: DataFrame | None = None) -> DataFrame:
     return rows("context", stated, "_:c", F.lit(True)).unionByName(rows("image", media, "_:i", number == 4))
 
 
-def all_triples(spark, folder, gates: DataFrame | None = None, dealt: bool = False) -> DataFrame:
-    return item_triples(spark, folder, gates, dealt).unionByName(context_triples(spark, folder, gates))
+def all_triples(spark, folder, gates: DataFrame | None = None, dealt: bool = False, usable: bool = False) -> DataFrame:
+    return item_triples(spark, folder, gates, dealt, usable).unionByName(context_triples(spark, folder, gates, usable))
 
 
 def vocab(spark) -> DataFrame:
@@ -172,7 +181,7 @@ BASE_ROWS = f"""o AS (
 
 
 def _usable(spark, folder, dealt: bool = False) -> DataFrame:
-    return extract.versioned(all_triples(spark, folder, dealt=dealt), NAMES).filter(F.col("rules").isNotNull())
+    return all_triples(spark, folder, dealt=dealt, usable=True)
 
 
 @query("p01_extract_fields", with_ctes(f"""
