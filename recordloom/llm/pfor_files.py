@@ -11,7 +11,8 @@ can be read alone (``decode``).
     block     u32 minimum, u8 width, u8 0, u16 exceptions; packed 64-bit words; u16 places; u32 high bits
 
 Scale.  Texts are range-partitioned by doc_id (ties by hash of text, so repeated ids do not meet in one task) and sorted inside
-partitions.  A task writes files of about ``FILE_IDS`` ids and forgets them, so its memory does not grow with its share.
+partitions.  A task writes files of about ``FILE_IDS`` ids and forgets them, so its memory does not grow with its share; blocks are packed
+and unpacked ``PIECE`` at a time, so beside the ids of a file (4 bytes each) it holds their packed bytes only.
 Starts come from a prefix sum over files, first inside a partition and then over partitions.
 
 Lost executors.  A file is written under a name of its own and then moved, so a repeated task replaces it whole.  The list of files is
@@ -36,7 +37,7 @@ from recordloom.llm.common import MOST_TASKS, new_folder, slices, stored
 from recordloom.llm.tokens import batches_of, encoder, read_file, write_file
 
 MAGIC = b"PFORIDS1"
-BLOCK, FILE_IDS, END = 1024, 4_000_000, 1
+BLOCK, PIECE, FILE_IDS, END = 1024, 128, 4_000_000, 1
 PERCENTILES = (50, 75, 90, 95, 98, 100)
 NO_ID = -(2**63)
 
@@ -74,8 +75,8 @@ def unpack(words: np.ndarray, width: int, size: int) -> np.ndarray:
     return np.ascontiguousarray(out.T).reshape(rows, size).astype(np.uint32)
 
 
-def encode(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, size: int = BLOCK) -> bytes:
-    """The content of a file."""
+def _packed(ids: np.ndarray, size: int) -> list[bytes]:
+    """The blocks of consecutive ids, as bytes."""
     blocks = -(-len(ids) // size)
     padded = np.full(blocks * size, ids[-1] if len(ids) else 0, np.uint32)
     padded[:len(ids)] = ids
@@ -103,14 +104,19 @@ def encode(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, size: int
     heads["least"], heads["width"], heads["exceptions"] = least, width, exceptions
     cuts = np.append(0, np.cumsum(exceptions))
     places, highs = place.astype("<u2"), high[row, place].astype("<u4")
-    parts = [
+    return [
         heads[i].tobytes() + packed[i] + places[cuts[i]:cuts[i + 1]].tobytes() + highs[cuts[i]:cuts[i + 1]].tobytes()
         for i in range(blocks)
     ]
-    before = len(MAGIC) + 24 + 12 * len(doc_ids) + 8 * blocks
-    offsets = before + np.append(0, np.cumsum([len(p) for p in parts]))[:blocks]
+
+
+def encode(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, size: int = BLOCK) -> bytes:
+    """The content of a file; ``PIECE`` blocks are packed at a time."""
+    parts = [p for start in range(0, len(ids), PIECE * size) for p in _packed(ids[start:start + PIECE * size], size)]
+    before = len(MAGIC) + 24 + 12 * len(doc_ids) + 8 * len(parts)
+    offsets = before + np.append(0, np.cumsum([len(p) for p in parts]))[:len(parts)]
     return b"".join([
-        MAGIC, np.array([len(doc_ids), len(ids), blocks], "<u8").tobytes(), doc_ids.astype("<i8").tobytes(),
+        MAGIC, np.array([len(doc_ids), len(ids), len(parts)], "<u8").tobytes(), doc_ids.astype("<i8").tobytes(),
         lengths.astype("<u4").tobytes(), offsets.astype("<u8").tobytes(), *parts])
 
 
@@ -126,10 +132,15 @@ def contents(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
 
 
 def decode(raw: bytes, offsets: np.ndarray, size: int = BLOCK) -> np.ndarray:
-    """The ids of the blocks at ``offsets``, one row each."""
+    """The ids of the blocks at ``offsets``, one row each; ``PIECE`` blocks are unpacked at a time."""
+    out = np.zeros((len(offsets), size), np.uint32)
+    for start in range(0, len(offsets), PIECE):
+        out[start:start + PIECE] = _unpacked(raw, offsets[start:start + PIECE], size)
+    return out
+
+
+def _unpacked(raw: bytes, offsets: np.ndarray, size: int) -> np.ndarray:
     out = np.zeros((len(offsets), size), np.uint32)
-    if not len(offsets):
-        return out
     heads = np.array([np.frombuffer(raw, _HEAD, 1, int(o))[0] for o in offsets], _HEAD)
     for w in np.unique(heads["width"]):
         own = np.flatnonzero(heads["width"] == w)
@@ -193,7 +204,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path, before in zip(batch.column("path").to_pylist(), batch.column("before").to_pylist()):
             raw = read_file(path)
             doc_ids, lengths, offsets, n = contents(raw)
-            ids = decode(raw, offsets).ravel()[:n].astype("<u4")
+            ids = decode(raw, offsets).ravel()[:n].astype("<u4", copy=False)
             ends = np.cumsum(lengths.astype(np.int64))
             starts = ends - lengths
             view = memoryview(ids).cast("B")
