@@ -51,8 +51,9 @@ STARTERS = (
     "suppose assume given find calculate compute solve determine explain describe choose name list"
 ).split()
 
-# A run of capitalised words; a number with the word right after it; another word.
-_WORDS = r"\p{Lu}[\p{Ll}\p{M}]+(?:[ \n]\p{Lu}[\p{Ll}\p{M}]+)*|\p{N}+(?:[.,]\p{N}+)*(?: ?[\p{L}\p{M}]+)?|[\p{L}\p{M}]+"
+# A run of capitalised words; a number with the word right after it; another word.  Repeated groups are possessive: nothing after them is ever
+# met by giving some back, and a greedy group takes a frame of the stack per round, so that a run of 2,000 words ends its executor.
+_WORDS = r"\p{Lu}[\p{Ll}\p{M}]+(?:[ \n]\p{Lu}[\p{Ll}\p{M}]+)*+|\p{N}+(?:[.,]\p{N}+)*+(?: ?[\p{L}\p{M}]+)?|[\p{L}\p{M}]+"
 _CAPITAL = r"^\p{Lu}[\p{Ll}\p{M}]"
 NAME, UNIT, NUMBER, _LITERAL = "\u0001", "\u0002", "\u0003", "\u0004"
 
